@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pollweave.functions import falsy, fixed
+from pollweave.functions.rounding import half_even
 
 
 def _guard(condition: Column, value: Column) -> Column:
@@ -17,7 +18,7 @@ def _guard(condition: Column, value: Column) -> Column:
 def regen_percent(regen: Column, maximum: Column) -> Column:
     """Regeneration per second as percent of the maximum per hour; 0 without a maximum."""
     share = F.try_divide(F.coalesce(regen, F.lit(0)) * 3600, falsy.number(maximum)) * 100
-    return F.coalesce(F.round(share.cast("double"), 2), F.lit(0.0))
+    return F.coalesce(half_even(share, 2), F.lit(0.0))
 
 
 def contest_class(kind: Column) -> Column:
@@ -41,14 +42,14 @@ def defender_progress(current: Column, maximum: Column) -> Column:
     share = F.try_divide(maximum - current, maximum)
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share.cast("double")))
     return _guard(
-        falsy.number(maximum).isNotNull() & current.isNotNull(), F.round(bounded * 100, 2)
+        falsy.number(maximum).isNotNull() & current.isNotNull(), half_even(bounded * 100, 2)
     )
 
 
 def attacker_rate(start: Column, end: Column) -> Column:
     """Percent per hour that fills the whole span; null unless end > start > 0."""
     defined = falsy.number(start).isNotNull() & falsy.number(end).isNotNull() & (end > start)
-    return _guard(defined, F.round(F.try_divide(F.lit(100), (end - start) / 3600), 3))
+    return _guard(defined, half_even(F.try_divide(F.lit(100), (end - start) / 3600), 3))
 
 
 def attacker_progress(rate: Column, start: Column, now: Column) -> Column:
@@ -58,7 +59,7 @@ def attacker_progress(rate: Column, start: Column, now: Column) -> Column:
     """
     started = rate.isNotNull() & falsy.number(start).isNotNull() & falsy.number(now).isNotNull()
     reached = F.least(F.lit(100.0), rate * ((now - start) / 3600))
-    return _guard(started & (now > start), F.round(reached, 2))
+    return _guard(started & (now > start), half_even(reached, 2))
 
 
 def remaining(end: Column, now: Column) -> Column:
@@ -69,12 +70,12 @@ def remaining(end: Column, now: Column) -> Column:
 
 def per_hour(count: Column, hours: Column) -> Column:
     """Count per hour; null without a duration."""
-    return F.round(F.try_divide(count, falsy.number(hours)).cast("double"), 2)
+    return half_even(F.try_divide(count, falsy.number(hours)), 2)
 
 
 def share_percent(part: Column, whole: Column) -> Column:
     """Part of the whole in percent; null for an empty whole."""
-    return F.round(F.try_divide(part, falsy.number(whole)).cast("double") * 100, 4)
+    return half_even(F.try_divide(part, falsy.number(whole)) * 100, 4)
 
 
 def ratio_columns(
@@ -114,4 +115,4 @@ def delta_per_hour(value: Column, before: Column, hours: Column) -> Column:
     Null for the first poll, for a change of at most the epsilon, and when no time passed.
     """
     moved = F.abs(value - before) > fixed.DELTA_EPSILON
-    return _guard(moved & (hours > 0), F.round(F.try_divide(value - before, hours), 3))
+    return _guard(moved & (hours > 0), half_even(F.try_divide(value - before, hours), 3))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pollweave.functions import falsy, fixed, normalize
+from pollweave.functions.rounding import half_up
 
 
 def percent_text(current: Column, maximum: Column) -> Column:
     """Health in percent with two decimals, or the mark for a missing maximum."""
     share = F.try_divide(current, falsy.number(maximum)).cast("double") * 100
-    shown = F.format_string("%.2f", F.round(share, 2))
+    shown = F.format_string("%.2f", half_up(share, 2))
     return F.when(share.isNotNull(), shown).otherwise(fixed.SUMMARY_HEALTH_MISSING)
 
 

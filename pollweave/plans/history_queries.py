@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pollweave.operators import history
 from pollweave.functions import fixed
+from pollweave.operators import history
+from pollweave.plans.sql import rounded
 from pollweave.sources.tables import table
 
 
@@ -52,11 +53,11 @@ def delta_rate(spark, sf):
     return rated.select("event_id", "user_id", "rate")
 
 
-DELTA_RATE = """
+DELTA_RATE = f"""
 WITH p AS (
   SELECT *, value - lag(value) OVER w AS dv, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 3600000000 AS h
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, user_id, CASE WHEN abs(dv) > 0.01 AND h > 0 THEN round(dv / h, 3) END AS rate FROM p
+SELECT event_id, user_id, CASE WHEN abs(dv) > 0.01 AND h > 0 THEN {rounded('dv / h', 3)} END AS rate FROM p
 """
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pollweave.functions import falsy, fixed, metrics, normalize
 from pollweave.operators import history, network, overlay, precedence, shaping
-from pollweave.plans.sql import case
+from pollweave.plans.sql import case, rounded
 from pollweave.sources import health
 from pollweave.sources.tables import table
 
@@ -479,7 +479,7 @@ WITH status AS (
     ELSE health END AS m FROM base
 )
 SELECT entity_id, name, owner, contests, coalesce(players, 0) AS players,
-  CASE WHEN m <> 0 THEN round(greatest(0, least(1, (m - health) / m)) * 100, 2) END AS progress
+  CASE WHEN m <> 0 THEN {rounded('greatest(0, least(1, (m - health) / m)) * 100', 2)} END AS progress
 FROM maxed LEFT JOIN (SELECT user_id, count(*) AS players FROM events GROUP BY 1)
   ON user_id = entity_id
 ORDER BY progress DESC NULLS LAST, players DESC NULLS LAST, entity_id LIMIT 30

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pollweave.functions import falsy, fixed, metrics, normalize, text
 from pollweave.operators import overlay, precedence, shaping
-from pollweave.plans.sql import case
+from pollweave.plans.sql import case, rounded
 from pollweave.sources.tables import table
 
 # The game clock of the progress queries: 1998-01-01T00:00:00Z.
@@ -96,8 +96,8 @@ def regen_rate(spark, sf):
     )
 
 
-REGEN_RATE = """
-SELECT s_suppkey, coalesce(round(s_acctbal / 3600 * 3600 / nullif(max_health, 0) * 100, 2), 0)
+REGEN_RATE = f"""
+SELECT s_suppkey, coalesce({rounded('s_acctbal / 3600 * 3600 / nullif(max_health, 0) * 100', 2)}, 0)
   AS resistance
 FROM supplier LEFT JOIN (
   SELECT s_nationkey, CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS max_health
@@ -150,9 +150,9 @@ def bounded_progress(spark, sf):
     )
 
 
-BOUNDED_PROGRESS = """
+BOUNDED_PROGRESS = f"""
 SELECT l_orderkey, l_linenumber, l_partkey,
-  round(greatest(0, least(1, (40 - l_quantity) / 40)) * 100, 2) AS defenders_progress
+  {rounded('greatest(0, least(1, (40 - l_quantity) / 40)) * 100', 2)} AS defenders_progress
 FROM lineitem
 """
 
@@ -180,10 +180,10 @@ WITH spans AS (
   SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS s,
     CAST(epoch(o_orderdate) AS BIGINT) + 172800 * (1 + o_orderkey % 5) AS e FROM orders
 ), rates AS (
-  SELECT *, round(100 / ((e - s) / 3600.0::DOUBLE), 3) AS rate FROM spans
+  SELECT *, {rounded('100 / ((e - s) / 3600.0::DOUBLE)', 3)} AS rate FROM spans
 )
 SELECT o_orderkey, rate AS attackers_rate,
-  CASE WHEN {NOW} > s THEN round(least(100, rate * (({NOW} - s) / 3600.0::DOUBLE)), 2) END
+  CASE WHEN {NOW} > s THEN {rounded(f'least(100, rate * (({NOW} - s) / 3600.0::DOUBLE))', 2)} END
     AS attackers_progress,
   greatest(0, e - {NOW}) AS remaining_time
 FROM rates
@@ -212,17 +212,17 @@ def ratio_rates(spark, sf):
     return totals.select("user_id", *[column.alias(name) for name, column in ratios.items()])
 
 
-RATIO_RATES = """
+RATIO_RATES = f"""
 WITH totals AS (
   SELECT user_id, count(*) FILTER (event_type = 'purchase') AS won,
     count(*) FILTER (event_type = 'error') AS lost,
     count(*) FILTER (event_type IN ('click', 'view', 'signup')) AS kills,
     nullif(CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT), 0) / 3600.0::DOUBLE AS h
   FROM events GROUP BY user_id)
-SELECT user_id, round(won / h, 2) AS success_per_hour, round(lost / h, 2) AS fail_per_hour,
-  round(kills / h, 2) AS enemies_per_hour, round(lost / h, 2) AS deaths_per_hour,
-  round(won / nullif(won + lost, 0) * 100, 4) AS success_rate,
-  round(lost / nullif(won + lost, 0) * 100, 4) AS fail_rate
+SELECT user_id, {rounded('won / h', 2)} AS success_per_hour, {rounded('lost / h', 2)} AS fail_per_hour,
+  {rounded('kills / h', 2)} AS enemies_per_hour, {rounded('lost / h', 2)} AS deaths_per_hour,
+  {rounded('won / nullif(won + lost, 0) * 100', 4)} AS success_rate,
+  {rounded('lost / nullif(won + lost, 0) * 100', 4)} AS fail_rate
 FROM totals
 """
 
@@ -278,7 +278,8 @@ SELECT o_orderkey, concat_ws(chr(10),
   CASE o_orderstatus WHEN 'F' THEN '战况: 防御战' WHEN 'P' THEN '战况: 解放战' END,
   '星区: ' || c_mktsegment,
   '健康度: ' || CASE WHEN o_orderpriority = '5-LOW' THEN '--'
-    ELSE printf('%.2f', round(o_totalprice / 500000 * 100, 2)) END || '%',
+    ELSE printf('%.2f', o_totalprice / 500000 * 100
+      + CASE WHEN (o_totalprice / 500000 * 800) % 2 = 1 THEN 0.001 ELSE 0 END) END || '%',
   '玩家: ' || o_custkey) AS summary
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 """
