@@ -8,9 +8,12 @@ from pollweave.plans import (
     map_queries,
     scalar_queries,
     shape_queries,
+    stream_queries,
 )
 
-MODULES = [scalar_queries, join_queries, history_queries, map_queries, shape_queries]
+MODULES = [
+    scalar_queries, join_queries, history_queries, map_queries, shape_queries, stream_queries
+]
 
 
 def registered() -> dict:
