@@ -1,0 +1,130 @@
+"""The map job: nodes, layers, edges and links of one poll."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
+
+from pollweave.functions import falsy, fixed
+from pollweave.operators import network, spatial
+
+_DEFAULTS = {
+    "owner": fixed.OWNER_NONE, "health": 0, "max_health": 1, "players": 0, "resistance": 0.0
+}
+
+
+@dataclass
+class StarMap:
+    nodes: DataFrame
+    supply_lines: DataFrame
+    links: DataFrame
+
+
+def nested_members(star_map: DataFrame) -> DataFrame:
+    """The list shape: one row per system member, in document order."""
+    systems = star_map.select(F.posexplode("doc.systems").alias("s", "system"))
+    members = systems.select("s", "system", F.posexplode("system.planets").alias("p", "member"))
+    return members.select(
+        F.col("member.en").alias("name"),
+        F.col("member.cn").alias("local_name"),
+        falsy.first_text(F.col("system.name"), F.col("system.name_en")).alias("sector"),
+        F.col("system.name_en").alias("sector_en"),
+        (F.col("s") * (1 << 20) + F.col("p")).cast("bigint").alias("seq"),
+    )
+
+
+def keyed_members(star_map: DataFrame) -> DataFrame:
+    """The map shape: one row per entry."""
+    entries = star_map.select(F.explode("doc.planets").alias("name", "entry"))
+    return entries.select(
+        F.col("entry.ID").alias("id"),
+        "name",
+        F.col("entry.cn").alias("local_name"),
+        falsy.first_text(F.col("entry.system"), F.col("entry.sector")).alias("sector"),
+        F.col("entry.sector_en").alias("sector_en"),
+        F.col("entry.position.x").alias("x"),
+        F.col("entry.position.y").alias("y"),
+        F.lit(0).cast("bigint").alias("seq"),
+    )
+
+
+def build(
+    star_map: DataFrame, waypoints: DataFrame, entities: DataFrame, contests: DataFrame
+) -> StarMap:
+    """Nodes with status and layer, supply lines inside each layer, links of contested nodes.
+
+    ``entities`` and ``contests`` are one poll's tables. Unknown positions stay null.
+    """
+    nested, keyed = nested_members(star_map), keyed_members(star_map)
+    index = network.name_index(nested, keyed.select(nested.columns)).select(
+        "name_key",
+        F.col("local_name").alias("index_name"),
+        F.col("sector").alias("index_sector"),
+        F.col("sector_en").alias("index_sector_en"),
+    )
+    named = nested.where(falsy.text(F.col("name")).isNotNull())
+    members = network.anti_fill(keyed.drop("seq"), named.drop("seq"), F.upper("name"))
+    located = network.join_by_name(members, "name", index)
+    status = network.first_by_name(
+        entities.select(
+            "name", "entity_id", "owner", "health", "max_health", "players", "resistance"
+        ).where(F.col("name").isNotNull()),
+        "name",
+        F.col("entity_id"),
+    ).drop("name")
+    found = network.join_by_name(located, "name", status)
+    flagged = network.with_exists(
+        found,
+        contests.select("entity_id", "seq", "contest_class", "faction"),
+        ["entity_id"],
+        [F.col("seq")],
+        {"contest_class": fixed.LIBERATION, "faction": ""},
+        "is_contested",
+    )
+    nodes = network.node_defaults(flagged, _DEFAULTS).select(
+        F.when(F.col("origin") == "keyed", F.col("id"))
+        .otherwise(F.coalesce("entity_id", F.lit(-1)))
+        .alias("id"),
+        falsy.first_text(F.col("index_name"), F.col("name")).alias("name"),
+        F.col("name").alias("name_en"),
+        F.coalesce(falsy.text(F.col("index_sector")), F.col("sector"), F.lit("")).alias("sector"),
+        F.coalesce(falsy.text(F.col("index_sector_en")), F.col("sector_en"), F.lit("")).alias(
+            "sector_en"
+        ),
+        "x",
+        "y",
+        *_DEFAULTS,
+        "is_contested",
+        F.col("contest_class").alias("contest_type"),
+        F.coalesce("faction", F.lit("")).alias("faction"),
+    )
+    nodes = network.with_layer(nodes, network.is_region(F.col("sector_en"), F.col("sector")))
+    return StarMap(
+        nodes=nodes,
+        supply_lines=network.edges_in_layer(edges(waypoints), nodes),
+        links=network.self_links(nodes, F.col("is_contested"), "layer", "faction", "contest_type"),
+    )
+
+
+def edges(waypoints: DataFrame) -> DataFrame:
+    """Directed edges of the adjacency map."""
+    lists = waypoints.select(F.explode("doc.waypoints").alias("src", "targets"))
+    return lists.select(F.col("src").cast("bigint").alias("src"), F.explode("targets").alias("dst"))
+
+
+def projected(nodes: DataFrame, width: float, height: float) -> DataFrame:
+    """Nodes with pixel positions ``px, py``."""
+    px, py = spatial.project(F.col("x"), F.col("y"), width, height)
+    return nodes.withColumns({"px": px, "py": py})
+
+
+def layer_counts(star_map: StarMap) -> DataFrame:
+    """Nodes, links and nodes without a position per layer."""
+    nodes = star_map.nodes.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("x").isNull()).alias("unplaced")
+    )
+    links = star_map.links.groupBy("layer").agg(F.count(F.lit(1)).alias("links"))
+    return nodes.join(links, "layer", "left").withColumn(
+        "links", F.coalesce("links", F.lit(0))
+    )

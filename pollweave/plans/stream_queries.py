@@ -5,7 +5,7 @@ Each has a batch twin in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from pollweave.functions import normalize
 from pollweave.operators import overlay
@@ -47,7 +47,7 @@ def stream_last_known(spark, sf):
     jobs.finish(
         jobs.start_last_known(events, folder, ["user_id"], ["ts", "event_id"], "value", 50)
     )
-    schema = T.StructType.fromDDL("user_id bigint, value double, last_good double")
+    schema = "user_id bigint, value double, last_good double"
     latest = jobs.read_last_known(spark, folder, schema, ["user_id"])
     return latest.select(
         "user_id",

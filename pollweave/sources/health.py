@@ -7,10 +7,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-STATUS = "ok boolean, rows bigint"
 
-
-def optional(spark: SparkSession, schema: T.StructType, read) -> tuple[DataFrame, bool]:
+def optional(spark: SparkSession, schema: T.StructType | str, read) -> tuple[DataFrame, bool]:
     """The scan, or an empty typed table when its path does not exist."""
     try:
         return read(), True

@@ -20,23 +20,26 @@ def save(df: DataFrame, folder: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{VERSION}={version}")
 
 
-def load(spark: SparkSession, folder: str, schema: T.StructType, version: int) -> DataFrame:
+def load(spark: SparkSession, folder: str, schema: T.StructType | str, version: int) -> DataFrame:
     """One version; empty when it was never written."""
     path = f"{folder}/{VERSION}={version}"
     found, _ = health.optional(spark, schema, lambda: spark.read.schema(schema).parquet(path))
     return found
 
 
-def load_all(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+def load_all(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
     """All versions with their number."""
-    versioned = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
+    if isinstance(schema, str):
+        versioned = f"{schema}, {VERSION} bigint"
+    else:
+        versioned = T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])
     found, _ = health.optional(
         spark, versioned, lambda: spark.read.schema(versioned).parquet(folder)
     )
     return found
 
 
-def load_before(spark: SparkSession, folder: str, schema: T.StructType, version: int) -> DataFrame:
+def load_before(spark: SparkSession, folder: str, schema: T.StructType | str, version: int) -> DataFrame:
     """The newest version older than ``version``; empty when there is none."""
     older = load_all(spark, folder, schema).where(F.col(VERSION) < version)
     newest = older.agg(F.max(VERSION).alias("v")).first()["v"]
@@ -46,7 +49,7 @@ def load_before(spark: SparkSession, folder: str, schema: T.StructType, version:
 
 
 def load_latest_rows(
-    spark: SparkSession, folder: str, schema: T.StructType, keys: list[str]
+    spark: SparkSession, folder: str, schema: T.StructType | str, keys: list[str]
 ) -> DataFrame:
     """Per key the row of the newest version that has the key."""
     rows = load_all(spark, folder, schema)

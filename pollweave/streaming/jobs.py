@@ -76,7 +76,7 @@ def start_buckets(polls: DataFrame, folder: str, ts: str, refresh: str | None =
 
 
 def read_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    schema = T.StructType.fromDDL("bucket timestamp, records bigint")
+    schema = "bucket timestamp, records bigint"
     return state.load_latest_rows(spark, f"{folder}/out", schema, ["bucket"])
 
 
@@ -124,7 +124,7 @@ def start_last_known(
 
 
 def read_last_known(
-    spark: SparkSession, folder: str, schema: T.StructType, keys: list[str]
+    spark: SparkSession, folder: str, schema: T.StructType | str, keys: list[str]
 ) -> DataFrame:
     return state.load_latest_rows(spark, f"{folder}/out", schema, keys)
 
