@@ -197,13 +197,13 @@ def _assignments(sources, polls, carried) -> DataFrame:
     chosen = _first_source(
         {label: sources[label].assignments for label in (AGGREGATE, PRIMARY, REST)}
     )
-    chosen = _carry(polls, chosen, carried and carried.assignments)
     deadlines = sources[REST].assignments.where(falsy.text(F.col("deadline")).isNotNull())
     dated = overlay.overlay(
         chosen, deadlines.select(POLL, "deadline"), [POLL], {"deadline": overlay.take_always}
     )
     served = F.when(falsy.text(F.col("deadline")).isNotNull(), normalize.iso_seconds(F.col(POLL)))
-    return dated.withColumn("server_time", F.coalesce(served, F.lit("")))
+    dated = dated.withColumn("server_time", F.coalesce(served, F.lit("")))
+    return _carry(polls, dated, carried and carried.assignments)
 
 
 def _war(sources, polls) -> DataFrame:
@@ -241,7 +241,8 @@ _CARRIED = {
     "entities": f"{POLL} bigint, entity_id bigint, good_max bigint, seen_effects {_EFFECTS}",
     "contests": f"{POLL} bigint, entity_id bigint, defenders_progress double",
     "assignments": f"""{POLL} bigint, id bigint, briefing string, title string, tasks string,
-        progress array<bigint>, expiration string, deadline string, source string""",
+        progress array<bigint>, expiration string, deadline string, server_time string,
+        source string""",
     "stations": f"{POLL} bigint, entity_id bigint, effects {_EFFECTS}, election_end string, source string",
     "polls": f"{POLL} bigint",
 }
@@ -256,7 +257,7 @@ def carry_over(status: Status, earlier: Carried | None = None) -> Carried:
         falsy.array(F.col("effects")).alias("seen_effects"),
     )
     polls = status.polls.select(POLL)
-    assignments = status.assignments.drop("server_time")
+    assignments = status.assignments
     stations = status.stations
     if earlier is not None:
         entities = entities.unionByName(earlier.entities)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pollweave.functions import falsy, fixed, metrics, normalize
 from pollweave.operators import history, overlay, precedence, shaping
+from pollweave.session import run_folder
 from pollweave.sources import documents as docs
 from pollweave.sources.documents import POLL
 
@@ -35,14 +36,30 @@ class Source:
     statistics: DataFrame | None = None
 
 
-    def complete(self) -> Source:
-        """Only the polls that arrived completely: a source counts as a whole or not at all."""
+    def complete(self, work: str) -> Source:
+        """Only the polls that arrived completely: a source counts as a whole or not at all.
 
-        def kept(table: DataFrame | None) -> DataFrame | None:
-            return None if table is None else table.join(self.polls, POLL, "left_semi")
+        The tables are written under ``work`` once; everything later reads them there.
+        """
+        polls = docs.rewritten(self.polls, f"{work}/polls")
 
-        tables = {f.name: kept(getattr(self, f.name)) for f in fields(self) if f.name != "polls"}
-        return Source(polls=self.polls, **tables)
+        def kept(name: str) -> DataFrame | None:
+            table = getattr(self, name)
+            if table is None:
+                return None
+            return docs.rewritten(table.join(polls, POLL, "left_semi"), f"{work}/{name}")
+
+        return Source(
+            polls=polls, **{f.name: kept(f.name) for f in fields(self) if f.name != "polls"}
+        )
+
+
+    def at(self, poll: int) -> Source:
+        """The tables of one poll, for a run per poll."""
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        return Source(
+            **{n: t if t is None else t.where(F.col(POLL) == poll) for n, t in tables.items()}
+        )
 
 
 @dataclass
@@ -59,15 +76,21 @@ class Status:
     recon: DataFrame
 
 
+def _stage(spark: SparkSession, landing: str, document: str, kind: str, work: str) -> DataFrame:
+    return docs.stage(spark, f"{landing}/{document}", kind, f"{work}/documents/{document}")
+
+
 # ---- the primary source ----
 
 
-def read_primary(spark: SparkSession, landing: str) -> Source:
-    status = docs.read_documents(spark, f"{landing}/status", docs.STATUS)
-    info = docs.read_documents(spark, f"{landing}/info", docs.INFO)
-    assignment = docs.read_documents(spark, f"{landing}/assignment", docs.ASSIGNMENTS)
-    stats = docs.read_documents(spark, f"{landing}/stats", docs.STATS)
-    news = docs.read_documents(spark, f"{landing}/news", docs.NEWS)
+def read_primary(spark: SparkSession, landing: str, work: str | None = None) -> Source:
+    """Read the primary source's documents; ``work`` is a folder in the shared storage."""
+    work = f"{work or run_folder(spark, 'status')}/primary"
+    status = _stage(spark, landing, "status", docs.STATUS, work)
+    info = _stage(spark, landing, "info", docs.INFO, work)
+    assignment = _stage(spark, landing, "assignment", docs.ASSIGNMENTS, work)
+    stats = _stage(spark, landing, "stats", docs.STATS, work)
+    news = _stage(spark, landing, "news", docs.NEWS, work)
     polls = docs.polls_of(status, info, assignment, stats, news)
 
     infos = _info_rows(info)
@@ -128,14 +151,16 @@ def read_primary(spark: SparkSession, landing: str) -> Source:
         bulletins=_bulletins(news, F.col("doc")),
         war=war,
         stations=_stations(status, F.col("doc.spaceStations")),
-    ).complete()
+    ).complete(work)
 
 
 # ---- the aggregate source ----
 
 
-def read_aggregate(spark: SparkSession, landing: str) -> Source:
-    live = docs.read_documents(spark, f"{landing}/live", docs.LIVE)
+def read_aggregate(spark: SparkSession, landing: str, work: str | None = None) -> Source:
+    """Read the aggregate source's documents; ``work`` is a folder in the shared storage."""
+    work = f"{work or run_folder(spark, 'status')}/aggregate"
+    live = _stage(spark, landing, "live", docs.LIVE, work)
     status = live.select(POLL, F.col("doc.warStatus").alias("doc"))
     states = _state_rows(status, F.col("doc.planetStatus"))
     effect_id = F.coalesce("item.index", "item.planetIndex")
@@ -186,18 +211,20 @@ def read_aggregate(spark: SparkSession, landing: str) -> Source:
         bulletins=_bulletins(live, F.col("doc.news")),
         war=war,
         stations=_stations(live, F.col("doc.spaceStations")),
-    ).complete()
+    ).complete(work)
 
 
 # ---- the REST source ----
 
 
-def read_rest(spark: SparkSession, landing: str) -> Source:
-    war = docs.read_documents(spark, f"{landing}/war", docs.WAR)
-    planets = docs.read_documents(spark, f"{landing}/planets", docs.ENTITIES)
-    campaigns = docs.read_documents(spark, f"{landing}/campaigns", docs.CONTESTS)
-    assignment = docs.read_documents(spark, f"{landing}/assignments", docs.ASSIGNMENTS)
-    dispatches = docs.read_documents(spark, f"{landing}/dispatches", docs.NEWS)
+def read_rest(spark: SparkSession, landing: str, work: str | None = None) -> Source:
+    """Read the rest source's documents; ``work`` is a folder in the shared storage."""
+    work = f"{work or run_folder(spark, 'status')}/rest"
+    war = _stage(spark, landing, "war", docs.WAR, work)
+    planets = _stage(spark, landing, "planets", docs.ENTITIES, work)
+    campaigns = _stage(spark, landing, "campaigns", docs.CONTESTS, work)
+    assignment = _stage(spark, landing, "assignments", docs.ASSIGNMENTS, work)
+    dispatches = _stage(spark, landing, "dispatches", docs.NEWS, work)
 
     rows = docs.items(planets, F.col("doc")).select(
         POLL,
@@ -267,7 +294,7 @@ def read_rest(spark: SparkSession, landing: str) -> Source:
             F.col("doc.ended").alias("ended"),
         ),
         statistics=statistics,
-    ).complete()
+    ).complete(work)
 
 
 # ---- the time series ----

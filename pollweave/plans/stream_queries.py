@@ -12,6 +12,7 @@ from pollweave.operators import overlay
 from pollweave.plans.history_queries import DELTA_RATE
 from pollweave.plans.join_queries import LAST_KNOWN_GOOD
 from pollweave.plans.scalar_queries import TIME_BUCKET
+from pollweave.session import run_folder
 from pollweave.streaming import jobs
 
 
@@ -22,7 +23,7 @@ def _events(spark, sf):
 
 
 def stream_bucket(spark, sf):
-    folder = jobs.run_folder(spark, "stream-bucket")
+    folder = run_folder(spark, "stream-bucket")
     jobs.finish(jobs.start_buckets(_events(spark, sf), folder, "ts"))
     return jobs.read_buckets(spark, folder).select(
         normalize.iso_seconds(F.unix_seconds("bucket")).alias("bucket"), "records"
@@ -30,7 +31,7 @@ def stream_bucket(spark, sf):
 
 
 def stream_dedupe(spark, sf):
-    folder = jobs.run_folder(spark, "stream-dedupe")
+    folder = run_folder(spark, "stream-dedupe")
     twice = jobs.union_polls(_events(spark, sf), _events(spark, sf))
     # The table spans a month and its files may come in any order.
     jobs.finish(jobs.start_dedupe(twice, folder, "ts", ["event_id"], "31 days"))
@@ -42,7 +43,7 @@ STREAM_DEDUPE = "SELECT event_id, user_id, event_type, value FROM events"
 
 
 def stream_last_known(spark, sf):
-    folder = jobs.run_folder(spark, "stream-last-known")
+    folder = run_folder(spark, "stream-last-known")
     events = _events(spark, sf)
     jobs.finish(
         jobs.start_last_known(events, folder, ["user_id"], ["ts", "event_id"], "value", 50)
@@ -57,7 +58,7 @@ def stream_last_known(spark, sf):
 
 
 def stream_delta_rate(spark, sf):
-    folder = jobs.run_folder(spark, "stream-delta-rate")
+    folder = run_folder(spark, "stream-delta-rate")
     events = _events(spark, sf)
     jobs.finish(
         jobs.start_delta_rate(events, folder, ["user_id"], "ts", "value", ["event_id"])

@@ -85,6 +85,21 @@ def read_with_defects(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return raw.select(POLL, "value", valid.alias("doc"))
 
 
+def stage(spark: SparkSession, path: str, kind: str, folder: str) -> DataFrame:
+    """Parse the documents under ``path`` once, into nested parquet under ``folder``.
+
+    What is read from there later reads only the nested fields it needs.
+    """
+    parsed = read_documents(spark, path, kind)
+    return rewritten(parsed, folder)
+
+
+def rewritten(df: DataFrame, folder: str) -> DataFrame:
+    """Write a table and read it back: later plans start from the written rows."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One row ``(doc)`` per static document: a file or folder without polls."""
     raw, _ = health.optional(

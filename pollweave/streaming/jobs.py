@@ -8,22 +8,15 @@ a failure replaces what it wrote before.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pollweave.functions import fixed, normalize
 from pollweave.operators import history
-from pollweave.session import shared_folder
 from pollweave.sources import state
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run of a job, in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def read_polls(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
