@@ -97,7 +97,8 @@ def ratio_columns(
 def health_percent(current: Column, maximum: Column) -> Column:
     """Health in percent within 0 and 100; 0 without a maximum."""
     share = F.try_divide(current, falsy.number(maximum)).cast("double") * 100
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)), F.lit(0.0))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+    return F.when(share.isNotNull(), bounded).otherwise(0.0)
 
 
 def progress_band(percent: Column) -> Column:
