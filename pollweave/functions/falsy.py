@@ -10,12 +10,12 @@ from pyspark.sql import Column, functions as F
 
 def number(value: Column) -> Column:
     """Null when the number is 0."""
-    return F.nullif(value, F.lit(0))
+    return F.when(value != 0, value)
 
 
 def text(value: Column) -> Column:
     """Null when the string is empty."""
-    return F.nullif(value, F.lit(""))
+    return F.when(value != "", value)
 
 
 def array(value: Column) -> Column:

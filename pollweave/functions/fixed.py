@@ -102,11 +102,11 @@ HIT_RADIUS = 20
 EDGE_SPAN = 600
 
 # Text of a summary line.
-SUMMARY_NAME = "📍 %s"
-SUMMARY_OWNER = "阵营: %s"
-SUMMARY_STATE = "战况: %s"
+SUMMARY_NAME = "📍 "
+SUMMARY_OWNER = "阵营: "
+SUMMARY_STATE = "战况: "
 SUMMARY_STATE_DEFENSE, SUMMARY_STATE_OTHER = "防御战", "解放战"
-SUMMARY_SECTOR = "星区: %s"
-SUMMARY_HEALTH = "健康度: %s%%"
+SUMMARY_SECTOR = "星区: "
+SUMMARY_HEALTH, SUMMARY_HEALTH_UNIT = "健康度: ", "%"
 SUMMARY_HEALTH_MISSING = "--"
-SUMMARY_PLAYERS = "玩家: %d"
+SUMMARY_PLAYERS = "玩家: "

@@ -12,6 +12,11 @@ from pollweave.functions.rounding import half_even
 
 
 def _guard(condition: Column, value: Column) -> Column:
+    """The value where it is defined.
+
+    Goes inside the rounding, never around it: generated code computes an operand
+    once that is always needed, but repeats it all over a conditional branch.
+    """
     return F.when(condition, value)
 
 
@@ -41,15 +46,14 @@ def defender_progress(current: Column, maximum: Column) -> Column:
     """Share of the maximum already lost, in percent, kept within 0 and 100."""
     share = F.try_divide(maximum - current, maximum)
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share.cast("double")))
-    return _guard(
-        falsy.number(maximum).isNotNull() & current.isNotNull(), half_even(bounded * 100, 2)
-    )
+    defined = (maximum != 0) & current.isNotNull()
+    return half_even(_guard(defined, bounded * 100), 2)
 
 
 def attacker_rate(start: Column, end: Column) -> Column:
     """Percent per hour that fills the whole span; null unless end > start > 0."""
-    defined = falsy.number(start).isNotNull() & falsy.number(end).isNotNull() & (end > start)
-    return _guard(defined, half_even(F.try_divide(F.lit(100), (end - start) / 3600), 3))
+    defined = (start != 0) & (end != 0) & (end > start)
+    return half_even(_guard(defined, F.try_divide(F.lit(100), (end - start) / 3600)), 3)
 
 
 def attacker_progress(rate: Column, start: Column, now: Column) -> Column:
@@ -57,14 +61,14 @@ def attacker_progress(rate: Column, start: Column, now: Column) -> Column:
 
     ``rate`` is the rounded rate of ``attacker_rate``: its rounding shows in the result.
     """
-    started = rate.isNotNull() & falsy.number(start).isNotNull() & falsy.number(now).isNotNull()
+    started = rate.isNotNull() & (start != 0) & (now != 0)
     reached = F.least(F.lit(100.0), rate * ((now - start) / 3600))
-    return _guard(started & (now > start), half_even(reached, 2))
+    return half_even(_guard(started & (now > start), reached), 2)
 
 
 def remaining(end: Column, now: Column) -> Column:
     """Time left, never negative; null when either clock is 0."""
-    defined = falsy.number(now).isNotNull() & falsy.number(end).isNotNull()
+    defined = (now != 0) & (end != 0)
     return _guard(defined, F.greatest(F.lit(0), end - now))
 
 
@@ -116,4 +120,4 @@ def delta_per_hour(value: Column, before: Column, hours: Column) -> Column:
     Null for the first poll, for a change of at most the epsilon, and when no time passed.
     """
     moved = F.abs(value - before) > fixed.DELTA_EPSILON
-    return _guard(moved & (hours > 0), half_even(F.try_divide(value - before, hours), 3))
+    return half_even(_guard(moved & (hours > 0), F.try_divide(value - before, hours)), 3)

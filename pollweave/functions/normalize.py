@@ -72,13 +72,11 @@ def iso_seconds(seconds: Column, suffix: str = "Z") -> Column:
     seconds = seconds.cast("bigint")
     day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
     rest = F.pmod(seconds, F.lit(86400).cast("bigint"))
-    clock = F.format_string(
-        f"%02d:%02d:%02d{suffix}",
-        F.floor(rest / 3600),
-        F.floor(rest % 3600 / 60),
-        rest % 60,
+    parts = (F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    hour, minute, second = (F.lpad(p.cast("string"), 2, "0") for p in parts)
+    return F.concat(
+        day, F.lit("T"), hour, F.lit(":"), minute, F.lit(":"), second, F.lit(suffix)
     )
-    return F.concat(day, F.lit("T"), clock)
 
 
 def iso_epoch(number: Column) -> Column:

@@ -9,31 +9,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Splits a double into two halves whose products with a small integer are exact.
-_SPLIT = float(2**27 + 1)
+# Below this many units all steps are exact; larger values keep the plain rounding.
+_LARGEST = 1e15
 
 
 def half_even(value: Column, digits: int) -> Column:
     """To ``digits`` decimals; exact ties to the even neighbour."""
-    return _rounded(value, digits, lambda low: low + F.pmod(low, F.lit(2.0)))
+    # Only a tie is small enough for the nudge to decide.
+    return _rounded(value, digits, lambda low: (F.pmod(low, F.lit(2.0)) - 0.5) * 1e-300)
 
 
 def half_up(value: Column, digits: int) -> Column:
     """To ``digits`` decimals; exact ties up."""
-    return _rounded(value, digits, lambda low: low + 1)
+    return _rounded(value, digits, lambda low: F.lit(1e-300))
 
 
-def _rounded(value: Column, digits: int, at_tie) -> Column:
+def _rounded(value: Column, digits: int, nudge) -> Column:
+    # Kept short: ``value`` stands in for an expression that is repeated in the plan.
     value = value.cast("double")
-    unit, finer = float(10**digits), float(10 ** (digits + 1))
-    scaled = value * finer
-    nearest = F.rint(scaled)
+    finer = float(10 ** (digits + 1))
+    nearest = F.rint(value * finer)
     # Only a double that is the closest one to some ...5 can be decided wrongly.
-    doubtful = (nearest / finer == value) & (F.pmod(nearest, F.lit(10.0)) == 5)
-    spread = value * _SPLIT
-    high = spread - (spread - value)
-    error = (high * finer - scaled) + (value - high) * finer
-    gap = (scaled - nearest) + error
+    doubtful = (
+        (nearest / finer == value)
+        & (F.pmod(nearest, F.lit(10.0)) == 5)
+        & (F.abs(value) < _LARGEST / finer)
+    )
+    # Both halves of the value times ``finer`` are exact, and so is the gap.
+    high = value.cast("float").cast("double")
+    gap = (high * finer - nearest) + (value - high) * finer
     low = F.floor(nearest / 10).cast("double")
-    decided = F.when(gap < 0, low).when(gap > 0, low + 1).otherwise(at_tie(low)) / unit
-    return F.when(doubtful & (F.abs(scaled) < 1e15), decided).otherwise(F.round(value, digits))
+    up = F.when(gap + nudge(low) > 0, 1.0).otherwise(0.0)
+    decided = (low + up) / float(10**digits)
+    return F.when(doubtful, decided).otherwise(F.round(value, digits))

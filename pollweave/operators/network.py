@@ -47,6 +47,28 @@ def join_by_name(rows: DataFrame, name: str, by_name: DataFrame) -> DataFrame:
     )
 
 
+def resolve_names(rows: DataFrame, name: str, index: DataFrame) -> DataFrame:
+    """Display name and sector from the name index as ``shown_name, shown_sector, shown_sector_en``.
+
+    A name the index lacks is shown as it is, a missing one as unknown.
+    """
+    shown = index.select(
+        "name_key",
+        F.col("local_name").alias("shown_name"),
+        F.col("sector").alias("shown_sector"),
+        F.col("sector_en").alias("shown_sector_en"),
+    )
+    return join_by_name(rows, name, shown).withColumns(
+        {
+            "shown_name": falsy.first_text(
+                F.col("shown_name"), F.col(name), F.lit(fixed.NAME_MISSING)
+            ),
+            "shown_sector": F.coalesce("shown_sector", F.lit("")),
+            "shown_sector_en": F.coalesce("shown_sector_en", F.lit("")),
+        }
+    )
+
+
 def with_exists(
     rows: DataFrame,
     found: DataFrame,

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pollweave.functions import falsy, fixed
+from pollweave.session import checkpointed
 
 
 def project(
@@ -85,6 +86,8 @@ def fit_to_view(
 
 # Points per finest cell that are compared one by one.
 LEAF_POINTS = 64
+# Below this size, a billionth of the radius, cells no longer tell points apart.
+_MAX_LEVELS = 30
 # Relative slack of the cell tests, far above rounding; points are tested exactly.
 _SLACK = 1e-6
 
@@ -128,6 +131,8 @@ def radius_hit(
         edge = met.where(~within & (F.col("near2") < limit * (1 + _SLACK)))
         if depth < levels:
             cells = _spread(edge, F.col("cx") * 2, F.col("cy") * 2, (0, 1))
+            if depth % 4 == 3:  # many levels only where points crowd: keep the plan short
+                cells = checkpointed(cells)
 
     best = hits.groupBy("probe_id").agg(F.max("draw_order").alias("best"))
     open_cells = edge.join(best, "probe_id", "left").where(
@@ -184,9 +189,13 @@ def _distances(size: float) -> dict[str, Column]:
 
 
 def _levels(points: DataFrame, radius: float) -> int:
-    """How often the fullest cell has to be split; each split quarters it."""
-    cells = points.groupBy(_cell("x", radius).alias("cx"), _cell("y", radius).alias("cy")).count()
-    fullest = cells.agg(F.max("count").alias("n")).first()["n"] or 0
-    if fullest <= LEAF_POINTS:
-        return 1
-    return 1 + math.ceil(math.log(fullest / LEAF_POINTS, 4))
+    """How often to split until the fullest cell holds few points; a split quarters it."""
+    levels = 1
+    while levels < _MAX_LEVELS:
+        size = radius / 2**levels
+        cells = points.groupBy(_cell("x", size).alias("cx"), _cell("y", size).alias("cy")).count()
+        fullest = cells.agg(F.max("count").alias("n")).first()["n"] or 0
+        if fullest <= LEAF_POINTS:
+            break
+        levels += max(1, math.ceil(math.log(fullest / LEAF_POINTS, 4)))
+    return min(levels, _MAX_LEVELS)

@@ -288,14 +288,12 @@ def source_precedence(spark, sf):
             "rest": _daily(spark, sf, "lineitem", "l_shipdate", "l_extendedprice"),
         }
     )
-    return (
-        precedence.whole_poll(stacked, ["poll"])
-        .groupBy("poll", "source")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
-        )
+    # Totals per source first: the choice then joins a row per poll and source.
+    totals = stacked.groupBy("poll", "source", "source_rank").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
     )
+    return precedence.whole_poll(totals, ["poll"]).drop("source_rank")
 
 
 SOURCE_PRECEDENCE = """

@@ -26,10 +26,10 @@ def decode_code(spark, sf):
             "owner",
             normalize.decode_code(code, fixed.SECTOR_CODES, "").alias("sector"),
             normalize.decode_code(mixed, fixed.OWNER_CODES, fixed.UNKNOWN).alias("label"),
-            normalize.lookup(
-                F.col("shown"), fixed.OWNER_COLOURS, fixed.OWNER_COLOUR_DEFAULT
-            ).alias("colour"),
-            normalize.lookup(F.col("shown"), fixed.OWNER_LOCAL, F.col("owner")).alias("local_name"),
+            text.owner_colour(F.col("shown")).alias("colour"),
+            text.contest_colour(F.col("owner")).alias("contest_colour"),
+            text.race_colour(F.col("c_nationkey")).alias("race_colour"),
+            text.local_owner(F.col("shown")).alias("local_name"),
         )
     )
 
@@ -45,6 +45,8 @@ SELECT c_custkey, owner,
   {case("c_nationkey", fixed.SECTOR_CODES, "''")} AS sector,
   CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE owner END AS label,
   {case("shown", fixed.OWNER_COLOURS, "'" + fixed.OWNER_COLOUR_DEFAULT + "'")} AS colour,
+  {case("owner", fixed.CONTEST_COLOURS, "'" + fixed.CONTEST_COLOUR_DEFAULT + "'")} AS contest_colour,
+  {case("c_nationkey", fixed.RACE_CODE_COLOURS, "NULL")} AS race_colour,
   {case("shown", fixed.OWNER_LOCAL, "owner")} AS local_name
 FROM shown
 """

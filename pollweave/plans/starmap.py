@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pollweave.functions import falsy, fixed
 from pollweave.operators import network, spatial
+from pollweave.operators.history import first_per_key
 
 _DEFAULTS = {
     "owner": fixed.OWNER_NONE, "health": 0, "max_health": 1, "players": 0, "resistance": 0.0
@@ -26,10 +27,13 @@ def nested_members(star_map: DataFrame) -> DataFrame:
     systems = star_map.select(F.posexplode("doc.systems").alias("s", "system"))
     members = systems.select("s", "system", F.posexplode("system.planets").alias("p", "member"))
     return members.select(
+        F.col("member.id").alias("id"),
         F.col("member.en").alias("name"),
         F.col("member.cn").alias("local_name"),
         falsy.first_text(F.col("system.name"), F.col("system.name_en")).alias("sector"),
         F.col("system.name_en").alias("sector_en"),
+        F.col("member.position.x").alias("x"),
+        F.col("member.position.y").alias("y"),
         (F.col("s") * (1 << 20) + F.col("p")).cast("bigint").alias("seq"),
     )
 
@@ -57,15 +61,12 @@ def build(
     ``entities`` and ``contests`` are one poll's tables. Unknown positions stay null.
     """
     nested, keyed = nested_members(star_map), keyed_members(star_map)
-    index = network.name_index(nested, keyed.select(nested.columns)).select(
-        "name_key",
-        F.col("local_name").alias("index_name"),
-        F.col("sector").alias("index_sector"),
-        F.col("sector_en").alias("index_sector_en"),
-    )
+    index = network.name_index(nested.drop("id", "x", "y"), keyed.drop("id", "x", "y"))
     named = nested.where(falsy.text(F.col("name")).isNotNull())
-    members = network.anti_fill(keyed.drop("seq"), named.drop("seq"), F.upper("name"))
-    located = network.join_by_name(members, "name", index)
+    members = network.anti_fill(
+        keyed.drop("seq"), named.drop("seq", "id", "x", "y"), F.upper("name")
+    )
+    located = network.resolve_names(members, "name", index)
     status = network.first_by_name(
         entities.select(
             "name", "entity_id", "owner", "health", "max_health", "players", "resistance"
@@ -86,10 +87,10 @@ def build(
         F.when(F.col("origin") == "keyed", F.col("id"))
         .otherwise(F.coalesce("entity_id", F.lit(-1)))
         .alias("id"),
-        falsy.first_text(F.col("index_name"), F.col("name")).alias("name"),
+        F.col("shown_name").alias("name"),
         F.col("name").alias("name_en"),
-        F.coalesce(falsy.text(F.col("index_sector")), F.col("sector"), F.lit("")).alias("sector"),
-        F.coalesce(falsy.text(F.col("index_sector_en")), F.col("sector_en"), F.lit("")).alias(
+        F.coalesce(falsy.text(F.col("shown_sector")), F.col("sector"), F.lit("")).alias("sector"),
+        F.coalesce(falsy.text(F.col("shown_sector_en")), F.col("sector_en"), F.lit("")).alias(
             "sector_en"
         ),
         "x",
@@ -107,6 +108,25 @@ def build(
     )
 
 
+def member_info(star_map: DataFrame) -> DataFrame:
+    """One row per exact name with id, local name, sector and position.
+
+    Here the map wins over the list, and the first list entry of a name counts.
+    """
+    shapes = keyed_members(star_map).withColumn("_shape", F.lit(0)).unionByName(
+        nested_members(star_map).withColumn("_shape", F.lit(1))
+    )
+    named = shapes.where(falsy.text(F.col("name")).isNotNull())
+    first = first_per_key(named, ["name"], [F.col("_shape"), F.col("seq")])
+    return first.drop("_shape", "seq").withColumns(
+        {
+            "local_name": falsy.first_text(F.col("local_name"), F.col("name")),
+            "sector": F.coalesce("sector", F.lit("")),
+            "sector_en": F.coalesce("sector_en", F.lit("")),
+        }
+    )
+
+
 def edges(waypoints: DataFrame) -> DataFrame:
     """Directed edges of the adjacency map."""
     lists = waypoints.select(F.explode("doc.waypoints").alias("src", "targets"))

@@ -180,7 +180,8 @@ def read_aggregate(spark: SparkSession, landing: str, work: str | None = None) -
         F.coalesce("regen", F.lit(0.0)).alias("regen"),
         F.coalesce("effects", F.array().cast("array<bigint>")).alias("effects"),
     )
-    plain = _plain_contests(status, F.col("doc.campaigns"), nameless, states, classify=False)
+    looked_up = _state_rows(status, F.col("doc.planetStatus"), first=True)
+    plain = _plain_contests(status, F.col("doc.campaigns"), nameless, looked_up, classify=False)
     events = _event_contests(status, F.col("doc"), nameless, states, use_state=False)
     first = shaping.first_item(F.col("doc.majorOrders"))
     orders = live.select(POLL, first.alias("a")).where(F.col("a").isNotNull())
@@ -372,7 +373,8 @@ def _info_rows(info: DataFrame) -> DataFrame:
     ).drop("seq")
 
 
-def _state_rows(status: DataFrame, path) -> DataFrame:
+def _state_rows(status: DataFrame, path, first: bool = False) -> DataFrame:
+    """Status rows, one per entity: the last of an entity's rows, or the first."""
     rows = docs.items(status, path).select(
         POLL,
         F.col("item.index").alias("entity_id"),
@@ -386,9 +388,8 @@ def _state_rows(status: DataFrame, path) -> DataFrame:
         normalize.variant_truthy(F.col("item.attacking")).alias("attacking"),
         F.col("item.regenPerSecond").alias("regen"),
     )
-    return history.last_per_key(
-        rows.where(F.col("entity_id").isNotNull()), KEYS, [F.col("seq")]
-    ).drop("seq")
+    pick = history.first_per_key if first else history.last_per_key
+    return pick(rows.where(F.col("entity_id").isNotNull()), KEYS, [F.col("seq")]).drop("seq")
 
 
 def _effect_rows(status: DataFrame, path, entity_id) -> DataFrame:

@@ -150,6 +150,18 @@ def test_summary(spark):
     assert lines("recon", 0)[2] == "战况: 解放战"
 
 
+def test_display_tables(spark):
+    def shown(build, *keys):
+        return column(spark, list(keys), "string", build)
+
+    assert shown(text.owner_colour, "Humans", "Automaton", None) == ["#3b82f6", "#64748b", "#64748b"]
+    assert shown(text.contest_colour, "Automaton", "Automatons", "x") == [
+        "#ef4444", "#ef4444", "#94a3b8"]
+    assert shown(text.race_colour, "1", "4", "9") == ["#f59e0b", "#3b82f6", None]
+    assert shown(text.sector_colour, "寂域", "x") == ["rgba(16, 185, 129, 1)", "rgba(100, 116, 139, 1)"]
+    assert shown(text.weapon_class, "SMG", "x") == ["冲锋枪", None]
+
+
 HARD = [2.5, 2.675, 0.125, 0.375, 1.005, 28.385, 28.384999999999998, -2.675, -0.125, 0.045,
         1e10 + 0.125, 12.345, 99.995, 0.0, -0.004, 33.333333333333336, 1234567.885]
 

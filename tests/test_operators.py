@@ -242,7 +242,8 @@ def brute_force(probes, nodes, radius):
 
 
 @pytest.mark.parametrize("shape,levels", [
-    ("uniform", None), ("uniform", 0), ("cluster", None), ("sorted", 2), ("edge", None)])
+    ("uniform", None), ("uniform", 0), ("cluster", None), ("sorted", 2), ("edge", None),
+    ("crowd", None)])
 def test_radius_hit_equals_brute_force(spark, shape, levels):
     rng = random.Random(7)
     radius = 0.1
@@ -250,13 +251,15 @@ def test_radius_hit_equals_brute_force(spark, shape, levels):
         nodes = [(0, 0.0, 0.0), (1, 0.0, 0.0), (2, None, 0.0), (3, 0.3, 0.3)]
         probes = [(0, radius, 0.0), (1, 0.099, 0.0), (2, 0.0, 0.0), (3, None, None), (4, 0.3, 0.3)]
     else:
-        spread = {"uniform": 1.0, "cluster": 0.05, "sorted": 0.5}[shape]
+        spread = {"uniform": 1.0, "cluster": 0.05, "sorted": 0.5, "crowd": 0.004}[shape]
         points = [(rng.uniform(-spread, spread), rng.uniform(-spread, spread)) for _ in range(400)]
         if shape == "sorted":  # drawn from left to right: the last nodes lie on one side
             points.sort()
         nodes = [(i, x, y) for i, (x, y) in enumerate(points)]
         probes = [(i, rng.uniform(-spread, spread), rng.uniform(-spread, spread)) for i in range(150)]
         probes += [(1000 + i, x, y) for i, x, y in nodes[:50]]
+        if shape == "crowd":  # probes whose circle cuts through the crowd
+            probes += [(2000 + i, radius + rng.uniform(-0.004, 0.004), 0.0) for i in range(50)]
     found = spatial.radius_hit(
         spark.createDataFrame(probes, "probe_id int, x double, y double"),
         spark.createDataFrame(nodes, "draw_order int, x double, y double"),

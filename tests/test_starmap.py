@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pollweave.operators import shaping
+from pollweave.operators import network, shaping
 from pollweave.plans import starmap
 from pollweave.sources import documents as docs
 from pollweave.sources import health
@@ -75,6 +75,25 @@ def test_lines_and_links(built):
     assert counts == {"main": ("main", 4, 1, 2), "void": ("void", 1, 1, 0)}
 
 
+def test_member_info(spark, tmp_path):
+    (tmp_path / "map.json").write_text(json.dumps(MAP), encoding="utf-8")
+    info = starmap.member_info(docs.read_table(spark, str(tmp_path / "map.json"), docs.STAR_MAP))
+    found = {r["name"]: r.asDict() for r in info.collect()}
+    # Exact names: "Alpha" of the list and "ALPHA" of the map are two entries.
+    assert found["ALPHA"]["id"] == 1 and found["ALPHA"]["sector"] == "other"
+    assert found["Alpha"]["id"] is None and found["Alpha"]["sector"] == "甲"
+    assert found["BETA"]["local_name"] == "BETA" and found["GONE"]["sector"] == ""
+
+
+def test_names_without_an_entry(spark):
+    index = spark.createDataFrame([("A", "甲", "s", "S")],
+                                  "name_key string, local_name string, sector string, sector_en string")
+    names = spark.createDataFrame([("a",), ("Z",), ("",), (None,)], "name string")
+    shown = {r["name"]: (r["shown_name"], r["shown_sector"])
+             for r in network.resolve_names(names, "name", index).collect()}
+    assert shown == {"a": ("甲", "s"), "Z": ("Z", ""), "": ("未知", ""), None: ("未知", "")}
+
+
 def test_projection(built):
     placed = starmap.projected(built.nodes, 1200, 700).where(F.col("name_en") == "BETA").first()
     assert (placed["px"], placed["py"]) == (60.0, 60.0)
