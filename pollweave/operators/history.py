@@ -103,13 +103,20 @@ def rate_since(ts: str, value: str) -> Column:
     return metrics.delta_per_hour(F.col(value), F.col(f"prev_{value}"), micros / 3_600_000_000)
 
 
-def last_good(
+def latest_and_good(
     df: DataFrame,
     keys: list[str],
-    order: list[Column],
+    order: list[str],
     value: str,
     floor: float = fixed.ABSOLUTE_MAX_FLOOR,
 ) -> DataFrame:
-    """Per key the newest value that reached ``floor``: the last-known-good cache."""
-    good = df.where(F.col(value) >= floor)
-    return last_per_key(good.select(*keys, value, *order), keys, order).select(*keys, value)
+    """Per key the newest value, and as ``last_good`` the newest that reached ``floor``.
+
+    One aggregate, the same for a batch and for a stream.
+    """
+    position = F.struct(*order)
+    good = F.col(value) >= floor
+    return df.groupBy(*keys).agg(
+        F.max_by(value, position).alias(value),
+        F.max_by(F.col(value), F.when(good, position)).alias("last_good"),
+    )

@@ -148,15 +148,11 @@ FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey
 
 def last_known_good(spark, sf):
     events = table(spark, sf, "events", "event_id", "ts", "user_id", "value")
-    order = [F.col("ts"), F.col("event_id")]
-    cache = history.last_good(events, ["user_id"], order, "value", 50)
-    latest = history.last_per_key(events, ["user_id"], order)
-    return overlay.attach(latest, cache, ["user_id"], "cached_").select(
+    latest = history.latest_and_good(events, ["user_id"], ["ts", "event_id"], "value", 50)
+    return latest.select(
         "user_id",
         "value",
-        overlay.best_maximum(F.col("value"), F.col("cached_value"), F.lit(0.0), 50).alias(
-            "max_health"
-        ),
+        overlay.best_maximum(F.col("value"), F.col("last_good"), F.lit(0.0), 50).alias("max_health"),
     )
 
 
@@ -288,12 +284,12 @@ def source_precedence(spark, sf):
             "rest": _daily(spark, sf, "lineitem", "l_shipdate", "l_extendedprice"),
         }
     )
-    # Totals per source first: the choice then joins a row per poll and source.
+    # One row per poll and source first, so the choice is one more small aggregate.
     totals = stacked.groupBy("poll", "source", "source_rank").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
     )
-    return precedence.whole_poll(totals, ["poll"]).drop("source_rank")
+    return precedence.whole_record(totals, ["poll"])
 
 
 SOURCE_PRECEDENCE = """
@@ -307,6 +303,37 @@ GROUP BY poll, source
 """
 
 
+def poll_rows(spark, sf):
+    def entities(name, ts, key):
+        return table(spark, sf, name, ts, key).select(
+            F.to_date(ts).cast("string").alias("poll"), F.col(key).alias("entity_id")
+        )
+
+    stacked = precedence.stack(
+        {
+            "primary": entities("events", "ts", "user_id"),
+            "aggregate": entities("orders", "o_orderdate", "o_custkey"),
+            "rest": entities("lineitem", "l_shipdate", "l_suppkey"),
+        }
+    )
+    seen = stacked.groupBy("poll", "entity_id", "source", "source_rank").agg(
+        F.count(F.lit(1)).alias("records")
+    )
+    return precedence.whole_poll(seen, ["poll"]).drop("source_rank")
+
+
+POLL_ROWS = """
+WITH stacked AS (
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS poll, user_id AS entity_id, 0 AS rank, 'primary' AS source
+  FROM events
+  UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), o_custkey, 1, 'aggregate' FROM orders
+  UNION ALL SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR), l_suppkey, 2, 'rest' FROM lineitem)
+SELECT poll, entity_id, source, count(*) AS records
+FROM stacked JOIN (SELECT poll, min(rank) AS rank FROM stacked GROUP BY poll) USING (poll, rank)
+GROUP BY ALL
+"""
+
+
 def _entity_sources(spark, sf):
     labels = table(spark, sf, "labels", "doc_id", "quality", "toxic").select(
         F.col("doc_id").alias("entity_id"),
@@ -496,6 +523,7 @@ QUERIES = {
     "anti_fill": (anti_fill, ANTI_FILL),
     "keyed_union": (keyed_union, KEYED_UNION),
     "source_precedence": (source_precedence, SOURCE_PRECEDENCE),
+    "poll_rows": (poll_rows, POLL_ROWS),
     "record_precedence": (record_precedence, RECORD_PRECEDENCE),
     "field_precedence": (field_precedence, FIELD_PRECEDENCE),
     "source_health": (source_health, SOURCE_HEALTH),

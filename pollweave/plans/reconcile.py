@@ -17,8 +17,8 @@ from pollweave.plans.status import AGGREGATE, KEYS, PRIMARY, REST, Source, Statu
 from pollweave.sources import state
 from pollweave.sources.documents import POLL
 
-# Largest poll that is written as one document; larger ones are written as rows.
-DOCUMENT_ENTITIES = 100_000
+# Most rows of one table that a poll may have to be written as one document.
+DOCUMENT_ROWS = 100_000
 
 _EFFECTS = "array<bigint>"
 
@@ -429,8 +429,11 @@ def _single(rows: DataFrame, name: str) -> DataFrame:
 def publish(status: Status, folder: str, series: DataFrame | None = None,
             owned: DataFrame | None = None) -> str:
     """Write one document per poll, or row tables when a poll is too large for one document."""
-    counts = status.entities.groupBy(POLL).count().agg(F.max("count").alias("n"))
-    if (counts.first()["n"] or 0) <= DOCUMENT_ENTITIES:
+    sizes = status.entities.select(POLL, F.lit("entities").alias("kind")).unionByName(
+        status.contests.select(POLL, F.lit("contests").alias("kind"))
+    )
+    largest = sizes.groupBy(POLL, "kind").count().agg(F.max("count").alias("n")).first()["n"]
+    if (largest or 0) <= DOCUMENT_ROWS:
         documents = poll_documents(status, series, owned)
         documents.write.mode("overwrite").partitionBy(POLL).text(f"{folder}/documents")
         return "documents"

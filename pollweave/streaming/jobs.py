@@ -90,18 +90,6 @@ def start_dedupe(
     return start(unique, folder, "append", refresh=refresh)
 
 
-def last_good_values(
-    polls: DataFrame, keys: list[str], order: list[str], value: str, floor: float
-) -> DataFrame:
-    """Per key the newest value and the newest that reached ``floor``; batch or stream."""
-    position = F.struct(*order)
-    good = F.col(value) >= floor
-    return polls.groupBy(*keys).agg(
-        F.max_by(value, position).alias(value),
-        F.max_by(F.col(value), F.when(good, position)).alias("last_good"),
-    )
-
-
 def start_last_known(
     polls: DataFrame,
     folder: str,
@@ -112,7 +100,7 @@ def start_last_known(
     refresh: str | None = None,
 ):
     """Keep the last known good value per key; each batch writes the keys it changed."""
-    latest = last_good_values(polls, keys, order, value, floor)
+    latest = history.latest_and_good(polls, keys, order, value, floor)
     return start(latest, folder, "update", _write_batches(folder), refresh)
 
 

@@ -49,6 +49,34 @@ def test_best_maximum(spark):
     assert [r["m"] for r in out.collect()] == [7, 7, 1000, 1000, 0]
 
 
+def test_a_hot_key_is_split_in_a_lookup_join(spark):
+    """A key with most of the rows does not end in one task when the lookup is large."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        facts = spark.range(0, 60000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"),
+            F.xxhash64("id").alias("v"))
+        lookup = spark.range(5000).select(F.col("id").alias("k"), F.col("id").alias("w"))
+        joined = overlay.attach(facts, lookup, ["k"], "l_")
+        totals = joined.agg(F.count("l_w"), F.sum("l_w")).first()
+        assert totals[0] == 60000
+        rows_out = joined.collect()
+        assert len(rows_out) == 60000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 # ---- precedence ----
 
 

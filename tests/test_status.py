@@ -366,7 +366,7 @@ def test_documents(spark, landing, tmp_path):
 def test_large_polls_are_written_as_rows(spark, landing, tmp_path, monkeypatch):
     put_primary(landing, P1)
     status = rec.reconcile(*sources(spark, landing))
-    monkeypatch.setattr(rec, "DOCUMENT_ENTITIES", 2)
+    monkeypatch.setattr(rec, "DOCUMENT_ROWS", 2)
     folder = str(tmp_path / "out")
     assert rec.publish(status, folder) == "rows"
     assert spark.read.json(f"{folder}/entities").count() == 5

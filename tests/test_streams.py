@@ -93,7 +93,7 @@ def test_last_known(spark, polls, tmp_path):
     jobs.finish(jobs.start_last_known(stream(spark, polls), folder, ["user_id"], order, "value", 50))
     schema = "user_id bigint, value double, last_good double"
     same(jobs.read_last_known(spark, folder, schema, ["user_id"]),
-         jobs.last_good_values(events, ["user_id"], order, "value", 50))
+         history.latest_and_good(events, ["user_id"], order, "value", 50))
 
 
 def test_dedupe(spark, polls, tmp_path):
