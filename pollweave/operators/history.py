@@ -76,9 +76,10 @@ def carry_forward(
     order: list[str],
     columns: list[str],
     hot_rows: int = ordered.HOT_ROWS,
+    size_of: DataFrame | None = None,
 ) -> DataFrame:
     """Replace null values by the newest earlier non-null value of the key."""
-    filled = ordered.last_known(df, keys, order, columns, hot_rows)
+    filled = ordered.last_known(df, keys, order, columns, hot_rows, size_of)
     return filled.select(
         *[F.col(f"last_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
     )

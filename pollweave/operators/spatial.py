@@ -97,8 +97,8 @@ def radius_hit(
 ) -> DataFrame:
     """Per probe the last-drawn node closer than ``radius``: ``(probe_id, draw_order)``.
 
-    ``probes`` has ``probe_id, x, y``; ``nodes`` has ``x, y`` and a unique
-    ``draw_order``. Probes that hit nothing are left out.
+    ``probes`` has a unique ``probe_id`` and ``x, y``; ``nodes`` has ``x, y`` and a
+    unique ``draw_order``. Probes that hit nothing are left out.
 
     Points meet through grid cells, never as all pairs. Only the last-drawn node
     of a position counts, and a cell that lies wholly inside the radius counts as
@@ -110,60 +110,75 @@ def radius_hit(
     placed = nodes.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     points = placed.groupBy("x", "y").agg(F.max("draw_order").alias("draw_order"))
     seekers = probes.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-        "probe_id", F.col("x").alias("qx"), F.col("y").alias("qy")
+        "probe_id",
+        F.col("x").alias("qx"),
+        F.col("y").alias("qy"),
+        F.lit(None).cast(nodes.schema["draw_order"].dataType).alias("best"),
     )
-    if levels is None:
-        levels = _levels(points, radius)
-
-    # Level 0: the 3 x 3 cells around the probe.
-    cells = _spread(seekers, _cell("qx", radius), _cell("qy", radius), (-1, 0, 1))
+    levels = max(1, _levels(points, radius) if levels is None else levels)
     limit = radius * radius
-    hits = None
-    for depth in range(levels + 1):
+
+    # The first level has cells of half the radius: 5 x 5 of them cover the circle.
+    cells = _spread(seekers, _cell("qx", radius / 2), _cell("qy", radius / 2), range(-2, 3))
+    found = None
+    for depth in range(1, levels + 1):
         size = radius / 2**depth
         tops = points.groupBy(_cell("x", size).alias("cx"), _cell("y", size).alias("cy")).agg(
             F.max("draw_order").alias("top")
         )
-        met = cells.join(tops, ["cx", "cy"]).withColumns(_distances(size))
-        within = F.col("far2") < limit * (1 - _SLACK)
-        inside = met.where(within).select("probe_id", F.col("top").alias("draw_order"))
-        hits = inside if hits is None else hits.unionByName(inside)
-        edge = met.where(~within & (F.col("near2") < limit * (1 + _SLACK)))
+        inside = F.col("far2") < limit * (1 - _SLACK)
+        cut = ~inside & (F.col("near2") < limit * (1 + _SLACK))
+        # One row per probe; its list holds the cells along the circle, a number that
+        # the geometry bounds.
+        probed = (
+            cells.join(tops, ["cx", "cy"])
+            .withColumns(_distances(size))
+            .where(inside | cut)
+            .groupBy("probe_id")
+            .agg(
+                F.max("qx").alias("qx"),
+                F.max("qy").alias("qy"),
+                F.greatest(F.max("best"), F.max(F.when(inside, F.col("top")))).alias("best"),
+                F.collect_list(F.when(cut, F.struct("cx", "cy", "top"))).alias("cut"),
+            )
+        )
+        settled = probed.where(F.col("best").isNotNull()).select("probe_id", "best")
+        found = settled if found is None else found.unionByName(settled)
+        edge = (
+            probed.select("probe_id", "qx", "qy", "best", F.explode("cut").alias("cell"))
+            .where(F.col("best").isNull() | (F.col("cell.top") > F.col("best")))
+            .select("probe_id", "qx", "qy", "best", "cell.cx", "cell.cy")
+        )
         if depth < levels:
             cells = _spread(edge, F.col("cx") * 2, F.col("cy") * 2, (0, 1))
-            if depth % 4 == 3:  # many levels only where points crowd: keep the plan short
+            if depth % 4 == 0:  # many levels only where points crowd: keep the plan short
                 cells = checkpointed(cells)
 
-    best = hits.groupBy("probe_id").agg(F.max("draw_order").alias("best"))
-    open_cells = edge.join(best, "probe_id", "left").where(
-        F.col("best").isNull() | (F.col("top") > F.col("best"))
-    )
     leaf_points = points.select(
         _cell("x", size).alias("cx"), _cell("y", size).alias("cy"), "x", "y", "draw_order"
     )
     gap_x, gap_y = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
     edge_hits = (
-        open_cells.join(leaf_points, ["cx", "cy"])
+        edge.join(leaf_points, ["cx", "cy"])
         .where(F.col("best").isNull() | (F.col("draw_order") > F.col("best")))
         .where(gap_x * gap_x + gap_y * gap_y < limit)
-        .select("probe_id", "draw_order")
+        .select("probe_id", F.col("draw_order").alias("best"))
     )
     return (
-        hits.unionByName(edge_hits)
-        .groupBy("probe_id")
-        .agg(F.max("draw_order").alias("draw_order"))
+        found.unionByName(edge_hits).groupBy("probe_id").agg(F.max("best").alias("draw_order"))
     )
 
 
-def _spread(rows: DataFrame, cx: Column, cy: Column, steps: tuple[int, ...]) -> DataFrame:
+def _spread(rows: DataFrame, cx: Column, cy: Column, steps) -> DataFrame:
     """Each probe with the cells at the given steps from (cx, cy) on both axes."""
     offsets = F.array(*[F.lit(d).cast("bigint") for d in steps])
+    kept = ["probe_id", "qx", "qy", "best"]
     return (
-        rows.select("probe_id", "qx", "qy", cx.alias("bx"), cy.alias("by"))
+        rows.select(*kept, cx.alias("bx"), cy.alias("by"))
         .withColumn("sx", F.explode(offsets))
         .withColumn("sy", F.explode(offsets))
         .select(
-            "probe_id", "qx", "qy",
+            *kept,
             (F.col("bx") + F.col("sx")).alias("cx"),
             (F.col("by") + F.col("sy")).alias("cy"),
         )

@@ -272,7 +272,7 @@ GROUP BY type
 
 def _daily(spark, sf, name, ts, value):
     return table(spark, sf, name, ts, value).select(
-        F.to_date(ts).cast("string").alias("poll"), F.col(value).cast("double").alias("value")
+        F.to_date(ts).alias("poll"), F.col(value).cast("double").alias("value")
     )
 
 
@@ -289,7 +289,9 @@ def source_precedence(spark, sf):
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
     )
-    return precedence.whole_record(totals, ["poll"])
+    return precedence.whole_record(totals, ["poll"]).withColumn(
+        "poll", F.col("poll").cast("string")
+    )
 
 
 SOURCE_PRECEDENCE = """
@@ -306,7 +308,7 @@ GROUP BY poll, source
 def poll_rows(spark, sf):
     def entities(name, ts, key):
         return table(spark, sf, name, ts, key).select(
-            F.to_date(ts).cast("string").alias("poll"), F.col(key).alias("entity_id")
+            F.to_date(ts).alias("poll"), F.col(key).alias("entity_id")
         )
 
     stacked = precedence.stack(
@@ -319,7 +321,8 @@ def poll_rows(spark, sf):
     seen = stacked.groupBy("poll", "entity_id", "source", "source_rank").agg(
         F.count(F.lit(1)).alias("records")
     )
-    return precedence.whole_poll(seen, ["poll"]).drop("source_rank")
+    chosen = precedence.whole_poll(seen, ["poll"]).drop("source_rank")
+    return chosen.withColumn("poll", F.col("poll").cast("string"))
 
 
 POLL_ROWS = """

@@ -79,8 +79,9 @@ def _first_source(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _entities(sources, polls, carried) -> DataFrame:
+    base = _base(sources, "entities", polls)
     live = overlay.overlay(
-        _base(sources, "entities", polls),
+        base,
         sources[AGGREGATE].entities,
         KEYS,
         {
@@ -109,7 +110,9 @@ def _entities(sources, polls, carried) -> DataFrame:
     )
     if carried is not None:
         rows = rows.unionByName(carried.entities.withColumn("_new", F.lit(False)), True)
-    known = ordered.last_known(rows, ["entity_id"], [POLL], ["good_max", "seen_effects"])
+    known = ordered.last_known(
+        rows, ["entity_id"], [POLL], ["good_max", "seen_effects"], size_of=base
+    )
     fresh = overlay.attach(
         known.where("_new"),
         sources[AGGREGATE].entities.select(POLL).distinct(),
@@ -230,7 +233,11 @@ def _carry(polls: DataFrame, rows: DataFrame, earlier: DataFrame | None) -> Data
         )
         packed = packed.unionByName(old)
     filled = history.carry_forward(
-        packed.withColumn("_series", F.lit(0)), ["_series"], [POLL], ["record"]
+        packed.withColumn("_series", F.lit(0)),
+        ["_series"],
+        [POLL],
+        ["record"],
+        size_of=polls.withColumn("_series", F.lit(0)),
     )
     return filled.where(F.col("_new") & F.col("record").isNotNull()).select(POLL, "record.*")
 

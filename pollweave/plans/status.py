@@ -21,6 +21,25 @@ from pollweave.sources.documents import POLL
 PRIMARY, AGGREGATE, REST = "primary", "aggregate", "rest"
 KEYS = [POLL, "entity_id"]
 
+# The documents each source leaves per poll.
+PRIMARY_DOCUMENTS = {
+    "status": docs.STATUS,
+    "info": docs.INFO,
+    "assignment": docs.ASSIGNMENTS,
+    "stats": docs.STATS,
+    "news": docs.NEWS,
+}
+AGGREGATE_DOCUMENTS = {
+    "live": docs.LIVE,
+}
+REST_DOCUMENTS = {
+    "war": docs.WAR,
+    "planets": docs.ENTITIES,
+    "campaigns": docs.CONTESTS,
+    "assignments": docs.ASSIGNMENTS,
+    "dispatches": docs.NEWS,
+}
+
 
 @dataclass
 class Source:
@@ -35,24 +54,19 @@ class Source:
     stations: DataFrame | None = None
     statistics: DataFrame | None = None
 
-
     def complete(self, work: str) -> Source:
         """Only the polls that arrived completely: a source counts as a whole or not at all.
 
         The tables are written under ``work`` once; everything later reads them there.
         """
-        polls = docs.rewritten(self.polls, f"{work}/polls")
-
-        def kept(name: str) -> DataFrame | None:
-            table = getattr(self, name)
-            if table is None:
-                return None
-            return docs.rewritten(table.join(polls, POLL, "left_semi"), f"{work}/{name}")
-
-        return Source(
-            polls=polls, **{f.name: kept(f.name) for f in fields(self) if f.name != "polls"}
-        )
-
+        polls = docs.rewritten({"polls": self.polls}, work)["polls"]
+        tables = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "polls"}
+        present = {
+            name: table.join(polls, POLL, "left_semi")
+            for name, table in tables.items()
+            if table is not None
+        }
+        return Source(polls=polls, **{**tables, **docs.rewritten(present, work)})
 
     def at(self, poll: int) -> Source:
         """The tables of one poll, for a run per poll."""
@@ -76,21 +90,14 @@ class Status:
     recon: DataFrame
 
 
-def _stage(spark: SparkSession, landing: str, document: str, kind: str, work: str) -> DataFrame:
-    return docs.stage(spark, f"{landing}/{document}", kind, f"{work}/documents/{document}")
-
-
 # ---- the primary source ----
 
 
 def read_primary(spark: SparkSession, landing: str, work: str | None = None) -> Source:
     """Read the primary source's documents; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/primary"
-    status = _stage(spark, landing, "status", docs.STATUS, work)
-    info = _stage(spark, landing, "info", docs.INFO, work)
-    assignment = _stage(spark, landing, "assignment", docs.ASSIGNMENTS, work)
-    stats = _stage(spark, landing, "stats", docs.STATS, work)
-    news = _stage(spark, landing, "news", docs.NEWS, work)
+    staged = docs.stage(spark, landing, PRIMARY_DOCUMENTS, f"{work}/documents")
+    status, info, assignment, stats, news = (staged[name] for name in PRIMARY_DOCUMENTS)
     polls = docs.polls_of(status, info, assignment, stats, news)
 
     infos = _info_rows(info)
@@ -160,7 +167,8 @@ def read_primary(spark: SparkSession, landing: str, work: str | None = None) ->
 def read_aggregate(spark: SparkSession, landing: str, work: str | None = None) -> Source:
     """Read the aggregate source's documents; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/aggregate"
-    live = _stage(spark, landing, "live", docs.LIVE, work)
+    staged = docs.stage(spark, landing, AGGREGATE_DOCUMENTS, f"{work}/documents")
+    live = staged["live"]
     status = live.select(POLL, F.col("doc.warStatus").alias("doc"))
     states = _state_rows(status, F.col("doc.planetStatus"))
     effect_id = F.coalesce("item.index", "item.planetIndex")
@@ -221,11 +229,8 @@ def read_aggregate(spark: SparkSession, landing: str, work: str | None = None) -
 def read_rest(spark: SparkSession, landing: str, work: str | None = None) -> Source:
     """Read the rest source's documents; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/rest"
-    war = _stage(spark, landing, "war", docs.WAR, work)
-    planets = _stage(spark, landing, "planets", docs.ENTITIES, work)
-    campaigns = _stage(spark, landing, "campaigns", docs.CONTESTS, work)
-    assignment = _stage(spark, landing, "assignments", docs.ASSIGNMENTS, work)
-    dispatches = _stage(spark, landing, "dispatches", docs.NEWS, work)
+    staged = docs.stage(spark, landing, REST_DOCUMENTS, f"{work}/documents")
+    war, planets, campaigns, assignment, dispatches = (staged[name] for name in REST_DOCUMENTS)
 
     rows = docs.items(planets, F.col("doc")).select(
         POLL,

@@ -8,6 +8,8 @@ Fields whose JSON type varies from poll to poll are read as variants.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pollweave.sources import health
@@ -85,19 +87,27 @@ def read_with_defects(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return raw.select(POLL, "value", valid.alias("doc"))
 
 
-def stage(spark: SparkSession, path: str, kind: str, folder: str) -> DataFrame:
-    """Parse the documents under ``path`` once, into nested parquet under ``folder``.
+def stage(
+    spark: SparkSession, landing: str, kinds: dict[str, str], folder: str
+) -> dict[str, DataFrame]:
+    """Parse each kind of document once, into nested parquet under ``folder``.
 
     What is read from there later reads only the nested fields it needs.
     """
-    parsed = read_documents(spark, path, kind)
+    parsed = {name: read_documents(spark, f"{landing}/{name}", kind) for name, kind in kinds.items()}
     return rewritten(parsed, folder)
 
 
-def rewritten(df: DataFrame, folder: str) -> DataFrame:
-    """Write a table and read it back: later plans start from the written rows."""
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def rewritten(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Write tables side by side and read them back: later plans start from the written rows."""
+
+    def write(name: str) -> DataFrame:
+        df, path = tables[name], f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    with ThreadPoolExecutor(max_workers=8) as jobs:
+        return dict(zip(tables, jobs.map(write, tables)))
 
 
 def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:

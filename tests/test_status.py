@@ -274,15 +274,6 @@ def check_three_polls(entities, contests, assignments, stations):
     assert stations[P2]["effects"] == [1] and stations[P3]["source"] == "primary"
 
 
-def test_state_across_polls(spark, landing):
-    three_polls(landing)
-    status = rec.reconcile(*sources(spark, landing))
-    check_three_polls(
-        by(status.entities, "poll_ts", "entity_id"), by(status.contests, "poll_ts", "entity_id"),
-        by(status.assignments, "poll_ts"), by(status.stations, "poll_ts"),
-    )
-
-
 def test_poll_by_poll_equals_all_at_once(spark, landing, tmp_path):
     three_polls(landing)
     folder = str(tmp_path / "state")
@@ -298,8 +289,11 @@ def test_poll_by_poll_equals_all_at_once(spark, landing, tmp_path):
             (["poll_ts", "entity_id"], ["poll_ts", "entity_id"], ["poll_ts"], ["poll_ts"]),
         ):
             found.update(by(table, *keys))
-    check_three_polls(*seen)
     whole = rec.reconcile(*everything)
+    check_three_polls(
+        by(whole.entities, "poll_ts", "entity_id"), by(whole.contests, "poll_ts", "entity_id"),
+        by(whole.assignments, "poll_ts"), by(whole.stations, "poll_ts"),
+    )
     assert seen[0] == by(whole.entities, "poll_ts", "entity_id")
     assert seen[1] == by(whole.contests, "poll_ts", "entity_id")
     assert seen[2] == by(whole.assignments, "poll_ts")
@@ -331,7 +325,7 @@ def test_series_and_history(spark, landing, tmp_path):
         assert sorted(r["timestamp"] for r in kept.collect()) == ["t3", "t4", "t5"]
 
 
-def test_documents(spark, landing, tmp_path):
+def test_documents(spark, landing, tmp_path, monkeypatch):
     three_polls(landing)
     landing.put("series", P1, series_document("t1"))
     landing.put("translated", P1, {"mo_brief": {"title": "M", "translated": "X"},
@@ -362,11 +356,7 @@ def test_documents(spark, landing, tmp_path):
     assert [n["id"] for n in first["news"]] == [1]
     assert written[P2]["news"] == [] and written[P2]["major_order"]["title"] == ""
 
-
-def test_large_polls_are_written_as_rows(spark, landing, tmp_path, monkeypatch):
-    put_primary(landing, P1)
-    status = rec.reconcile(*sources(spark, landing))
+    # Polls too large for one document each are written as rows.
     monkeypatch.setattr(rec, "DOCUMENT_ROWS", 2)
-    folder = str(tmp_path / "out")
     assert rec.publish(status, folder) == "rows"
-    assert spark.read.json(f"{folder}/entities").count() == 5
+    assert spark.read.json(f"{folder}/entities").count() == 15
