@@ -16,15 +16,15 @@ _DEFAULTS = {
 
 
 @dataclass
-class StarMap:
+class Atlas:
     nodes: DataFrame
     supply_lines: DataFrame
     links: DataFrame
 
 
-def nested_members(star_map: DataFrame) -> DataFrame:
+def nested_members(atlas: DataFrame) -> DataFrame:
     """The list shape: one row per system member, in document order."""
-    systems = star_map.select(F.posexplode("doc.systems").alias("s", "system"))
+    systems = atlas.select(F.posexplode("doc.systems").alias("s", "system"))
     members = systems.select("s", "system", F.posexplode("system.planets").alias("p", "member"))
     return members.select(
         F.col("member.id").alias("id"),
@@ -38,9 +38,9 @@ def nested_members(star_map: DataFrame) -> DataFrame:
     )
 
 
-def keyed_members(star_map: DataFrame) -> DataFrame:
+def keyed_members(atlas: DataFrame) -> DataFrame:
     """The map shape: one row per entry."""
-    entries = star_map.select(F.explode("doc.planets").alias("name", "entry"))
+    entries = atlas.select(F.explode("doc.planets").alias("name", "entry"))
     return entries.select(
         F.col("entry.ID").alias("id"),
         "name",
@@ -54,13 +54,13 @@ def keyed_members(star_map: DataFrame) -> DataFrame:
 
 
 def build(
-    star_map: DataFrame, waypoints: DataFrame, entities: DataFrame, contests: DataFrame
-) -> StarMap:
+    atlas: DataFrame, waypoints: DataFrame, entities: DataFrame, contests: DataFrame
+) -> Atlas:
     """Nodes with status and layer, supply lines inside each layer, links of contested nodes.
 
     ``entities`` and ``contests`` are one poll's tables. Unknown positions stay null.
     """
-    nested, keyed = nested_members(star_map), keyed_members(star_map)
+    nested, keyed = nested_members(atlas), keyed_members(atlas)
     index = network.name_index(nested.drop("id", "x", "y"), keyed.drop("id", "x", "y"))
     named = nested.where(falsy.text(F.col("name")).isNotNull())
     members = network.anti_fill(
@@ -101,20 +101,20 @@ def build(
         F.coalesce("faction", F.lit("")).alias("faction"),
     )
     nodes = network.with_layer(nodes, network.is_region(F.col("sector_en"), F.col("sector")))
-    return StarMap(
+    return Atlas(
         nodes=nodes,
         supply_lines=network.edges_in_layer(edges(waypoints), nodes),
         links=network.self_links(nodes, F.col("is_contested"), "layer", "faction", "contest_type"),
     )
 
 
-def member_info(star_map: DataFrame) -> DataFrame:
+def member_info(atlas: DataFrame) -> DataFrame:
     """One row per exact name with id, local name, sector and position.
 
     Here the map wins over the list, and the first list entry of a name counts.
     """
-    shapes = keyed_members(star_map).withColumn("_shape", F.lit(0)).unionByName(
-        nested_members(star_map).withColumn("_shape", F.lit(1))
+    shapes = keyed_members(atlas).withColumn("_shape", F.lit(0)).unionByName(
+        nested_members(atlas).withColumn("_shape", F.lit(1))
     )
     named = shapes.where(falsy.text(F.col("name")).isNotNull())
     first = first_per_key(named, ["name"], [F.col("_shape"), F.col("seq")])
@@ -139,12 +139,12 @@ def projected(nodes: DataFrame, width: float, height: float) -> DataFrame:
     return nodes.withColumns({"px": px, "py": py})
 
 
-def layer_counts(star_map: StarMap) -> DataFrame:
+def layer_counts(atlas: Atlas) -> DataFrame:
     """Nodes, links and nodes without a position per layer."""
-    nodes = star_map.nodes.groupBy("layer").agg(
+    nodes = atlas.nodes.groupBy("layer").agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("x").isNull()).alias("unplaced")
     )
-    links = star_map.links.groupBy("layer").agg(F.count(F.lit(1)).alias("links"))
+    links = atlas.links.groupBy("layer").agg(F.count(F.lit(1)).alias("links"))
     return nodes.join(links, "layer", "left").withColumn(
         "links", F.coalesce("links", F.lit(0))
     )

@@ -23,6 +23,10 @@ DOCUMENT_ROWS = 100_000
 _EFFECTS = "array<bigint>"
 
 
+class NoSource(RuntimeError):
+    """No source delivered a complete poll."""
+
+
 @dataclass
 class Carried:
     """What later polls may need from earlier runs, one row per key."""
@@ -43,7 +47,7 @@ def reconcile(
         precedence.stack({label: s.polls for label, s in sources.items()}), [POLL]
     ).drop("source_rank")
     if polls.isEmpty():
-        raise RuntimeError("every source failed for every poll")
+        raise NoSource("every source failed for every poll")
 
     entities = _entities(sources, polls, carried)
     contests = _contests(sources, polls, carried)
@@ -433,8 +437,12 @@ def _single(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(POLL, F.struct(*fields).alias(name))
 
 
-def publish(status: Status, folder: str, series: DataFrame | None = None,
-            owned: DataFrame | None = None) -> str:
+def publish(
+    status: Status,
+    folder: str,
+    series: DataFrame | None = None,
+    owned: DataFrame | None = None,
+) -> str:
     """Write one document per poll, or row tables when a poll is too large for one document."""
     sizes = status.entities.select(POLL, F.lit("entities").alias("kind")).unionByName(
         status.contests.select(POLL, F.lit("contests").alias("kind"))
@@ -442,9 +450,14 @@ def publish(status: Status, folder: str, series: DataFrame | None = None,
     largest = sizes.groupBy(POLL, "kind").count().agg(F.max("count").alias("n")).first()["n"]
     if (largest or 0) <= DOCUMENT_ROWS:
         documents = poll_documents(status, series, owned)
-        documents.write.mode("overwrite").partitionBy(POLL).text(f"{folder}/documents")
+        _by_poll(documents).text(f"{folder}/documents")
         return "documents"
     for name in ("entities", "contests", "bulletins", "assignments", "stations", "war", "recon"):
-        table = getattr(status, name)
-        table.write.mode("overwrite").partitionBy(POLL).json(f"{folder}/{name}")
+        _by_poll(getattr(status, name)).json(f"{folder}/{name}")
     return "rows"
+
+
+def _by_poll(rows: DataFrame):
+    """A writer that replaces the polls it writes and leaves the others."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return writer.partitionBy(POLL)

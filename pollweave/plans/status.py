@@ -93,10 +93,12 @@ class Status:
 # ---- the primary source ----
 
 
-def read_primary(spark: SparkSession, landing: str, work: str | None = None) -> Source:
-    """Read the primary source's documents; ``work`` is a folder in the shared storage."""
+def read_primary(
+    spark: SparkSession, landing: str, work: str | None = None, since: int | None = None
+) -> Source:
+    """The primary source's polls from ``since`` on; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/primary"
-    staged = docs.stage(spark, landing, PRIMARY_DOCUMENTS, f"{work}/documents")
+    staged = docs.stage(spark, landing, PRIMARY_DOCUMENTS, f"{work}/documents", since)
     status, info, assignment, stats, news = (staged[name] for name in PRIMARY_DOCUMENTS)
     polls = docs.polls_of(status, info, assignment, stats, news)
 
@@ -164,10 +166,12 @@ def read_primary(spark: SparkSession, landing: str, work: str | None = None) ->
 # ---- the aggregate source ----
 
 
-def read_aggregate(spark: SparkSession, landing: str, work: str | None = None) -> Source:
-    """Read the aggregate source's documents; ``work`` is a folder in the shared storage."""
+def read_aggregate(
+    spark: SparkSession, landing: str, work: str | None = None, since: int | None = None
+) -> Source:
+    """The aggregate source's polls from ``since`` on; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/aggregate"
-    staged = docs.stage(spark, landing, AGGREGATE_DOCUMENTS, f"{work}/documents")
+    staged = docs.stage(spark, landing, AGGREGATE_DOCUMENTS, f"{work}/documents", since)
     live = staged["live"]
     status = live.select(POLL, F.col("doc.warStatus").alias("doc"))
     states = _state_rows(status, F.col("doc.planetStatus"))
@@ -226,10 +230,12 @@ def read_aggregate(spark: SparkSession, landing: str, work: str | None = None) -
 # ---- the REST source ----
 
 
-def read_rest(spark: SparkSession, landing: str, work: str | None = None) -> Source:
-    """Read the rest source's documents; ``work`` is a folder in the shared storage."""
+def read_rest(
+    spark: SparkSession, landing: str, work: str | None = None, since: int | None = None
+) -> Source:
+    """The rest source's polls from ``since`` on; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/rest"
-    staged = docs.stage(spark, landing, REST_DOCUMENTS, f"{work}/documents")
+    staged = docs.stage(spark, landing, REST_DOCUMENTS, f"{work}/documents", since)
     war, planets, campaigns, assignment, dispatches = (staged[name] for name in REST_DOCUMENTS)
 
     rows = docs.items(planets, F.col("doc")).select(
@@ -306,9 +312,9 @@ def read_rest(spark: SparkSession, landing: str, work: str | None = None) -> Sou
 # ---- the time series ----
 
 
-def read_series(spark: SparkSession, landing: str) -> DataFrame:
+def read_series(spark: SparkSession, landing: str, since: int | None = None) -> DataFrame:
     """The newest record of each poll's series document, with the players per faction."""
-    series = docs.read_documents(spark, f"{landing}/series", docs.SERIES)
+    series = docs.read_documents(spark, f"{landing}/series", docs.SERIES, since)
     latest = series.select(
         POLL, F.get("doc.data", F.size("doc.data") - 1).alias("r")
     ).where(F.col("r").isNotNull())

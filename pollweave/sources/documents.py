@@ -54,7 +54,7 @@ TRANSLATIONS = """struct<
   items: array<struct<id: bigint, original: string, translated: string, published_at: string,
     translated_at: string, source: string>>>"""
 
-STAR_MAP = """struct<
+ATLAS = """struct<
   systems: array<struct<name: string, name_en: string,
     planets: array<struct<en: string, cn: string, id: bigint,
       position: struct<x: double, y: double>>>>>,
@@ -73,9 +73,23 @@ EQUIPMENT = """array<struct<id: string, name: string, type: string, stats: array
 _RAW = f"value string, {POLL} bigint"
 
 
-def read_documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One row ``(poll_ts, doc)`` per valid document under ``path``."""
-    return read_with_defects(spark, path, kind).where(F.col("doc").isNotNull()).select(POLL, "doc")
+def read_documents(spark: SparkSession, path: str, kind: str, since: int | None = None) -> DataFrame:
+    """One row ``(poll_ts, doc)`` per valid document under ``path``, of polls from ``since`` on."""
+    found = read_with_defects(spark, path, kind).where(F.col("doc").isNotNull())
+    if since is not None:
+        found = found.where(F.col(POLL) >= since)  # prunes the folders of older polls
+    return found.select(POLL, "doc")
+
+
+def stream_arrivals(spark: SparkSession, landing: str) -> DataFrame:
+    """Stream ``(poll_ts)`` of every document that lands, whatever its kind."""
+    files = (
+        spark.readStream.schema("value string")
+        .options(wholetext=True, recursiveFileLookup=True)
+        .text(landing)
+    )
+    poll = F.regexp_extract("_metadata.file_path", f"{POLL}=([0-9]+)", 1)
+    return files.select(poll.try_cast("bigint").alias(POLL))
 
 
 def read_with_defects(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -88,13 +102,16 @@ def read_with_defects(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def stage(
-    spark: SparkSession, landing: str, kinds: dict[str, str], folder: str
+    spark: SparkSession, landing: str, kinds: dict[str, str], folder: str, since: int | None = None
 ) -> dict[str, DataFrame]:
     """Parse each kind of document once, into nested parquet under ``folder``.
 
     What is read from there later reads only the nested fields it needs.
     """
-    parsed = {name: read_documents(spark, f"{landing}/{name}", kind) for name, kind in kinds.items()}
+    parsed = {
+        name: read_documents(spark, f"{landing}/{name}", kind, since)
+        for name, kind in kinds.items()
+    }
     return rewritten(parsed, folder)
 
 

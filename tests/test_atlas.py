@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pollweave.operators import network, shaping
-from pollweave.plans import starmap
+from pollweave.plans import atlas
 from pollweave.sources import documents as docs
 from pollweave.sources import health
 
@@ -31,7 +31,7 @@ def built(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("tables")
     for name, body in (("map", MAP), ("way", WAYPOINTS)):
         (folder / f"{name}.json").write_text(json.dumps(body, indent=1), encoding="utf-8")
-    star_map = docs.read_table(spark, str(folder / "map.json"), docs.STAR_MAP)
+    chart = docs.read_table(spark, str(folder / "map.json"), docs.ATLAS)
     waypoints = docs.read_table(spark, str(folder / "way.json"), docs.WAYPOINTS)
     entities = spark.createDataFrame(
         [(10, "Alpha", "Humans", 50, 100, 7, 0.0), (11, "ALPHA", "None", 1, 1, 1, 1.0),
@@ -43,7 +43,7 @@ def built(spark, tmp_path_factory):
         [(10, 1, "defense", "Humans"), (10, 0, "", "Terminids"), (13, 2, None, None)],
         "entity_id bigint, seq int, contest_class string, faction string",
     )
-    return starmap.build(star_map, waypoints, entities, contests)
+    return atlas.build(chart, waypoints, entities, contests)
 
 
 def test_nodes(built):
@@ -71,13 +71,13 @@ def test_lines_and_links(built):
     assert lines == [("main", 1, 2), ("main", 1, 4), ("main", 2, 4), ("void", 3, 3)]
     links = sorted(tuple(r) for r in built.links.select("src", "dst", "layer", "rate").collect())
     assert links == [(1, 1, "main", 1.0), (13, 13, "main", 1.0)]
-    counts = {r["layer"]: tuple(r) for r in starmap.layer_counts(built).collect()}
+    counts = {r["layer"]: tuple(r) for r in atlas.layer_counts(built).collect()}
     assert counts == {"main": ("main", 4, 1, 2), "void": ("void", 1, 1, 0)}
 
 
 def test_member_info(spark, tmp_path):
     (tmp_path / "map.json").write_text(json.dumps(MAP), encoding="utf-8")
-    info = starmap.member_info(docs.read_table(spark, str(tmp_path / "map.json"), docs.STAR_MAP))
+    info = atlas.member_info(docs.read_table(spark, str(tmp_path / "map.json"), docs.ATLAS))
     found = {r["name"]: r.asDict() for r in info.collect()}
     # Exact names: "Alpha" of the list and "ALPHA" of the map are two entries.
     assert found["ALPHA"]["id"] == 1 and found["ALPHA"]["sector"] == "other"
@@ -95,7 +95,7 @@ def test_names_without_an_entry(spark):
 
 
 def test_projection(built):
-    placed = starmap.projected(built.nodes, 1200, 700).where(F.col("name_en") == "BETA").first()
+    placed = atlas.projected(built.nodes, 1200, 700).where(F.col("name_en") == "BETA").first()
     assert (placed["px"], placed["py"]) == (60.0, 60.0)
 
 
@@ -132,7 +132,7 @@ def test_missing_and_defective_tables(spark, tmp_path):
     missing = docs.read_table(spark, str(tmp_path / "none.json"), docs.NAMES)
     assert missing.count() == 0 and missing.schema["doc"].dataType.typeName() == "map"
     (tmp_path / "bad.json").write_text("{oops", encoding="utf-8")
-    assert docs.read_table(spark, str(tmp_path / "bad.json"), docs.STAR_MAP).count() == 0
+    assert docs.read_table(spark, str(tmp_path / "bad.json"), docs.ATLAS).count() == 0
 
 
 def test_sources_that_fail(spark):
