@@ -59,15 +59,21 @@ def retention_tail(
 def append_if_absent(store: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """The store plus the incoming rows whose key it does not hold yet.
 
-    Repeats inside the incoming rows are dropped too.
+    Repeats inside the incoming rows are dropped too, see ``new_rows``.
     """
     return store.unionByName(new_rows(store, incoming, keys))
 
 
 def new_rows(store: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key the store does not hold, one per key."""
+    """Incoming rows whose key the store does not hold.
+
+    Of different rows with the same key the smallest counts, so that a repeated task
+    picks the same one.
+    """
     known = store.select(*keys).distinct()
-    return incoming.dropDuplicates(keys).join(known, keys, "left_anti")
+    fresh = incoming.join(known, keys, "left_anti")
+    others = [F.col(c) for c in incoming.columns if c not in keys]
+    return first_per_key(fresh, keys, others) if others else fresh.distinct()
 
 
 def carry_forward(

@@ -93,19 +93,18 @@ def with_exists(
     )
 
 
-def anti_fill(keyed: DataFrame, nested: DataFrame, key: Column | str, origin: str = "origin"):
-    """The keyed rows plus the nested ones whose key the keyed side lacks, one per key.
+def anti_fill(
+    keyed: DataFrame, nested: DataFrame, key: Column | str, order: Column, origin: str = "origin"
+) -> DataFrame:
+    """The keyed rows plus the nested ones whose key the keyed side lacks.
 
-    ``key`` is computed on both sides, e.g. ``upper(name)``.
+    ``key`` is computed on both sides, e.g. ``upper(name)``; of nested rows with the same
+    key the first in ``order`` counts.
     """
     key = F.col(key) if isinstance(key, str) else key
     known = keyed.select(key.alias("_key")).distinct()
-    extra = (
-        nested.withColumn("_key", key)
-        .dropDuplicates(["_key"])
-        .join(known, "_key", "left_anti")
-        .drop("_key")
-    )
+    missing = nested.withColumn("_key", key).join(known, "_key", "left_anti")
+    extra = first_per_key(missing, ["_key"], [order]).drop("_key")
     return keyed.withColumn(origin, F.lit("keyed")).unionByName(
         extra.withColumn(origin, F.lit("filled")), True
     )

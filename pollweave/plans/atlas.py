@@ -64,8 +64,8 @@ def build(
     index = network.name_index(nested.drop("id", "x", "y"), keyed.drop("id", "x", "y"))
     named = nested.where(falsy.text(F.col("name")).isNotNull())
     members = network.anti_fill(
-        keyed.drop("seq"), named.drop("seq", "id", "x", "y"), F.upper("name")
-    )
+        keyed, named.drop("id", "x", "y"), F.upper("name"), F.col("seq")
+    ).drop("seq")
     located = network.resolve_names(members, "name", index)
     status = network.first_by_name(
         entities.select(

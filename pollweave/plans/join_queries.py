@@ -235,7 +235,7 @@ FROM customer LEFT JOIN (
 def anti_fill(spark, sf):
     keyed = table(spark, sf, "labels", "doc_id", "quality")
     nested = table(spark, sf, "documents", "doc_id", "lang", "source")
-    return network.anti_fill(keyed, nested, "doc_id")
+    return network.anti_fill(keyed, nested, "doc_id", F.col("source"))
 
 
 ANTI_FILL = """

@@ -21,6 +21,7 @@ from pollweave.sources.documents import POLL
 DOCUMENT_ROWS = 100_000
 
 _EFFECTS = "array<bigint>"
+_SERIES_FACTIONS = ["Humans", "Terminids", "Automatons", "Illuminate"]
 
 
 class NoSource(RuntimeError):
@@ -221,7 +222,10 @@ def _war(sources, polls) -> DataFrame:
     players = overlay.sum_or(
         F.col("live_summed"), F.col("live__matched").isNotNull(), F.col("rest_players")
     )
-    return war.select(POLL, SOURCE, "time", players.alias("players"), "started", "ended")
+    return war.select(
+        POLL, SOURCE, "time", players.alias("players"), "missions_won", "missions_lost", "started",
+        "ended",
+    )
 
 
 def _carry(polls: DataFrame, rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
@@ -359,6 +363,7 @@ def poll_documents(
     recon = status.recon.select(
         POLL,
         "entity_id",
+        F.lit(None).cast("double").alias("healthImpact"),
         F.col("success_per_hour").alias("successPerHour"),
         F.col("fail_per_hour").alias("failPerHour"),
         F.col("enemies_per_hour").alias("enemiesPerHour"),
@@ -368,8 +373,8 @@ def poll_documents(
     )
     assignment = _single(
         status.assignments.select(
-            POLL, "id", "briefing", "title", "tasks", "progress", "expiration", "deadline",
-            F.col("server_time").alias("serverTime"),
+            POLL, "id", "briefing", "title", F.parse_json("tasks").alias("tasks"), "progress",
+            "expiration", "deadline", F.col("server_time").alias("serverTime"),
         ),
         "assignments",
     )
@@ -384,8 +389,14 @@ def poll_documents(
     war = status.war.select(
         POLL,
         F.struct(
-            "time", F.struct(F.col("players").alias("playerCount")).alias("statistics"),
-            "started", "ended",
+            "time",
+            F.struct(
+                F.col("players").alias("playerCount"),
+                F.col("missions_won").alias("missionsWon"),
+                F.col("missions_lost").alias("missionsLost"),
+            ).alias("statistics"),
+            "started",
+            "ended",
         ).alias("war"),
     )
     recon_map = recon.groupBy(POLL).agg(
@@ -413,7 +424,11 @@ def poll_documents(
         parts.append(
             series.select(
                 POLL,
-                F.struct("timestamp", "total_players", "factions").alias("player_distribution"),
+                F.struct(
+                    F.col("total_players").alias("total"),
+                    *[F.col(f"factions.{c}").alias(c.lower()) for c in _SERIES_FACTIONS],
+                    F.col("timestamp").alias("updatedAt"),
+                ).alias("player_distribution"),
                 F.col("impact_multiplier").alias("impactMultiplier"),
             )
         )

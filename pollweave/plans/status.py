@@ -149,6 +149,7 @@ def read_primary(
         POLL,
         F.coalesce("time", F.lit(0)).alias("time"),
         F.coalesce("doc.statistics.playerCount", F.lit(0)).alias("players"),
+        *_no_missions(),
         F.col("doc.started").alias("started"),
         F.col("doc.ended").alias("ended"),
     )
@@ -213,6 +214,7 @@ def read_aggregate(
         POLL,
         F.coalesce("doc.time", F.lit(0)).alias("time"),
         F.coalesce("doc.statistics.playerCount", F.lit(0)).alias("players"),
+        *_no_missions(),
         F.lit(None).cast("string").alias("started"),
         F.lit(None).cast("string").alias("ended"),
     )
@@ -302,6 +304,8 @@ def read_rest(
             POLL,
             F.lit(0).cast("bigint").alias("time"),
             F.coalesce("doc.statistics.playerCount", F.lit(0)).alias("players"),
+            F.coalesce("doc.statistics.missionsWon", F.lit(0)).alias("missions_won"),
+            F.coalesce("doc.statistics.missionsLost", F.lit(0)).alias("missions_lost"),
             F.col("doc.started").alias("started"),
             F.col("doc.ended").alias("ended"),
         ),
@@ -358,6 +362,11 @@ _PROGRESS = {
 }
 
 
+def _no_missions():
+    """Only the REST source counts missions."""
+    return [F.lit(0).cast("bigint").alias(c) for c in ("missions_won", "missions_lost")]
+
+
 def _integer_text(value):
     """A variant's text where it is an integer."""
     return F.when(F.schema_of_variant(value) == "BIGINT", normalize.variant_text(value))

@@ -45,7 +45,8 @@ ENTITIES = """array<struct<index: bigint, name: string, sector: string, currentO
 CONTESTS = """array<struct<id: bigint, faction: string, type: variant, eventType: bigint,
   campaignType: string, count: bigint, defendersProgress: double,
   planet: struct<index: bigint, name: string, sector: string, currentOwner: string>>>"""
-WAR = "struct<statistics: struct<playerCount: bigint>, started: string, ended: string>"
+WAR = """struct<statistics: struct<playerCount: bigint, missionsWon: bigint, missionsLost: bigint>,
+  started: string, ended: string>"""
 SERIES = """struct<data: array<struct<timestampUtc: string, totalPlayerCount: bigint,
   playerCountHumans: bigint, playerCountTerminids: bigint, playerCountAutomatons: bigint,
   playerCountIlluminate: bigint, impactMultiplier: double>>>"""

@@ -120,8 +120,8 @@ def test_retention(spark, count):
 
 def test_append_if_absent_drops_repeats(spark):
     store = spark.createDataFrame([(1, "s")], "ts int, v string")
-    incoming = spark.createDataFrame([(1, "n"), (2, "n"), (2, "n")], "ts int, v string")
-    assert rows(history.append_if_absent(store, incoming, ["ts"])) == [(1, "s"), (2, "n")]
+    incoming = spark.createDataFrame([(1, "n"), (2, "n"), (2, "m"), (2, "n")], "ts int, v string")
+    assert rows(history.append_if_absent(store, incoming, ["ts"])) == [(1, "s"), (2, "m")]
 
 
 def skewed(spark, count=3000, seed=3):

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as driver
 from conftest import DATA
+from pollweave.operators import history, ordered
 
 QUERIES, SQL = driver.queries(), driver.oracle_sql()
 SMALL = f"{DATA}/sf0.001"
@@ -33,6 +34,35 @@ def test_query_equals_sql(spark, con, key):
     assert dict(df.dtypes) == compare.sql_types(con, SQL[key])
 
 
+# Settings under which small tables take the way of large ones.
+AS_IF_LARGE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+}
+
+
+@pytest.mark.parametrize(
+    "key", ["entity_board", "contest_enrich", "poll_rows", "edges_in_layer", "edge_cull",
+            "incident_edges", "radius_hit", "carry_forward", "delta_rate", "anti_fill"])
+def test_query_without_broadcasts_and_with_hot_keys(spark, con, key, monkeypatch):
+    for function in (ordered.previous_values, ordered.last_known):
+        monkeypatch.setattr(function, "__defaults__", (40, None))
+    monkeypatch.setattr(history.carry_forward, "__defaults__", (40, None))
+    monkeypatch.setattr(history.delta_rate, "__defaults__", (None, 40))
+    before = {k: spark.conf.get(k, None) for k in AS_IF_LARGE}
+    try:
+        for name, value in AS_IF_LARGE.items():
+            spark.conf.set(name, value)
+        _, found = compare.spark_rows(QUERIES[key](spark, SMALL))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert found == compare.sql_rows(con, SQL[key])[1]
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
 

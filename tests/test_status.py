@@ -350,7 +350,11 @@ def test_documents(spark, landing, tmp_path, monkeypatch):
     assert [c["planet"]["index"] for c in first["campaigns"]] == [9, 12, 7]
     assert first["assignments"]["id"] == 88 and first["dss"]["planetIndex"] == 7
     assert first["recon_stats"]["9"]["successRate"] == 75.0
-    assert first["impactMultiplier"] == 0.5 and first["war"]["statistics"]["playerCount"] == 44
+    assert first["impactMultiplier"] == 0.5
+    assert first["war"]["statistics"] == {"playerCount": 44, "missionsWon": 0, "missionsLost": 0}
+    assert first["assignments"]["tasks"] == [{"a": 1}]
+    assert first["player_distribution"] == {"total": 10, "humans": 0, "terminids": 2,
+                                            "automatons": 0, "illuminate": 0, "updatedAt": "t1"}
     assert first["major_order"] == {"title": "M", "brief": "", "translated_brief": "X",
                                     "translated_at": ""}
     assert [n["id"] for n in first["news"]] == [1]
