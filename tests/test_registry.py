@@ -8,8 +8,10 @@ import pytest
 import __spark_entry__ as driver
 from conftest import DATA
 from pollweave.operators import history, ordered
+from pollweave.plans.registry import registered
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES = {k: q for k, q in driver.queries().items() if k in registered()}
+SQL = {k: sql for k, sql in driver.oracle_sql().items() if k in QUERIES}
 SMALL = f"{DATA}/sf0.001"
 
 
