@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollweave.llm import common, sharding
+from pollweave.llm import common, decontaminate, sharding
 from pollweave.sources.tables import table
 
 SHARDS = 40
@@ -23,6 +23,34 @@ def op1_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _joined_digest(column: str):
+    """Distinct strings of an array, sorted and comma-joined, as SHA-256."""
+    return F.sha2(F.array_join(F.array_sort(column), ","), 256)
+
+
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ready(spark)
+    found = decontaminate.find(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        table(spark, sf_dir, "benchmark", "item_id", "text"),
+        keep=["doc_id"],
+    )
+    hit = F.aggregate(
+        F.zip_with("starts", "ends", lambda s, e: (e - s).cast("long")),
+        F.lit(0).cast("long"),
+        lambda x, y: x + y,
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        _joined_digest("items").alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
+    "op10_fm_index": (op10_fm_index, None),
 }
