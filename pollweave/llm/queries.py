@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollweave.llm import common, decontaminate, sharding
+from pollweave.llm import common, decontaminate, licenses, quality, sharding
 from pollweave.sources.tables import table
 
 SHARDS = 40
@@ -23,6 +23,35 @@ def op1_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
+    found = licenses.scan(docs, keep=["doc_id"])
+    base = F.filter("licenses.detections", lambda d: d["kind"] == "base")
+    one = found.select(
+        "doc_id", "licenses.n_words", base.alias("base"), F.col("licenses.kept").alias("kept"))
+    starts = F.transform("base", lambda d: d["start"].cast("long"))
+    label = lambda found: F.transform(found, lambda d: d["label"])
+    joined = lambda labels: F.array_join(F.array_sort(labels), ",")
+    return one.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(F.array_distinct(label("base"))).alias("base_labels"),
+        joined(F.array_union(label("base"), label("kept"))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("kept", lambda d: d["score"])), F.lit(0.0)).alias(
+            "score"),
+    )
+
+
+def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.ready(spark)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, keep=["doc_id"]).select("doc_id", "quality.*")
+
+
 def _joined_digest(column: str):
     """Distinct strings of an array, sorted and comma-joined, as SHA-256."""
     return F.sha2(F.array_join(F.array_sort(column), ","), 256)
@@ -52,5 +81,7 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
+    "op2_signatures": (op2_signatures, None),
+    "op3_likelihood_ratio": (op3_likelihood_ratio, None),
     "op10_fm_index": (op10_fm_index, None),
 }
