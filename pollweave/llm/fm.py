@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from pollweave.llm import kernels
+
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffix order by prefix doubling; symbol 0 ends a segment and never equals another."""
@@ -87,9 +89,9 @@ class FMIndex:
 
     SAMPLE = 8
 
-    def __init__(self, symbols: np.ndarray, size: int):
+    def __init__(self, symbols: np.ndarray, size: int, order: np.ndarray | None = None):
         self.n = len(symbols)
-        order = suffix_array(symbols)
+        order = suffix_array(symbols) if order is None else order
         self.wavelet = Wavelet(symbols[order - 1], size)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
         # A suffix is sampled if its place is a multiple of SAMPLE or opens a segment;
@@ -147,3 +149,53 @@ class FMIndex:
             rows[live] = self.below[symbol] + before
             steps[live] += 1
         return place
+
+
+def runs(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """The run of each suffix row: rows whose first ``depth`` symbols are the same.
+
+    A suffix that meets the end of its segment before is a run of its own.
+    """
+    n = len(symbols)
+    grams = np.zeros(n, np.uint64)
+    found = kernels.ngram_hashes(kernels.mixed(symbols.astype(np.uint64)), depth)
+    grams[: len(found)] = found
+    ends = np.flatnonzero(symbols == 0)
+    after = ends[np.minimum(np.searchsorted(ends, np.arange(n)), len(ends) - 1)]
+    whole = after - np.arange(n) >= depth
+    same = np.zeros(n, bool)
+    left, right = order[:-1], order[1:]
+    same[1:] = whole[left] & whole[right] & (grams[left] == grams[right])
+    return np.cumsum(~same) - 1
+
+
+def matching_intervals(
+    index: FMIndex, symbols: np.ndarray, order: np.ndarray, starts, sizes, width: int
+) -> np.ndarray:
+    """A suffix row of the interval of every window of ``width`` symbols of each segment.
+
+    Segments are read backwards side by side. Once ``width`` symbols match, the interval
+    is first widened to all suffixes that share the first ``width - 1``, so that every
+    symbol costs one backward step. Windows come in order of segment and start.
+    """
+    run = runs(symbols, order, width - 1)
+    opens = np.flatnonzero(np.diff(run, prepend=-1))
+    closes = np.append(opens[1:], len(run))
+    counts = np.maximum(sizes - width + 1, 0)
+    base = np.cumsum(counts) - counts
+    out = np.zeros(int(counts.sum()), np.int64)
+    by_size = np.argsort(-sizes, kind="stable")
+    low = np.zeros(len(sizes), np.int64)
+    high = np.full(len(sizes), index.n, np.int64)
+    ordered = sizes[by_size]
+    for t in range(int(ordered[0]) if len(ordered) else 0):
+        live = int(np.searchsorted(-ordered, -t, side="left"))  # those longer than t
+        low, high, own = low[:live], high[:live], by_size[:live]
+        if t >= width:
+            at = run[low]
+            low, high = opens[at], closes[at]
+        place = sizes[own] - 1 - t
+        low, high = index.step(symbols[starts[own] + place], low, high)
+        if t >= width - 1:
+            out[base[own] + place] = low
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollweave.llm import common, decontaminate, licenses, quality, sharding
+from pollweave.llm import common, decontaminate, licenses, quality, sharding, similar, substrings
 from pollweave.sources.tables import table
 
 SHARDS = 40
@@ -52,6 +52,17 @@ def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, keep=["doc_id"]).select("doc_id", "quality.*")
 
 
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
+    return similar.classes(docs).withColumnRenamed("key", "doc_id")
+
+
+def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
+    return substrings.repeats(docs).select(
+        F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def _joined_digest(column: str):
     """Distinct strings of an array, sorted and comma-joined, as SHA-256."""
     return F.sha2(F.array_join(F.array_sort(column), ","), 256)
@@ -83,5 +94,7 @@ QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
     "op2_signatures": (op2_signatures, None),
     "op3_likelihood_ratio": (op3_likelihood_ratio, None),
+    "op6_minhash_join": (op6_minhash_join, None),
+    "op8_fm_index": (op8_fm_index, None),
     "op10_fm_index": (op10_fm_index, None),
 }
