@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollweave.llm import common, decontaminate, licenses, quality, sharding, similar, substrings
+from pollweave.llm import (
+    common,
+    decontaminate,
+    licenses,
+    packing,
+    quality,
+    sharding,
+    similar,
+    substrings,
+    token_files,
+)
 from pollweave.sources.tables import table
 
 SHARDS = 40
@@ -57,12 +67,24 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.classes(docs).withColumnRenamed("key", "doc_id")
 
 
+def op7_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
+    folder, manifest = token_files.write(docs)
+    return token_files.read(manifest, folder).select(
+        F.col("key").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
     return substrings.repeats(docs).select(
         F.col("key").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op9_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
+    return packing.pack(packing.pieces(docs)).withColumnRenamed("key", "doc_id")
+
+
 def _joined_digest(column: str):
     """Distinct strings of an array, sorted and comma-joined, as SHA-256."""
     return F.sha2(F.array_join(F.array_sort(column), ","), 256)
@@ -95,6 +117,8 @@ QUERIES = {
     "op2_signatures": (op2_signatures, None),
     "op3_likelihood_ratio": (op3_likelihood_ratio, None),
     "op6_minhash_join": (op6_minhash_join, None),
+    "op7_perfect_hash": (op7_perfect_hash, None),
     "op8_fm_index": (op8_fm_index, None),
+    "op9_least_squares": (op9_least_squares, None),
     "op10_fm_index": (op10_fm_index, None),
 }
