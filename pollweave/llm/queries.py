@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pollweave.llm import (
     common,
     decontaminate,
+    language,
     licenses,
     packing,
     quality,
@@ -14,6 +15,7 @@ from pollweave.llm import (
     similar,
     substrings,
     token_files,
+    warc,
 )
 from pollweave.sources.tables import table
 
@@ -62,6 +64,19 @@ def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, keep=["doc_id"]).select("doc_id", "quality.*")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(common.ready(spark), sf_dir, "pages", "page_id", "url", "html")
+    folder, manifest = warc.write(pages)
+    return warc.read(manifest, folder).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        "refers_to")
+
+
+def op5_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs)).withColumnRenamed("key", "doc_id")
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "text")
     return similar.classes(docs).withColumnRenamed("key", "doc_id")
@@ -116,6 +131,8 @@ QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
     "op2_signatures": (op2_signatures, None),
     "op3_likelihood_ratio": (op3_likelihood_ratio, None),
+    "op4_warc": (op4_warc, None),
+    "op5_rank_order": (op5_rank_order, None),
     "op6_minhash_join": (op6_minhash_join, None),
     "op7_perfect_hash": (op7_perfect_hash, None),
     "op8_fm_index": (op8_fm_index, None),
