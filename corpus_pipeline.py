@@ -2,13 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from pollweave.llm import common, decontaminate, packing, quality, similar, substrings
+from pollweave.sources.tables import table
 
+
+def _sized(docs: DataFrame, columns: list) -> DataFrame:
+    """The given columns, ``n_chars`` counted anew."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return docs.select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the counts and the likelihood ratio."""
+    common.ready(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, model)
+    verdict = judged.columns[-1]
+    return judged.where(F.col(f"{verdict}.kept")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least id."""
+    common.ready(spark)
+    return similar.distinct(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a smaller id holds; emptied documents go."""
+    common.ready(spark)
+    found = substrings.repeats(docs, with_text=True).where("n_removed > 0").select(
+        F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), "kept_text",
+        (F.col("n_removed") == F.col("n_words")).alias("__emptied"),
+    ).dropDuplicates(["__key", "__hash"])
+    found = found.withColumnRenamed("kept_text", "__text")
+    own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    joined = docs.join(
+        found, (own == F.col("__hash")) & (F.col("doc_id") == F.col("__key")), "left")
+    cleaned = joined.where(~F.coalesce("__emptied", F.lit(False))).withColumn(
+        "text", F.coalesce("__text", "text"))
+    return _sized(cleaned, docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of benchmark items; documents of nothing else go."""
+    common.ready(spark)
+    found = decontaminate.find(
+        docs, table(spark, sf_dir, "benchmark", "item_id", "text"), remove=True)
+    n_words, starts, ends, _ = found.columns[-4:]
+    hit = F.aggregate(
+        F.zip_with(starts, ends, lambda s, e: e - s), F.lit(0), lambda x, y: x + y)
+    emptied = (F.size(starts) > 0) & (hit == F.col(n_words))
+    return _sized(found.where(~emptied), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents and their places in sequences."""
+    common.ready(spark)
+    return packing.pack(packing.pieces(docs)).withColumnRenamed("key", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed),
+]
+
+# Tokens, FM-indexes and MinHash have no SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written and read again."""
-    raise NotImplementedError
+    """The stages one after the other, each written and read again as the next one's input."""
+    common.ready(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,6 +46,15 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def settled(df: DataFrame, row: str, result: Column, name: str) -> DataFrame:
+    """The fields of the struct ``row`` with ``result``, worked out once per row.
+
+    The one-element explode keeps later filters on the result above it: pushed through a
+    chain of projections, a filter would repeat all their expressions inside one another.
+    """
+    return df.select(row, F.explode(F.array(result)).alias(name)).select(f"{row}.*", name)
+
+
 def arrow_map(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator], schema: str
 ) -> DataFrame:

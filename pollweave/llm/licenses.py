@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from pollweave.llm import license_rules
-from pollweave.llm.common import free_name
+from pollweave.llm.common import free_name, settled
 
 # A-Z count as their lower case, so both are letters of words here.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -73,9 +73,8 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
         _swept,
         lambda state: state["kept"],
     )
-    return three.select(
-        "row.*",
-        F.struct("n_words", F.col("found").alias("detections"), kept.alias("kept")).alias(name))
+    result = F.struct("n_words", F.col("found").alias("detections"), kept.alias("kept"))
+    return settled(three, "row", result, name)
 
 
 def _places(rule):

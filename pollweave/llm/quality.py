@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pollweave.llm.common import free_name
+from pollweave.llm.common import free_name, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -168,11 +168,9 @@ def judge(
         "*", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")).drop("places")
     failed = (F.col("n_words") < 10) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return table.select(
-        "row.*",
-        F.struct(
-            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
-            failed.alias("base_failed"),
-            (~failed & (F.col("score") >= model.threshold)).alias("kept"),
-        ).alias(name),
+    verdict = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",
+        failed.alias("base_failed"),
+        (~failed & (F.col("score") >= model.threshold)).alias("kept"),
     )
+    return settled(table, "row", verdict, name)

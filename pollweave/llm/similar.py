@@ -221,6 +221,43 @@ def _verified(pairs: DataFrame, hasher: Hasher, similarity: tuple) -> DataFrame:
     return arrow_map(pairs, function, "node binary, parent binary, links bigint")
 
 
+def _solved(source: DataFrame, similarity: tuple, shingle: int, recall: float):
+    """The rows' signatures, and every node with its chosen row, component and links."""
+    bands, rows = banding(similarity[0] / similarity[1], recall)
+    hasher = Hasher(shingle, bands, rows)
+    signed = staged(_signatures(source, hasher), "signatures")
+    nodes = signed.where("node is not null").groupBy("node").agg(
+        F.min_by(F.struct("key", "text_hash"), F.struct(F.col("key").isNull(), "key", "text_hash"))
+        .alias("chosen"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("buckets").alias("buckets"),
+    )
+    nodes = staged(nodes.select("node", "chosen.*", "copies", "buckets"), "nodes")
+    buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(
+        F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    ties = buckets.join(shared.select("bucket", "low"), "bucket").where("node <> low").select(
+        F.col("node").alias("u"), F.col("low").alias("v"))
+    candidates = staged(
+        components(ties).select("node", F.col("component").alias("candidate")), "candidates")
+    forest = _forest(source, nodes, candidates, hasher, similarity)
+    roots = components(forest.select(F.col("node").alias("u"), F.col("parent").alias("v")))
+    links = forest.groupBy("node").agg(F.sum("links").alias("links"))
+    classed = (
+        nodes.select("node", "key", "text_hash", "copies")
+        .join(roots, "node", "left")
+        .join(links, "node", "left")
+        .select("node", "key", "text_hash", "copies",
+                F.coalesce("component", "node").alias("component"),
+                F.coalesce("links", F.lit(0)).alias("links"))
+    )
+    return signed, staged(classed, "components")
+
+
+def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+
+
 def classes(
     docs: DataFrame,
     similarity: tuple[int, int] = SIMILARITY,
@@ -247,34 +284,7 @@ def classes(
     their own key. Null keys are least in no class unless it has no other; repeated rows
     are copies. An empty table gives no rows; other columns are not read.
     """
-    bands, rows = banding(similarity[0] / similarity[1], recall)
-    hasher = Hasher(shingle, bands, rows)
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    signed = staged(_signatures(source, hasher), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(
-        F.min_by(F.struct("key", "text_hash"), F.struct(F.col("key").isNull(), "key", "text_hash"))
-        .alias("chosen"),
-        F.count(F.lit(1)).alias("copies"),
-        F.first("buckets").alias("buckets"),
-    )
-    nodes = staged(nodes.select("node", "chosen.*", "copies", "buckets"), "nodes")
-    buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(
-        F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    ties = buckets.join(shared.select("bucket", "low"), "bucket").where("node <> low").select(
-        F.col("node").alias("u"), F.col("low").alias("v"))
-    candidates = staged(
-        components(ties).select("node", F.col("component").alias("candidate")), "candidates")
-    forest = _forest(source, nodes, candidates, hasher, similarity)
-    roots = components(forest.select(F.col("node").alias("u"), F.col("parent").alias("v")))
-    links = forest.groupBy("node").agg(F.sum("links").alias("links"))
-    classed = (
-        nodes.select("node", "key", "copies")
-        .join(roots, "node", "left")
-        .join(links, "node", "left")
-        .select("node", "key", "copies", F.coalesce("component", "node").alias("component"),
-                F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    signed, classed = _solved(_source(docs, key, text), similarity, shingle, recall)
     least = classed.groupBy("component").agg(F.min("key").alias("class_id"))
     by_node = staged(
         classed.join(least, "component").select(
@@ -289,6 +299,38 @@ def classes(
         )
 
 
+def distinct(
+    docs: DataFrame,
+    similarity: tuple[int, int] = SIMILARITY,
+    shingle: int = SHINGLE,
+    recall: float = RECALL,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that stay if one of each class does: that of the least key.
+
+    Classes are those of ``classes``; a null key stays only where a class has no other.
+    Rows without words all stay. All columns are returned as they are.
+    """
+    _, classed = _solved(_source(docs, key, text), similarity, shingle, recall)
+    chosen = classed.groupBy("component").agg(
+        F.min_by(F.struct("key", "text_hash"), F.struct(F.col("key").isNull(), "key", "text_hash"))
+        .alias("chosen")).select(
+            F.col("chosen.key").alias("__key"), F.col("chosen.text_hash").alias("__hash"))
+    body = F.col(text).cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("own"), body.alias("body"))
+    worded = F.coalesce(F.col("body").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = rows.where(worded).join(
+        chosen, (F.xxhash64("body") == F.col("__hash")) & F.col("own").eqNullSafe(F.col("__key")),
+        "left_semi")
+    repeated = (
+        docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"))
+        .groupBy("key", "hash").count().where("count > 1"))
+    if not repeated.isEmpty():  # rows of one key and text: the first of them
+        kept = kept.groupBy("own", F.xxhash64("body")).agg(F.first("row").alias("row"))
+    return kept.select("row.*").unionByName(rows.where(~worded).select("row.*"))
+
+
 def _forest(source, nodes, candidates, hasher, similarity) -> DataFrame:
     """Verified links of all candidate groups, reduced to (node, parent, links)."""
     sizes = candidates.groupBy("candidate").agg(
