@@ -81,11 +81,9 @@ def carry_forward(
     keys: list[str],
     order: list[str],
     columns: list[str],
-    hot_rows: int = ordered.HOT_ROWS,
-    size_of: DataFrame | None = None,
 ) -> DataFrame:
     """Replace null values by the newest earlier non-null value of the key."""
-    filled = ordered.last_known(df, keys, order, columns, hot_rows, size_of)
+    filled = ordered.last_known(df, keys, order, columns)
     return filled.select(
         *[F.col(f"last_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
     )
@@ -97,10 +95,9 @@ def delta_rate(
     ts: str,
     value: str,
     tie: list[str] | None = None,
-    hot_rows: int = ordered.HOT_ROWS,
 ) -> DataFrame:
     """Add ``rate``: change of ``value`` per hour since the key's previous poll."""
-    before = ordered.previous_values(df, keys, [ts, *(tie or [])], [ts, value], hot_rows)
+    before = ordered.previous_values(df, keys, [ts, *(tie or [])], [ts, value])
     return before.withColumn("rate", rate_since(ts, value)).drop(f"prev_{ts}", f"prev_{value}")
 
 

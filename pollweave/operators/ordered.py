@@ -1,13 +1,8 @@
 """Row-to-row operators along the poll order of each key.
 
-A window sorts a whole key in one task. That is right while every key is small,
-so the size of the largest keys is checked first. Keys above ``hot_rows`` are
-range-partitioned on (key, order) instead, which cuts them into even segments;
-each segment is handled by itself and only the last row of each segment is
-carried to the next. The result is the same either way.
-
-``size_of`` may name a table with the same keys that is cheaper to count than rows
-that come out of joins.
+Rows are range-partitioned on (key, order), which cuts large keys into even segments; each
+segment is handled by itself, and only the last row of each segment is carried to the next
+one of its key. So no key goes to one task, whatever its size, and nothing is counted first.
 """
 
 from __future__ import annotations
@@ -18,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pollweave.session import checkpointed
 
-HOT_ROWS = 2_000_000
 SEGMENT = "_segment"
 
 
@@ -27,38 +21,30 @@ def previous_values(
     keys: list[str],
     order: list[str],
     columns: list[str],
-    hot_rows: int = HOT_ROWS,
-    size_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``prev_<column>``: the value of the row before, within the key."""
 
-    def plain(rows: DataFrame) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.select("*", *[F.lag(c).over(window).alias(f"prev_{c}") for c in columns])
-
-    def segmented(rows: DataFrame) -> DataFrame:
-        within = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-        tails = rows.groupBy(*keys, SEGMENT).agg(
-            F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail")
-        )
-        across = Window.partitionBy(*keys).orderBy(SEGMENT)
-        tails = tails.withColumn("_before", F.lag("_tail").over(across)).drop("_tail")
-        inner = rows.select(
-            "*",
-            F.row_number().over(within).alias("_rn"),
-            *[F.lag(c).over(within).alias(f"prev_{c}") for c in columns],
-        )
-        joined = _join_segments(inner, tails, keys)
-        first = F.col("_rn") == 1
-        return joined.select(
-            *rows.columns,
-            *[
-                F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}")
-                for c in columns
-            ],
-        ).drop(SEGMENT)
-
-    return _by_key_size(df, keys, order, hot_rows, size_of, plain, segmented)
+    rows = _segmented(df, keys, order)
+    within = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    tails = rows.groupBy(*keys, SEGMENT).agg(
+        F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail")
+    )
+    across = Window.partitionBy(*keys).orderBy(SEGMENT)
+    tails = tails.withColumn("_before", F.lag("_tail").over(across)).drop("_tail")
+    inner = rows.select(
+        "*",
+        F.row_number().over(within).alias("_rn"),
+        *[F.lag(c).over(within).alias(f"prev_{c}") for c in columns],
+    )
+    joined = _join_segments(inner, tails, keys)
+    first = F.col("_rn") == 1
+    return joined.select(
+        *rows.columns,
+        *[
+            F.when(first, F.col(f"_before.{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}")
+            for c in columns
+        ],
+    ).drop(SEGMENT)
 
 
 def last_known(
@@ -66,81 +52,55 @@ def last_known(
     keys: list[str],
     order: list[str],
     columns: list[str],
-    hot_rows: int = HOT_ROWS,
-    size_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``last_<column>``: the newest non-null value up to and including the row."""
 
-    def plain(rows: DataFrame) -> DataFrame:
-        window = (
-            Window.partitionBy(*keys)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return rows.select(
-            "*", *[F.last(c, ignorenulls=True).over(window).alias(f"last_{c}") for c in columns]
-        )
-
-    def segmented(rows: DataFrame) -> DataFrame:
-        within = (
-            Window.partitionBy(*keys, SEGMENT)
-            .orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        position = F.struct(*order)
-        tails = rows.groupBy(*keys, SEGMENT).agg(
-            *[
-                F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_tail_{c}")
-                for c in columns
-            ]
-        )
-        across = (
-            Window.partitionBy(*keys)
-            .orderBy(SEGMENT)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        tails = tails.select(
-            *keys,
-            SEGMENT,
+    rows = _segmented(df, keys, order)
+    within = (
+        Window.partitionBy(*keys, SEGMENT)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    position = F.struct(*order)
+    tails = rows.groupBy(*keys, SEGMENT).agg(
+        *[
+            F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_tail_{c}")
+            for c in columns
+        ]
+    )
+    across = (
+        Window.partitionBy(*keys)
+        .orderBy(SEGMENT)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    tails = tails.select(
+        *keys,
+        SEGMENT,
+        *[
+            F.last(f"_tail_{c}", ignorenulls=True).over(across).alias(f"_before_{c}")
+            for c in columns
+        ],
+    )
+    inner = rows.select(
+        "*", *[F.last(c, ignorenulls=True).over(within).alias(f"last_{c}") for c in columns]
+    )
+    return (
+        _join_segments(inner, tails, keys)
+        .select(
+            *rows.columns,
             *[
-                F.last(f"_tail_{c}", ignorenulls=True).over(across).alias(f"_before_{c}")
+                F.coalesce(F.col(f"last_{c}"), F.col(f"_before_{c}")).alias(f"last_{c}")
                 for c in columns
             ],
         )
-        inner = rows.select(
-            "*", *[F.last(c, ignorenulls=True).over(within).alias(f"last_{c}") for c in columns]
-        )
-        return (
-            _join_segments(inner, tails, keys)
-            .select(
-                *rows.columns,
-                *[
-                    F.coalesce(F.col(f"last_{c}"), F.col(f"_before_{c}")).alias(f"last_{c}")
-                    for c in columns
-                ],
-            )
-            .drop(SEGMENT)
-        )
-
-    return _by_key_size(df, keys, order, hot_rows, size_of, plain, segmented)
-
-
-def _by_key_size(df, keys, order, hot_rows, size_of, plain, segmented) -> DataFrame:
-    counted = df if size_of is None else size_of
-    hot = counted.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    total = hot.agg(F.sum("count").alias("rows")).first()["rows"]
-    if total is None:
-        return plain(df)
-    hot_keys = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-    matches = _null_safe(df, hot_keys, keys, "_hot_")
-    cold_rows = plain(df.join(hot_keys, matches, "left_anti"))
-    hot_rows_only = df.join(hot_keys, matches, "left_semi")
-    segments = max(2, -(-total // max(1, hot_rows // 4)))
-    ranged = hot_rows_only.repartitionByRange(segments, *keys, *order).withColumn(
-        SEGMENT, F.spark_partition_id()
+        .drop(SEGMENT)
     )
-    # The segment numbers must be data before both passes read them.
-    return cold_rows.unionByName(segmented(checkpointed(ranged)))
+
+
+def _segmented(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with their segment's number, written: both passes must read the same one."""
+    ranged = df.repartitionByRange(*keys, *order).withColumn(SEGMENT, F.spark_partition_id())
+    return checkpointed(ranged)
 
 
 def _join_segments(rows: DataFrame, tails: DataFrame, keys: list[str]) -> DataFrame:

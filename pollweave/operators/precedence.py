@@ -34,11 +34,14 @@ def whole_poll(stacked: DataFrame, polls: list[str]) -> DataFrame:
 
 
 def whole_record(stacked: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the whole record of the first source that knows the key."""
+    """Per key the whole record of the first source that knows the key.
+
+    Of several records of that source the least counts.
+    """
     others = [c for c in stacked.columns if c not in (*keys, "source_rank")]
     return (
         stacked.groupBy(*keys)
-        .agg(F.min_by(F.struct(*others), "source_rank").alias("_row"))
+        .agg(F.min_by(F.struct(*others), F.struct("source_rank", *others)).alias("_row"))
         .select(*keys, "_row.*")
     )
 
@@ -60,7 +63,7 @@ def by_field(
             rank.alias("rank"), value.alias("value"), F.col(SOURCE).alias("source")
         )
         usable = rank.isNotNull() & value.isNotNull()
-        picks.append(F.min_by(candidate, F.when(usable, rank)).alias(f"_{field}"))
+        picks.append(F.min_by(candidate, F.when(usable, F.struct(rank, value))).alias(f"_{field}"))
     fields = []
     for field in policy:
         fields += [

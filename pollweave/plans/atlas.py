@@ -34,13 +34,14 @@ def nested_members(atlas: DataFrame) -> DataFrame:
         F.col("system.name_en").alias("sector_en"),
         F.col("member.position.x").alias("x"),
         F.col("member.position.y").alias("y"),
-        (F.col("s") * (1 << 20) + F.col("p")).cast("bigint").alias("seq"),
+        # Both are positions below 2**31, so the order is exact whatever their number.
+        (F.shiftleft(F.col("s").cast("bigint"), 31) + F.col("p")).alias("seq"),
     )
 
 
 def keyed_members(atlas: DataFrame) -> DataFrame:
     """The map shape: one row per entry."""
-    entries = atlas.select(F.explode("doc.planets").alias("name", "entry"))
+    entries = atlas.select(F.posexplode("doc.planets").alias("s", "name", "entry"))
     return entries.select(
         F.col("entry.ID").alias("id"),
         "name",
@@ -49,7 +50,7 @@ def keyed_members(atlas: DataFrame) -> DataFrame:
         F.col("entry.sector_en").alias("sector_en"),
         F.col("entry.position.x").alias("x"),
         F.col("entry.position.y").alias("y"),
-        F.lit(0).cast("bigint").alias("seq"),
+        F.col("s").cast("bigint").alias("seq"),
     )
 
 

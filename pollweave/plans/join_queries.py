@@ -478,7 +478,7 @@ def entity_board(spark, sf):
     ).withColumn("players", F.lit(0).cast("bigint"))
     seen = overlay.overlay(base, activity, ["entity_id"], {"players": overlay.take_number})
     maximum = overlay.best_maximum(F.col("total"), F.col("max_health"), F.col("health"))
-    board = seen.select(
+    return seen.select(
         "entity_id",
         falsy.first_text(F.col("name"), normalize.synthetic_name(F.col("entity_id"))).alias("name"),
         normalize.decode_code(F.col("owner_code"), fixed.OWNER_CODES, fixed.UNKNOWN).alias("owner"),
@@ -486,7 +486,6 @@ def entity_board(spark, sf):
         "players",
         metrics.defender_progress(F.col("health"), maximum).alias("progress"),
     )
-    return history.newest(board, [F.desc("progress"), F.desc("players"), F.col("entity_id")])
 
 
 ENTITY_BOARD = f"""
@@ -510,7 +509,6 @@ SELECT entity_id, name, owner, contests, coalesce(players, 0) AS players,
   CASE WHEN m <> 0 THEN {rounded('greatest(0, least(1, (m - health) / m)) * 100', 2)} END AS progress
 FROM maxed LEFT JOIN (SELECT user_id, count(*) AS players FROM events GROUP BY 1)
   ON user_id = entity_id
-ORDER BY progress DESC NULLS LAST, players DESC NULLS LAST, entity_id LIMIT 30
 """
 
 QUERIES = {

@@ -17,9 +17,6 @@ from pollweave.plans.status import AGGREGATE, KEYS, PRIMARY, REST, Source, Statu
 from pollweave.sources import state
 from pollweave.sources.documents import POLL
 
-# Most rows of one table that a poll may have to be written as one document.
-DOCUMENT_ROWS = 100_000
-
 _EFFECTS = "array<bigint>"
 _SERIES_FACTIONS = ["Humans", "Terminids", "Automatons", "Illuminate"]
 
@@ -115,9 +112,7 @@ def _entities(sources, polls, carried) -> DataFrame:
     )
     if carried is not None:
         rows = rows.unionByName(carried.entities.withColumn("_new", F.lit(False)), True)
-    known = ordered.last_known(
-        rows, ["entity_id"], [POLL], ["good_max", "seen_effects"], size_of=base
-    )
+    known = ordered.last_known(rows, ["entity_id"], [POLL], ["good_max", "seen_effects"])
     fresh = overlay.attach(
         known.where("_new"),
         sources[AGGREGATE].entities.select(POLL).distinct(),
@@ -186,14 +181,12 @@ def _with_recon(contests: DataFrame, rest: Source) -> tuple[DataFrame, DataFrame
     contests = contests.withColumn("contest_class", kind).drop("type_code")
     surveyed = contests.where(F.col("contest_class") == fixed.RECON).select(*KEYS).distinct()
     totals = F.col("totals")
-    # The deaths field goes by a plain or a prefixed name.
-    prefixed = F.map_values(F.map_filter(totals, lambda k, v: k.endswith("Deaths")))
     ratios = metrics.ratio_columns(
         totals["missionsWon"],
         totals["missionsLost"],
         totals["missionTime"],
         [totals["terminidKills"], totals["automatonKills"], totals["illuminateKills"]],
-        falsy.first_number(totals["deaths"], F.get(prefixed, 0)),
+        falsy.first_number(totals["deaths"], totals["helldiversDeaths"]),
     )
     recon = surveyed.join(rest.statistics, KEYS, "left").select(
         *KEYS, *[column.alias(name) for name, column in ratios.items()]
@@ -241,11 +234,7 @@ def _carry(polls: DataFrame, rows: DataFrame, earlier: DataFrame | None) -> Data
         )
         packed = packed.unionByName(old)
     filled = history.carry_forward(
-        packed.withColumn("_series", F.lit(0)),
-        ["_series"],
-        [POLL],
-        ["record"],
-        size_of=polls.withColumn("_series", F.lit(0)),
+        packed.withColumn("_series", F.lit(0)), ["_series"], [POLL], ["record"]
     )
     return filled.where(F.col("_new") & F.col("record").isNotNull()).select(POLL, "record.*")
 
@@ -315,6 +304,8 @@ def load_carried(spark: SparkSession, folder: str, version: int) -> Carried:
 
 # ---- output ----
 
+_TABLES = ("entities", "contests", "bulletins", "assignments", "stations", "war", "recon")
+
 
 def poll_documents(
     status: Status, series: DataFrame | None = None, owned: DataFrame | None = None
@@ -358,7 +349,7 @@ def poll_documents(
         ).alias("planet"),
     )
     bulletins = status.bulletins.select(
-        POLL, (-F.coalesce("id", F.lit(0))).alias("seq"), "id", "published", "type", "message"
+        POLL, "seq", "id", "published", "type", "message"
     )
     recon = status.recon.select(
         POLL,
@@ -434,11 +425,7 @@ def poll_documents(
         )
     if owned is not None:
         parts.append(owned.select(POLL, "news", "major_order"))
-    whole = status.polls.select(
-        POLL, normalize.iso_seconds(
-            F.col(POLL) + fixed.LOCAL_OFFSET_HOURS * 3600, f"+{fixed.LOCAL_OFFSET_HOURS:02d}:00"
-        ).alias("fetchedAt"), SOURCE,
-    )
+    whole = status.polls.select(POLL, _fetched_at().alias("fetchedAt"), SOURCE)
     for part in parts:
         whole = whole.join(part, POLL, "left")
     body = F.to_json(
@@ -447,6 +434,11 @@ def poll_documents(
     return whole.select(POLL, body.alias("document"))
 
 
+def _fetched_at() -> Column:
+    hours = fixed.LOCAL_OFFSET_HOURS
+    return normalize.iso_seconds(F.col(POLL) + hours * 3600, f"+{hours:02d}:00")
+
+
 def _single(rows: DataFrame, name: str) -> DataFrame:
     fields: list[Column | str] = [c for c in rows.columns if c != POLL]
     return rows.select(POLL, F.struct(*fields).alias(name))
@@ -457,22 +449,40 @@ def publish(
     folder: str,
     series: DataFrame | None = None,
     owned: DataFrame | None = None,
-) -> str:
-    """Write one document per poll, or row tables when a poll is too large for one document."""
-    sizes = status.entities.select(POLL, F.lit("entities").alias("kind")).unionByName(
-        status.contests.select(POLL, F.lit("contests").alias("kind"))
-    )
-    largest = sizes.groupBy(POLL, "kind").count().agg(F.max("count").alias("n")).first()["n"]
-    if (largest or 0) <= DOCUMENT_ROWS:
-        documents = poll_documents(status, series, owned)
-        _by_poll(documents).text(f"{folder}/documents")
-        return "documents"
-    for name in ("entities", "contests", "bulletins", "assignments", "stations", "war", "recon"):
-        _by_poll(getattr(status, name)).json(f"{folder}/{name}")
-    return "rows"
+) -> None:
+    """Write all tables of the status as rows, one folder each, polls replaced one by one.
+
+    ``polls`` has the source and the time of each poll; ``series`` and ``owned`` are
+    written where they are given. The format does not depend on the size of a poll.
+    """
+    tables = {name: getattr(status, name) for name in _TABLES}
+    tables["polls"] = status.polls.select(POLL, SOURCE, _fetched_at().alias("fetched_at"))
+    if series is not None:
+        tables["series"] = series
+    if owned is not None:
+        tables["owned"] = owned
+    for name, rows in tables.items():
+        _by_poll(rows).json(f"{folder}/{name}")
+
+
+def publish_documents(
+    status: Status,
+    folder: str,
+    series: DataFrame | None = None,
+    owned: DataFrame | None = None,
+) -> None:
+    """Write one document per poll as well, for readers that want a poll as one value.
+
+    The caller chooses this where polls are known to be small enough for that.
+    """
+    _by_poll(poll_documents(status, series, owned)).text(f"{folder}/documents")
 
 
 def _by_poll(rows: DataFrame):
-    """A writer that replaces the polls it writes and leaves the others."""
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """A writer that replaces the polls it writes and leaves the others.
+
+    The rows of a poll are brought together first, so that not every task writes a file
+    for every poll; adaptive execution splits a large one.
+    """
+    writer = rows.hint("rebalance", POLL).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     return writer.partitionBy(POLL)

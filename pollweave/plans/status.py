@@ -29,6 +29,9 @@ PRIMARY_DOCUMENTS = {
     "stats": docs.STATS,
     "news": docs.NEWS,
 }
+# Documents that their readers also take as JSON null.
+PRIMARY_NULLABLE = frozenset({"assignment", "stats", "news"})
+REST_NULLABLE = frozenset({"assignments"})
 AGGREGATE_DOCUMENTS = {
     "live": docs.LIVE,
 }
@@ -98,7 +101,8 @@ def read_primary(
 ) -> Source:
     """The primary source's polls from ``since`` on; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/primary"
-    staged = docs.stage(spark, landing, PRIMARY_DOCUMENTS, f"{work}/documents", since)
+    staged = docs.stage(
+        spark, landing, PRIMARY_DOCUMENTS, f"{work}/documents", since, PRIMARY_NULLABLE)
     status, info, assignment, stats, news = (staged[name] for name in PRIMARY_DOCUMENTS)
     polls = docs.polls_of(status, info, assignment, stats, news)
 
@@ -158,7 +162,7 @@ def read_primary(
         entities=entities,
         contests=contests,
         assignments=assignments,
-        bulletins=_bulletins(news, F.col("doc")),
+        bulletins=_bulletins(news, F.col("doc"), in_order=True),
         war=war,
         stations=_stations(status, F.col("doc.spaceStations")),
     ).complete(work)
@@ -237,7 +241,8 @@ def read_rest(
 ) -> Source:
     """The rest source's polls from ``since`` on; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/rest"
-    staged = docs.stage(spark, landing, REST_DOCUMENTS, f"{work}/documents", since)
+    staged = docs.stage(
+        spark, landing, REST_DOCUMENTS, f"{work}/documents", since, REST_NULLABLE)
     war, planets, campaigns, assignment, dispatches = (staged[name] for name in REST_DOCUMENTS)
 
     rows = docs.items(planets, F.col("doc")).select(
@@ -524,7 +529,8 @@ def _dedupe(contests: DataFrame) -> DataFrame:
     return history.first_per_key(known, KEYS, [rank, F.col("seq")])
 
 
-def _bulletins(documents: DataFrame, path) -> DataFrame:
+def _bulletins(documents: DataFrame, path, in_order: bool = False) -> DataFrame:
+    """The newest bulletins by id, in that order or (``in_order``) in that of the document."""
     rows = docs.items(documents, path).select(
         POLL,
         F.col("item.id").alias("id"),
@@ -534,7 +540,9 @@ def _bulletins(documents: DataFrame, path) -> DataFrame:
         "seq",
     )
     newest_first = [F.desc(F.coalesce("id", F.lit(0))), F.col("seq")]
-    return history.newest_per_key(rows, [POLL], newest_first, fixed.BULLETINS_KEPT).drop("seq")
+    newest = history.newest_per_key(rows, [POLL], newest_first, fixed.BULLETINS_KEPT)
+    place = F.col("seq") if in_order else -F.coalesce("id", F.lit(0))
+    return newest.withColumn("seq", place.cast("bigint"))
 
 
 def _stations(documents: DataFrame, path) -> DataFrame:

@@ -16,10 +16,21 @@ from pollweave.session import run_folder
 from pollweave.streaming import jobs
 
 
+# Polls arrive in so many micro-batches.
+BATCHES = 4
+
+
 def _events(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # As a pattern the path may be one file as well as a folder of files.
-    return jobs.read_polls(spark, f"{sf}/events[.]parquet", schema)
+    """The events as polls that land in several files, taken up batch by batch.
+
+    Files are ranges of event ids and arrive in no order of time, so some rows are late.
+    """
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    parts = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    landed = run_folder(spark, "landed-events")
+    events.repartitionByRange(parts, "event_id").write.parquet(landed)
+    per_batch = -(-parts // BATCHES)
+    return jobs.read_polls(spark, landed, events.schema, files_per_trigger=per_batch)
 
 
 def stream_bucket(spark, sf):
@@ -32,11 +43,11 @@ def stream_bucket(spark, sf):
 
 def stream_dedupe(spark, sf):
     folder = run_folder(spark, "stream-dedupe")
-    twice = jobs.union_polls(_events(spark, sf), _events(spark, sf))
-    # The table spans a month and its files may come in any order.
-    jobs.finish(jobs.start_dedupe(twice, folder, "ts", ["event_id"], "31 days"))
-    schema = twice.select("event_id", "user_id", "event_type", "value").schema
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    events = _events(spark, sf)
+    twice = jobs.union_polls(events, events)
+    jobs.finish(jobs.start_dedupe(twice, folder, ["event_id"]))
+    return jobs.read_dedupe(spark, folder, twice.schema).select(
+        "event_id", "user_id", "event_type", "value")
 
 
 STREAM_DEDUPE = "SELECT event_id, user_id, event_type, value FROM events"

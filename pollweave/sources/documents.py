@@ -41,7 +41,10 @@ LIVE = f"""struct<warStatus: {STATUS}, majorOrders: {ASSIGNMENTS}, news: {NEWS},
     currentElectionEndWarTime: variant>>>"""
 ENTITIES = """array<struct<index: bigint, name: string, sector: string, currentOwner: string,
   health: bigint, maxHealth: bigint, players: bigint, attacking: variant,
-  regenPerSecond: double, activeEffects: array<bigint>, statistics: map<string, bigint>>>"""
+  regenPerSecond: double, activeEffects: array<bigint>,
+  statistics: struct<missionsWon: double, missionsLost: double, missionTime: double,
+    terminidKills: double, automatonKills: double, illuminateKills: double, deaths: double,
+    helldiversDeaths: double>>>"""
 CONTESTS = """array<struct<id: bigint, faction: string, type: variant, eventType: bigint,
   campaignType: string, count: bigint, defendersProgress: double,
   planet: struct<index: bigint, name: string, sector: string, currentOwner: string>>>"""
@@ -52,8 +55,9 @@ SERIES = """struct<data: array<struct<timestampUtc: string, totalPlayerCount: bi
   playerCountIlluminate: bigint, impactMultiplier: double>>>"""
 TRANSLATIONS = """struct<
   mo_brief: struct<title: string, original: string, translated: string, translated_at: string>,
-  items: array<struct<id: bigint, original: string, translated: string, published_at: string,
-    translated_at: string, source: string>>>"""
+  items: array<variant>>"""
+NEWS_ITEM = """struct<id: bigint, original: string, translated: string, published_at: string,
+  translated_at: string, source: string>"""
 
 ATLAS = """struct<
   systems: array<struct<name: string, name_en: string,
@@ -74,14 +78,32 @@ EQUIPMENT = """array<struct<id: string, name: string, type: string, stats: array
 _RAW = f"value string, {POLL} bigint"
 
 
-def read_documents(spark: SparkSession, path: str, kind: str, since: int | None = None) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, kind: str, since: int | None = None, nullable: bool = False
+) -> DataFrame:
     """One row ``(poll_ts, doc)`` per valid document under ``path``, of polls from ``since`` on."""
-    found = read_with_defects(spark, path, kind).where(F.col("doc").isNotNull())
+    found = read_with_defects(spark, path, kind, nullable).where(F.col("doc").isNotNull())
     if since is not None:
         found = found.where(F.col(POLL) >= since)  # prunes the folders of older polls
     return found.select(POLL, "doc")
 
 
+def _typed(value: str, kind: str, nullable: bool = False) -> Column:
+    """The document, null where it is no JSON or its root is not what its readers take.
+
+    A nullable document counts as delivered, and empty, when it is JSON null.
+    """
+    root = F.schema_of_variant(F.try_parse_json(value))
+    listed = kind.startswith("array")
+    right = root.startswith("ARRAY") if listed else root.startswith("OBJECT")
+    if kind == ASSIGNMENTS:  # one assignment may come without its list
+        right = right | root.startswith("OBJECT")
+    doc = F.when(right, F.from_json(value, kind))
+    if nullable:
+        doc = doc.when(root == "VOID", F.from_json(F.lit("[]" if listed else "{}"), kind))
+    return doc
+
+
 def stream_arrivals(spark: SparkSession, landing: str) -> DataFrame:
     """Stream ``(poll_ts)`` of every document that lands, whatever its kind."""
     files = (
@@ -93,24 +115,27 @@ def stream_arrivals(spark: SparkSession, landing: str) -> DataFrame:
     return files.select(poll.try_cast("bigint").alias(POLL))
 
 
-def read_with_defects(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_with_defects(
+    spark: SparkSession, path: str, kind: str, nullable: bool = False
+) -> DataFrame:
     """One row ``(poll_ts, value, doc)`` per document; ``doc`` is null where it is defective."""
     raw, _ = health.optional(
         spark, _RAW, lambda: spark.read.schema(_RAW).text(path, wholetext=True)
     )
-    valid = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", kind))
-    return raw.select(POLL, "value", valid.alias("doc"))
+    return raw.select(POLL, "value", _typed("value", kind, nullable).alias("doc"))
 
 
 def stage(
-    spark: SparkSession, landing: str, kinds: dict[str, str], folder: str, since: int | None = None
+    spark: SparkSession, landing: str, kinds: dict[str, str], folder: str,
+    since: int | None = None, nullable: frozenset = frozenset(),
 ) -> dict[str, DataFrame]:
     """Parse each kind of document once, into nested parquet under ``folder``.
 
+    Documents named in ``nullable`` count as delivered, and empty, when they are JSON null.
     What is read from there later reads only the nested fields it needs.
     """
     parsed = {
-        name: read_documents(spark, f"{landing}/{name}", kind, since)
+        name: read_documents(spark, f"{landing}/{name}", kind, since, name in nullable)
         for name, kind in kinds.items()
     }
     return rewritten(parsed, folder)
@@ -133,8 +158,7 @@ def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raw, _ = health.optional(
         spark, "value string", lambda: spark.read.text(path, wholetext=True)
     )
-    valid = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", kind))
-    return raw.select(valid.alias("doc")).where(F.col("doc").isNotNull())
+    return raw.select(_typed("value", kind).alias("doc")).where(F.col("doc").isNotNull())
 
 
 def items(documents: DataFrame, path: Column, *keep: Column) -> DataFrame:

@@ -74,20 +74,24 @@ def read_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def start_dedupe(
-    polls: DataFrame,
-    folder: str,
-    ts: str,
-    keys: list[str],
-    delay: str = fixed.SERIES_SPAN,
-    refresh: str | None = None,
+    polls: DataFrame, folder: str, keys: list[str], refresh: str | None = None
 ):
-    """Append records whose key was not seen yet.
+    """Add the records whose key is not stored yet, however old they are.
 
-    A key is remembered for ``delay`` of event time: how far back one poll repeats
-    what earlier ones delivered.
+    Each batch is compared with the keys that earlier batches stored; only these columns
+    of the store are read.
     """
-    unique = polls.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-    return start(unique, folder, "append", refresh=refresh)
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        store = state.load_all(rows.sparkSession, f"{folder}/out", rows.schema)
+        earlier = store.where(F.col(state.VERSION) < batch_id)
+        state.save(history.new_rows(earlier, rows, keys), f"{folder}/out", batch_id)
+
+    return start(polls, folder, "append", each_batch, refresh)
+
+
+def read_dedupe(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    return state.load_all(spark, f"{folder}/out", schema).drop(state.VERSION)
 
 
 def start_last_known(
@@ -119,38 +123,61 @@ def start_delta_rate(
     tie: list[str],
     refresh: str | None = None,
 ):
-    """Rate of change between successive polls of a key.
+    """Rate of change between successive polls of a key, also where polls arrive late.
 
-    The state is the last row per key. Each batch puts it in front of its own rows
-    and runs the batch operator, so large keys are cut up there as well. Rows older
-    than the state of their key have no rate; they go to ``folder/late``.
+    A batch changes the rates of its own rows and of the stored rows right behind them. So
+    it takes from the store, for its own keys, the rows from its oldest row on and the one
+    before, rates them together and writes what is new or differs; the newest version of a
+    row counts.
     """
     order = [ts, *tie]
     columns = [*keys, *order, value]
+    position = F.struct(*order)
 
     def each_batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         rows = rows.select(*columns).persist()
-        before = state.load(spark, f"{folder}/state", rows.schema, batch_id - 1)
-        known = before.select(*keys, F.struct(*order).alias("_seen"))
-        placed = rows.join(known, keys, "left")
-        late = F.coalesce(F.struct(*order) <= F.col("_seen"), F.lit(False))
-        fresh = placed.where(~late).drop("_seen").withColumn("_fresh", F.lit(True))
-        both = fresh.unionByName(before.withColumn("_fresh", F.lit(False)))
-        rated = history.delta_rate(both, keys, ts, value, tie)
-        state.save(rated.where("_fresh").drop("_fresh"), f"{folder}/out", batch_id)
-        state.save(placed.where(late).drop("_seen"), f"{folder}/late", batch_id)
-        last = history.last_per_key(both.drop("_fresh"), keys, [F.col(c) for c in order])
-        state.save(last, f"{folder}/state", batch_id)
-        rows.unpersist()
+        try:
+            stored = _rated(spark, folder, rows.schema, [*keys, *order], batch_id)
+            oldest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+                F.min(position).alias("_oldest"))
+            same = reduce(
+                lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+            near = stored.join(oldest, same).drop(*[f"_{k}" for k in keys])
+            after = near.where(position >= F.col("_oldest")).drop("_oldest")
+            before = history.last_per_key(
+                near.where(position < F.col("_oldest")).drop("_oldest"), keys,
+                [F.col(c) for c in order])
+            both = (
+                rows.withColumns({"_was": F.lit(None).cast("double"), "_kind": F.lit("new")})
+                .unionByName(after.withColumnRenamed("rate", "_was").withColumn("_kind", F.lit("after")))
+                .unionByName(before.withColumnRenamed("rate", "_was").withColumn("_kind", F.lit("before")))
+            )
+            rated = history.delta_rate(both, keys, ts, value, tie)
+            changed = (F.col("_kind") == "new") | (
+                (F.col("_kind") == "after") & ~F.col("rate").eqNullSafe(F.col("_was")))
+            state.save(rated.where(changed).drop("_was", "_kind"), f"{folder}/out", batch_id)
+        finally:
+            rows.unpersist()
 
     return start(polls, folder, "append", each_batch, refresh)
 
 
-def read_delta_rate(spark: SparkSession, folder: str, polls: DataFrame, columns: list[str]):
+def _rated(spark, folder, schema, row_keys, before: int | None = None) -> DataFrame:
+    """The newest version of every stored row."""
+    stored = state.load_all(
+        spark, f"{folder}/out", T.StructType([*schema.fields, T.StructField("rate", T.DoubleType())]))
+    if before is not None:
+        stored = stored.where(F.col(state.VERSION) < before)
+    return history.last_per_key(stored, row_keys, [F.col(state.VERSION)]).drop(state.VERSION)
+
+
+def read_delta_rate(
+    spark: SparkSession, folder: str, polls: DataFrame, columns: list[str], value: str = "value"
+) -> DataFrame:
     """All rated rows; ``polls`` gives the types of the input columns."""
-    schema = T.StructType([polls.schema[c] for c in columns]).add("rate", "double")
-    return state.load_all(spark, f"{folder}/out", schema).drop(state.VERSION)
+    schema = T.StructType([polls.schema[c] for c in columns])
+    return _rated(spark, folder, schema, [c for c in columns if c != value])
 
 
 def finish(query) -> None:

@@ -7,7 +7,8 @@ from pyspark.sql import SparkSession, Window, functions as F
 from pollweave.functions import fixed
 from pollweave.plans import reconcile as rec
 from pollweave.plans import status as st
-from pollweave.plans.translation import owned_columns
+from pollweave.operators import history
+from pollweave.plans.translation import OWNED, owned_columns
 from pollweave.session import run_folder
 from pollweave.sources import documents as docs, state
 from pollweave.sources.documents import POLL
@@ -31,10 +32,13 @@ def start(spark: SparkSession, landing: str, folder: str, refresh: str | None =
     return jobs.start(docs.stream_arrivals(spark, landing), folder, "append", each_batch, refresh)
 
 
-def settle(spark: SparkSession, landing: str, folder: str, oldest: int, batch_id: int) -> None:
+def settle(
+    spark: SparkSession, landing: str, folder: str, oldest: int, batch_id: int,
+    documents: bool = True,
+) -> None:
     """Settle and publish all polls from ``oldest`` on, with the state of the polls before.
 
-    Nothing happens while no source has a complete poll; the missing document starts
+    ``documents`` also writes each poll as one document. Nothing happens while no source has a complete poll; the missing document starts
     another batch when it lands.
     """
     since, version = _resume(spark, folder, oldest, batch_id)
@@ -46,13 +50,14 @@ def settle(spark: SparkSession, landing: str, folder: str, oldest: int, batch_id
     except rec.NoSource:
         return
     translations = docs.read_documents(spark, f"{landing}/translated", docs.TRANSLATIONS, since)
-    rec.publish(
-        status,
-        f"{folder}/out",
-        st.read_series(spark, landing, since),
-        owned_columns(status.polls, translations),
-    )
+    series = st.read_series(spark, landing, since)
+    before = state.load_before(spark, f"{folder}/state/owned", OWNED, version + 1)
+    owned = owned_columns(status.polls, translations, before)
+    rec.publish(status, f"{folder}/out", series, owned)
+    if documents:
+        rec.publish_documents(status, f"{folder}/out", series, owned)
     rec.save_carried(rec.carry_over(status, carried), f"{folder}/state", batch_id)
+    state.save(history.newest(owned, [F.desc(POLL)], 1), f"{folder}/state/owned", batch_id)
     newest = status.polls.agg(F.max(POLL)).first()[0]
     state.save(spark.createDataFrame([(since, newest)], _LOG), f"{folder}/log", batch_id)
 

@@ -143,3 +143,17 @@ def test_sources_that_fail(spark):
     assert list(health.require_any({"b": empty, "a": full})) == ["a"]
     with pytest.raises(RuntimeError):
         health.require_any({"b": empty})
+
+
+def test_order_of_many_systems_and_of_map_entries(spark, tmp_path):
+    many = {
+        "systems": [{"name": f"s{n}", "planets": [{"en": "Same", "cn": str(n)}]} for n in range(2100)],
+        "planets": {"Twin": {"ID": 1, "cn": "first"}, "TWIN": {"ID": 2, "cn": "second"}},
+    }
+    (tmp_path / "map.json").write_text(json.dumps(many), encoding="utf-8")
+    chart = docs.read_table(spark, str(tmp_path / "map.json"), docs.ATLAS)
+    nested, keyed = atlas.nested_members(chart), atlas.keyed_members(chart)
+    assert nested.select("seq").distinct().count() == 2100
+    index = {r["name_key"]: r["local_name"] for r in network.name_index(
+        nested.drop("id", "x", "y"), keyed.drop("id", "x", "y")).collect()}
+    assert index == {"SAME": "2099", "TWIN": "first"}

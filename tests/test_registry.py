@@ -7,7 +7,6 @@ import pytest
 
 import __spark_entry__ as driver
 from conftest import DATA
-from pollweave.operators import history, ordered
 from pollweave.plans.registry import registered
 
 QUERIES = {k: q for k, q in driver.queries().items() if k in registered()}
@@ -49,11 +48,7 @@ AS_IF_LARGE = {
 @pytest.mark.parametrize(
     "key", ["entity_board", "contest_enrich", "poll_rows", "edges_in_layer", "edge_cull",
             "incident_edges", "radius_hit", "carry_forward", "delta_rate", "anti_fill"])
-def test_query_without_broadcasts_and_with_hot_keys(spark, con, key, monkeypatch):
-    for function in (ordered.previous_values, ordered.last_known):
-        monkeypatch.setattr(function, "__defaults__", (40, None))
-    monkeypatch.setattr(history.carry_forward, "__defaults__", (40, None))
-    monkeypatch.setattr(history.delta_rate, "__defaults__", (None, 40))
+def test_query_without_broadcasts_and_with_hot_keys(spark, con, key):
     before = {k: spark.conf.get(k, None) for k in AS_IF_LARGE}
     try:
         for name, value in AS_IF_LARGE.items():

@@ -97,7 +97,7 @@ def put_rest(landing, poll, **over):
             {"index": 9, "name": "Nine", "sector": "Rim", "maxHealth": 0,
              "statistics": {"missionsWon": 30, "missionsLost": 10, "missionTime": 7200,
                             "terminidKills": 100, "automatonKills": 0, "deaths": 0,
-                            "someDeaths": 8}},
+                            "helldiversDeaths": 8, "otherDeaths": 99, "accuracy": 87.5}},
         ],
         "campaigns": [],
         "assignments": [{"id": 66, "title": "R", "expiration": "2024-09-01T00:00:00Z"}],
@@ -325,11 +325,11 @@ def test_series_and_history(spark, landing, tmp_path):
         assert sorted(r["timestamp"] for r in kept.collect()) == ["t3", "t4", "t5"]
 
 
-def test_documents(spark, landing, tmp_path, monkeypatch):
+def test_documents(spark, landing, tmp_path):
     three_polls(landing)
     landing.put("series", P1, series_document("t1"))
     landing.put("translated", P1, {"mo_brief": {"title": "M", "translated": "X"},
-                                   "items": [{"id": 1, "translated": "n"}, None]})
+                                   "items": [{"id": 1, "translated": "n"}, None, "x", 3]})
     landing.put("translated", P2, "not json")
     status = rec.reconcile(*sources(spark, landing))
     translations = docs.read_documents(
@@ -338,7 +338,8 @@ def test_documents(spark, landing, tmp_path, monkeypatch):
     owned = owned_columns(status.polls, translations)
     folder = str(tmp_path / "out")
     series = st.read_series(spark, landing.folder)
-    assert rec.publish(status, folder, series, owned) == "documents"
+    rec.publish(status, folder, series, owned)
+    rec.publish_documents(status, folder, series, owned)
     written = {
         r["poll_ts"]: json.loads(r["value"])
         for r in spark.read.text(f"{folder}/documents").collect()
@@ -358,9 +359,60 @@ def test_documents(spark, landing, tmp_path, monkeypatch):
     assert first["major_order"] == {"title": "M", "brief": "", "translated_brief": "X",
                                     "translated_at": ""}
     assert [n["id"] for n in first["news"]] == [1]
-    assert written[P2]["news"] == [] and written[P2]["major_order"]["title"] == ""
+    # The second poll's document is defective: what was there before stays.
+    assert written[P2]["news"] == first["news"] and written[P2]["major_order"]["title"] == "M"
 
-    # Polls too large for one document each are written as rows.
-    monkeypatch.setattr(rec, "DOCUMENT_ROWS", 2)
-    assert rec.publish(status, folder) == "rows"
+    # The rows are complete too, and writing them again replaces them.
+    rec.publish(status, folder, series, owned)
     assert spark.read.json(f"{folder}/entities").count() == 15
+    polls = by(spark.read.json(f"{folder}/polls"), "poll_ts")
+    assert polls[P1]["fetched_at"] == first["fetchedAt"] and polls[P1]["source"] == "primary"
+    assert by(spark.read.json(f"{folder}/series"), "poll_ts")[P1]["impact_multiplier"] == 0.5
+    assert by(spark.read.json(f"{folder}/owned"), "poll_ts")[P1]["major_order"]["title"] == "M"
+    for name in ("contests", "bulletins", "assignments", "stations", "war", "recon"):
+        assert spark.read.json(f"{folder}/{name}").count() > 0, name
+
+
+ROOTS = {  # document -> (root, whether the primary source still counts)
+    "status": [("null", False), ("[]", False), ("3", False), ("{", False), ("{}", True)],
+    "info": [("null", False), ("[]", False), ("{}", True)],
+    "assignment": [("null", True), ("[]", True), ('{"id": 5}', True), ('"x"', False)],
+    "stats": [("null", True), ("{}", True), ("[1]", False)],
+    "news": [("null", True), ("[]", True), ("7", False)],
+}
+
+
+def test_roots_decide_whether_a_source_counts(spark, landing):
+    expected = {}
+    poll = P1
+    for name, roots in ROOTS.items():
+        for root, counts in roots:
+            poll += 300
+            put_primary(landing, poll)
+            landing.put(name, poll, root)
+            expected[poll] = counts
+    found = {r["poll_ts"] for r in st.read_primary(spark, landing.folder).polls.collect()}
+    assert found == {p for p, counts in expected.items() if counts}
+
+
+def test_live_document_must_be_an_object(spark, landing):
+    put_aggregate(landing, P1)
+    landing.put("live", P2, "[]")
+    landing.put("live", P3, "null")
+    found = st.read_aggregate(spark, landing.folder).polls
+    assert [r["poll_ts"] for r in found.collect()] == [P1]
+
+
+def test_fractions_in_statistics_lose_nothing(spark, landing):
+    put_primary(landing, P1)
+    put_rest(landing, P1)
+    status = rec.reconcile(*sources(spark, landing))
+    row = by(status.recon, "entity_id")[9]
+    assert row["success_per_hour"] == 15.0 and row["deaths_per_hour"] == 4.0
+
+
+def test_primary_bulletins_keep_their_order(spark, landing):
+    put_primary(landing, P1, news=[{"id": i, "message": str(i)} for i in (3, 9, 5)])
+    status = rec.reconcile(*sources(spark, landing))
+    document = json.loads(rec.poll_documents(status).first()["document"])
+    assert [d["id"] for d in document["dispatches"]] == [3, 9, 5]

@@ -49,7 +49,7 @@ def test_polls_are_settled_as_they_land(spark, landing, tmp_path):
     translations = docs.read_documents(spark, f"{landing.folder}/translated", docs.TRANSLATIONS)
     owned = owned_columns(status.polls, translations)
     whole = str(tmp_path / "whole")
-    rec.publish(status, whole, st.read_series(spark, landing.folder), owned)
+    rec.publish_documents(status, whole, st.read_series(spark, landing.folder), owned)
     found = documents(spark, f"{folder}/out")
     assert sorted(found) == [P1, P2, P3]
     assert found[P3]["assignments"]["id"] == 99

@@ -59,11 +59,12 @@ def test_delta_rate(spark, polls, tmp_path):
     same(jobs.read_delta_rate(spark, folder, events, columns).select(*columns, "rate"), expected)
 
 
-def test_late_rows_are_set_aside(spark, polls, tmp_path):
+def test_late_rows_are_rated_and_change_the_rows_behind_them(spark, polls, tmp_path):
     events, _ = polls
     landed = str(tmp_path / "landed")
     os.makedirs(landed)
-    for i, condition in enumerate(["event_id >= 500", "event_id < 500"]):
+    # the middle arrives last
+    for i, condition in enumerate(["event_id >= 700", "event_id < 300", "event_id between 300 and 699"]):
         out = str(tmp_path / f"part{i}")
         events.where(condition).coalesce(1).write.parquet(out)
         name = next(n for n in os.listdir(out) if n.endswith(".parquet"))
@@ -73,10 +74,30 @@ def test_late_rows_are_set_aside(spark, polls, tmp_path):
     source = jobs.read_polls(spark, landed, events.schema, files_per_trigger=1)
     jobs.finish(jobs.start_delta_rate(source, folder, ["user_id"], "ts", "value", ["event_id"]))
     columns = ["user_id", "ts", "event_id", "value"]
-    rated = jobs.read_delta_rate(spark, folder, events, columns)
-    late = state.load_all(spark, f"{folder}/late", events.select(*columns).schema)
-    assert rated.count() == 500 and late.count() == 500
-    assert late.agg(F.max("event_id")).first()[0] < 500
+    expected = history.delta_rate(events, ["user_id"], "ts", "value", ["event_id"]).select(
+        *columns, "rate")
+    same(jobs.read_delta_rate(spark, folder, events, columns).select(*columns, "rate"), expected)
+    last = state.load(spark, f"{folder}/out", expected.schema, 2)
+    assert 400 <= last.count() < 1000  # its own rows and those right behind them
+
+
+def test_dedupe_forgets_nothing(spark, tmp_path):
+    landed = str(tmp_path / "landed")
+    os.makedirs(landed)
+    for i, day in enumerate([200, 100, 0]):  # 300 days, newest file first
+        out = str(tmp_path / f"part{i}")
+        spark.range(day, day + 100).selectExpr(
+            "id", "timestamp'2024-01-01' + make_dt_interval(cast(id as int)) as ts"
+        ).coalesce(1).write.parquet(out)
+        name = next(n for n in os.listdir(out) if n.endswith(".parquet"))
+        shutil.copy(os.path.join(out, name), f"{landed}/p{i}.parquet")
+        os.utime(f"{landed}/p{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = spark.read.parquet(landed).schema
+    folder = str(tmp_path / "job")
+    source = jobs.read_polls(spark, landed, schema, files_per_trigger=1)
+    jobs.finish(jobs.start_dedupe(jobs.union_polls(source, source), folder, ["id"]))
+    found = jobs.read_dedupe(spark, folder, schema)
+    assert sorted(r["id"] for r in found.collect()) == list(range(300))
 
 
 def test_buckets(spark, polls, tmp_path):
@@ -100,5 +121,5 @@ def test_dedupe(spark, polls, tmp_path):
     events, _ = polls
     folder = str(tmp_path / "job")
     twice = jobs.union_polls(stream(spark, polls), stream(spark, polls))
-    jobs.finish(jobs.start_dedupe(twice, folder, "ts", ["event_id"], "31 days"))
-    same(spark.read.schema(events.schema).parquet(f"{folder}/out"), events)
+    jobs.finish(jobs.start_dedupe(twice, folder, ["event_id"]))
+    same(jobs.read_dedupe(spark, folder, events.schema), events)
