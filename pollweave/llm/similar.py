@@ -318,17 +318,19 @@ def distinct(
         .alias("chosen")).select(
             F.col("chosen.key").alias("__key"), F.col("chosen.text_hash").alias("__hash"))
     body = F.col(text).cast("string")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("own"), body.alias("body"))
-    worded = F.coalesce(F.col("body").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = rows.where(worded).join(
-        chosen, (F.xxhash64("body") == F.col("__hash")) & F.col("own").eqNullSafe(F.col("__key")),
+    # The text goes with its row once: what the join needs of it is worked out before.
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(key).alias("own"), F.xxhash64(body).alias("hash"),
+        F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    kept = rows.where("worded").join(
+        chosen, (F.col("hash") == F.col("__hash")) & F.col("own").eqNullSafe(F.col("__key")),
         "left_semi")
     repeated = (
         docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"))
         .groupBy("key", "hash").count().where("count > 1"))
     if not repeated.isEmpty():  # rows of one key and text: the first of them
-        kept = kept.groupBy("own", F.xxhash64("body")).agg(F.first("row").alias("row"))
-    return kept.select("row.*").unionByName(rows.where(~worded).select("row.*"))
+        kept = kept.groupBy("own", "hash").agg(F.first("row").alias("row"))
+    return kept.select("row.*").unionByName(rows.where(~F.col("worded")).select("row.*"))
 
 
 def _forest(source, nodes, candidates, hasher, similarity) -> DataFrame:
