@@ -8,11 +8,13 @@ from pollweave.plans import (
     map_queries,
     scalar_queries,
     shape_queries,
+    status_queries,
     stream_queries,
 )
 
 MODULES = [
-    scalar_queries, join_queries, history_queries, map_queries, shape_queries, stream_queries
+    scalar_queries, join_queries, history_queries, map_queries, shape_queries, status_queries,
+    stream_queries,
 ]
 
 
