@@ -50,7 +50,7 @@ def assign(
     last weight) has joined. Repeated keys share a shard and have slots of their own; an
     empty table gives no rows; other columns are not read.
     """
-    added = weights[-1] if added is None else added
+    added = added if added is not None else (weights[-1] if weights else 1.0)
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     placed = df.select(
         F.col(key).alias("key"),
