@@ -12,7 +12,6 @@ from pollweave.llm.common import free_name, settled
 # A-Z count as their lower case, so both are letters of words here.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GATE = "(?i)" + "|".join(license_rules.KEYWORDS)
 _MARK = "\x01"
 _RULES = "array<struct<id:int,label:string,kind:string,priority:int,score:double,keyword:string,pattern:string>>"
 _FOUND = "array<struct<start:int,ends:int,priority:int,rule:int,label:string,kind:string,score:double>>"
@@ -37,14 +36,15 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
     name = free_name(df.select(*keep), "licenses")
     rules = F.from_json(F.lit(json.dumps(license_rules.rules())), _RULES)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # Lower-casing more than A-Z opens a text to more rules at most; the rules decide.
+    gate = F.array_compact(F.array(*[
+        F.when(F.contains("low", F.lit(k)), F.lit(k)) for k in license_rules.KEYWORDS]))
     one = df.select(F.struct(*keep).alias("row"), body.alias("text")).select(
         "row",
         "text",
         F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-        F.array_distinct(
-            F.transform(F.regexp_extract_all("text", F.lit(GATE), F.lit(0)), F.lower)
-        ).alias("keywords"),
-    )
+        F.lower("text").alias("low"),
+    ).select("row", "text", "n_words", gate.alias("keywords"))
     lowered = F.translate("text", UPPER, LOWER)
     normal = F.concat(
         F.lit(" "), F.array_join(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), " "),
