@@ -39,13 +39,23 @@ def load_all(spark: SparkSession, folder: str, schema: T.StructType | str) -> Da
     return found
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of all complete versions, from the folder's names alone: no file is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done if "=" in p.getName())
+
+
 def load_before(spark: SparkSession, folder: str, schema: T.StructType | str, version: int) -> DataFrame:
     """The newest version older than ``version``; empty when there is none."""
-    older = load_all(spark, folder, schema).where(F.col(VERSION) < version)
-    newest = older.agg(F.max(VERSION).alias("v")).first()["v"]
-    if newest is None:
+    older = [v for v in versions(spark, folder) if v < version]
+    if not older:
         return spark.createDataFrame([], schema)
-    return load(spark, folder, schema, newest)
+    return load(spark, folder, schema, max(older))
 
 
 def load_latest_rows(

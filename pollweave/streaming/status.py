@@ -53,6 +53,9 @@ def settle(
     series = st.read_series(spark, landing, since)
     before = state.load_before(spark, f"{folder}/state/owned", OWNED, version + 1)
     owned = owned_columns(status.polls, translations, before)
+    records = history.first_per_key(series, ["timestamp"], [F.col(POLL)]).drop(POLL)
+    state.append_history(
+        spark, f"{folder}/history", records, ["timestamp"], [F.desc("timestamp")], batch_id)
     rec.publish(status, f"{folder}/out", series, owned)
     if documents:
         rec.publish_documents(status, f"{folder}/out", series, owned)

@@ -39,6 +39,8 @@ def test_polls_are_settled_as_they_land(spark, landing, tmp_path):
     put_aggregate(landing, P1)
     put_rest(landing, P1)
     put_primary(landing, P3, assignment=[])
+    landing.put("series", P1, {"data": [{"timestampUtc": "t1", "totalPlayerCount": 4}]})
+    landing.put("translated", P1, {"mo_brief": {"title": "M"}, "items": [{"id": 1}]})
     run()
     assert sorted(documents(spark, f"{folder}/out")) == [P1, P3]
     put_primary(landing, P2, assignment=[])  # lands late
@@ -54,3 +56,8 @@ def test_polls_are_settled_as_they_land(spark, landing, tmp_path):
     assert sorted(found) == [P1, P2, P3]
     assert found[P3]["assignments"]["id"] == 99
     assert found == documents(spark, whole)
+    # What the translator wrote for the first poll stays in the later ones.
+    assert {d["major_order"]["title"] for d in found.values()} == {"M"}
+    newest = state.versions(spark, f"{folder}/history")[-1]
+    kept = spark.read.parquet(f"{folder}/history/{state.VERSION}={newest}")
+    assert [r["timestamp"] for r in kept.collect()] == ["t1"]
