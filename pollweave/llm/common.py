@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -16,18 +18,32 @@ ARROW_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
+_shipped: set[str] = set()
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with this library's settings and short Arrow batches."""
+    """The session with this library's settings, short Arrow batches, and its own code.
+
+    Tasks import this package, so it is sent along once per application.
+    """
     prepare(spark)
+    _ship(spark)
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
     return spark
 
 
-def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the key and the text, as ``key`` and ``text``; other columns don't matter."""
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+def _ship(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(context._temp_dir, f"{package.name}.zip")  # goes when the session ends
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
