@@ -92,7 +92,6 @@ HISTORY_RECORDS = 288
 BULLETINS_KEPT = 30
 NEWS_KEPT = 5
 REFRESH = "5 minutes"
-SERIES_SPAN = "2 days"  # how far back one time-series document reaches
 
 # View geometry, in pixels.
 VIEW_MARGIN = 60

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pollweave.functions import fixed
 from pollweave.plans import reconcile as rec
 from pollweave.plans import status as st
-from pollweave.plans.sql import case, rounded
+from pollweave.plans.sql import rounded
 from pollweave.session import run_folder
 from pollweave.sources.documents import POLL
 from pollweave.sources.tables import table
@@ -101,8 +100,9 @@ SELECT c_custkey AS k, c_custkey // {CUSTOMERS} AS poll,
 STATUS_ENTITIES = f"""
 SELECT poll_ts, k AS entity_id, CASE WHEN own THEN 'primary' ELSE 'rest' END AS source,
   CASE WHEN own AND k % 10 <> 0 THEN 'P' || k ELSE c_name END AS name, c_mktsegment AS sector,
-  CASE WHEN own THEN {case("c_nationkey", fixed.OWNER_CODES, "'Unknown'")}
-    ELSE 'R' || c_nationkey END AS owner,
+  CASE WHEN NOT own THEN 'R' || c_nationkey WHEN c_nationkey IN (0, 1) THEN 'Humans'
+    WHEN c_nationkey = 2 THEN 'Terminids' WHEN c_nationkey = 3 THEN 'Automaton'
+    WHEN c_nationkey = 4 THEN 'Illuminate' ELSE 'Unknown' END AS owner,
   greatest(0, CAST(floor(c_acctbal) AS BIGINT)) AS health,
   CASE WHEN own AND k % 4 <> 0 THEN k + 2000000 ELSE k + 3000000 END AS max_health,
   CASE WHEN own THEN k % 50 ELSE k % 60 END AS players
