@@ -16,11 +16,6 @@ BATCH_ROWS = 400
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
-    # Where few texts of a corpus are wanted, a Bloom filter of their keys (of bounded size)
-    # keeps most of the others out of the shuffle.
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "16MB",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
 }
 
 _shipped: set[str] = set()

@@ -337,11 +337,11 @@ def _forest(source, nodes, candidates, hasher, similarity) -> DataFrame:
     """Verified links of all candidate groups, reduced to (node, parent, links)."""
     sizes = candidates.groupBy("candidate").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = staged(
+    placed = (
         candidates.join(sizes, "candidate")
         .join(nodes.drop("buckets"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")),
-        "placed").where("blocks > 0")  # lets Spark filter the texts by these before it shuffles
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
     texts = source.select(
         F.col("key").alias("text_key"), "text", F.xxhash64("text").alias("own_hash")
     ).where("text is not null")

@@ -273,15 +273,12 @@ def repeats(
         "anchors")
     chosen = keyed.join(first, "text_hash").where("key = first_key").dropDuplicates(
         ["text_hash"]).select("text_hash", "key", F.explode(F.array_distinct("anchors")).alias("anchor"))
-    wanted = staged(
-        chosen.join(shared, "anchor").groupBy("text_hash", "key").agg(
-            F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
-            F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"),
-            F.count(F.lit(1)).alias("anchors")),
-        "wanted").where("anchors > 0")  # lets Spark filter the texts by these before it shuffles
+    wanted = chosen.join(shared, "anchor").groupBy("text_hash", "key").agg(
+        F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
+        F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"))
     candidates = staged(
         source.where("text is not null").join(wanted, ["text_hash", "key"]).dropDuplicates(
-            ["text_hash", "key"]),
+            ["text_hash"]),
         "candidates")
     spans = _shard_spans(_segments(candidates, window, hot=False), window)
     if not shared.where("hot").isEmpty():
