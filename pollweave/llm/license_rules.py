@@ -19,11 +19,22 @@ KINDS = {
 
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-# Fragments of words that open a text to rules; none is part of another.
+# Fragments of words that open a text to rules. Every match of a rule holds its keyword or
+# one of that keyword's other fragments.
 KEYWORDS = [
     "licen", "spdx", "copyright", "creativecommons", "gnu", "bsd", "apache", "mozilla",
     "warrant", "permission", "redistribut", "public", "copyleft", "eclipse", "opensource",
+    "gpl", "mpl", "cc0", "cc", "rail", "attribution", "ofl", "wtfpl", "bsl11", "eupl",
+    "advertising", "applicable", "contributors",
 ]
+ALSO = {
+    "gpl": ["public"], "mpl": ["mozilla"], "cc0": ["commons"], "cc": ["commons"],
+    "bsd": ["berkeley"],
+}
+# Fragments that count as a whole word only.
+WHOLE = ["cc"]
+# Keywords of names that are a title only with a license word near them.
+SHORT = ["gpl", "mpl", "cc0", "cc", "rail", "attribution"]
 
 _V = r"(?: version| ver| v)?"
 _CC = r"(?:creative commons|cc) "
@@ -31,7 +42,8 @@ _CC = r"(?:creative commons|cc) "
 # label: (pattern of the name, its keyword, SPDX identifiers as words, words of its address)
 NAMES = {
     "mit": (r"mit license", "licen", "mit", r"opensource org licenses mit"),
-    "mit-0": (r"mit no attribution(?: license)?", None, "mit 0", r"opensource org licenses mit 0"),
+    "mit-0": (r"mit no attribution(?: license)?", "attribution", "mit 0",
+              r"opensource org licenses mit 0"),
     "x11": (r"x11 license", "licen", "x11", None),
     "isc": (r"isc license", "licen", "isc", r"opensource org licenses isc"),
     "0bsd": (r"(?:zero clause bsd|bsd zero clause)(?: license)?", "bsd", "0bsd",
@@ -46,24 +58,24 @@ NAMES = {
                    r"apache org licenses license 1 1"),
     "apache-2.0": (rf"apache(?: software)? license{_V} 2(?: 0)?|apache 2(?: 0)?(?: license)?",
                    "apache", "apache 2 0", r"apache org licenses license 2 0"),
-    "gpl-1.0": (rf"(?:gnu )?(?:general public license|gpl){_V} 1(?: 0)?", None,
+    "gpl-1.0": (rf"(?:gnu )?(?:general public license|gpl){_V} 1(?: 0)?", "gpl",
                 "gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
-    "gpl-2.0": (rf"(?:gnu )?(?:general public license|gpl){_V} 2(?: 0)?", None,
+    "gpl-2.0": (rf"(?:gnu )?(?:general public license|gpl){_V} 2(?: 0)?", "gpl",
                 "gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
-    "gpl-3.0": (rf"(?:gnu )?(?:general public license|gpl){_V} 3(?: 0)?", None,
+    "gpl-3.0": (rf"(?:gnu )?(?:general public license|gpl){_V} 3(?: 0)?", "gpl",
                 "gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
-    "lgpl-2.0": (rf"(?:gnu )?(?:library general public license|lgpl){_V} 2(?: 0)?", None,
+    "lgpl-2.0": (rf"(?:gnu )?(?:library general public license|lgpl){_V} 2(?: 0)?", "gpl",
                  "lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
-    "lgpl-2.1": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} 2 1", None,
+    "lgpl-2.1": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} 2 1", "gpl",
                  "lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    "lgpl-3.0": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} 3(?: 0)?", None,
+    "lgpl-3.0": (rf"(?:gnu )?(?:lesser general public license|lgpl){_V} 3(?: 0)?", "gpl",
                  "lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
-    "agpl-3.0": (rf"(?:gnu )?(?:affero general public license|agpl){_V} 3(?: 0)?", None,
+    "agpl-3.0": (rf"(?:gnu )?(?:affero general public license|agpl){_V} 3(?: 0)?", "gpl",
                  "agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
     "gfdl-1.3": (rf"(?:gnu )?free documentation license(?:{_V} 1 [123])?", "licen",
                  "gfdl 1 3(?: only| or later)?", r"gnu org licenses fdl(?: 1 3)?"),
-    "mpl-1.1": (rf"(?:mozilla public license|mpl){_V} 1 1", None, "mpl 1 1", r"mozilla org mpl 1 1"),
-    "mpl-2.0": (rf"(?:mozilla public license|mpl){_V} 2(?: 0)?", None, "mpl 2 0",
+    "mpl-1.1": (rf"(?:mozilla public license|mpl){_V} 1 1", "mpl", "mpl 1 1", r"mozilla org mpl 1 1"),
+    "mpl-2.0": (rf"(?:mozilla public license|mpl){_V} 2(?: 0)?", "mpl", "mpl 2 0",
                 r"mozilla org mpl 2 0"),
     "epl-1.0": (rf"eclipse public license{_V} 1(?: 0)?", "eclipse", "epl 1 0",
                 r"eclipse org legal epl v10"),
@@ -110,27 +122,27 @@ NAMES = {
                    r"opendatacommons org licenses by"),
     "pddl-1.0": (r"public domain dedication and licen[cs]e(?: v?1 0)?", "licen", "pddl 1 0",
                  r"opendatacommons org licenses pddl"),
-    "cc0-1.0": (r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?|creative commons zero", None,
+    "cc0-1.0": (r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?|creative commons zero", "cc0",
                 "cc0 1 0", r"creativecommons org publicdomain zero 1 0"),
-    "cc-by-3.0": (rf"{_CC}(?:by|attribution) 3 0", None, "cc by 3 0",
+    "cc-by-3.0": (rf"{_CC}(?:by|attribution) 3 0", "cc", "cc by 3 0",
                   r"creativecommons org licenses by 3 0"),
-    "cc-by-4.0": (rf"{_CC}(?:by|attribution) 4 0", None, "cc by 4 0",
+    "cc-by-4.0": (rf"{_CC}(?:by|attribution) 4 0", "cc", "cc by 4 0",
                   r"creativecommons org licenses by 4 0"),
-    "cc-by-sa-3.0": (rf"{_CC}(?:by sa|attribution share ?alike) 3 0", None, "cc by sa 3 0",
+    "cc-by-sa-3.0": (rf"{_CC}(?:by sa|attribution share ?alike) 3 0", "cc", "cc by sa 3 0",
                      r"creativecommons org licenses by sa 3 0"),
-    "cc-by-sa-4.0": (rf"{_CC}(?:by sa|attribution share ?alike) 4 0", None, "cc by sa 4 0",
+    "cc-by-sa-4.0": (rf"{_CC}(?:by sa|attribution share ?alike) 4 0", "cc", "cc by sa 4 0",
                      r"creativecommons org licenses by sa 4 0"),
-    "cc-by-nd-4.0": (rf"{_CC}(?:by nd|attribution no ?deriv(?:ative)?s) 4 0", None, "cc by nd 4 0",
+    "cc-by-nd-4.0": (rf"{_CC}(?:by nd|attribution no ?deriv(?:ative)?s) 4 0", "cc", "cc by nd 4 0",
                      r"creativecommons org licenses by nd 4 0"),
-    "cc-by-nc-3.0": (rf"{_CC}(?:by nc|attribution non ?commercial) 3 0", None, "cc by nc 3 0",
+    "cc-by-nc-3.0": (rf"{_CC}(?:by nc|attribution non ?commercial) 3 0", "cc", "cc by nc 3 0",
                      r"creativecommons org licenses by nc 3 0"),
-    "cc-by-nc-4.0": (rf"{_CC}(?:by nc|attribution non ?commercial) 4 0", None, "cc by nc 4 0",
+    "cc-by-nc-4.0": (rf"{_CC}(?:by nc|attribution non ?commercial) 4 0", "cc", "cc by nc 4 0",
                      r"creativecommons org licenses by nc 4 0"),
-    "cc-by-nc-sa-4.0": (rf"{_CC}(?:by nc sa|attribution non ?commercial share ?alike) 4 0", None,
+    "cc-by-nc-sa-4.0": (rf"{_CC}(?:by nc sa|attribution non ?commercial share ?alike) 4 0", "cc",
                         "cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0"),
     "cc-by-nc-nd-4.0": (rf"{_CC}(?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s) 4 0",
-                        None, "cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
-    "openrail-m": (r"(?:bigscience |creativeml )?open ?rail m(?: license)?", None,
+                        "cc", "cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
+    "openrail-m": (r"(?:bigscience |creativeml )?open ?rail m(?: license)?", "rail",
                    "openrail m", None),
 }
 
@@ -144,7 +156,7 @@ NOTICES = [
      r" express or implied"),
     ("isc", "permission", r"permission to use copy modify and(?: or)? distribute this software"
      r" for any purpose with or without fee is hereby granted"),
-    ("bsd-3-clause", "redistribut", r"neither the name of (?:\S+ ){1,12}nor the names of its"
+    ("bsd-3-clause", "contributors", r"neither the name of (?:\S+ ){1,12}nor the names of its"
      r" contributors may be used"),
     ("bsd-2-clause", "redistribut", r"redistribution and use in source and binary forms with or"
      r" without modification are permitted"),
@@ -152,11 +164,12 @@ NOTICES = [
      r" copyright notice"),
     ("bsd-2-clause", "redistribut", r"redistributions in binary form must reproduce the above"
      r" copyright notice"),
-    ("bsd-4-clause", "licen", r"all advertising materials mentioning features or use of this"
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this"
      r" software must display"),
     ("apache-2.0", "licen", r"licensed under the apache license version 2 0"),
-    ("apache-2.0", "apache", r"you may not use this file except in compliance with the license"),
-    ("apache-2.0", "apache", r"unless required by applicable law or agreed to in writing software"),
+    ("apache-2.0", "licen", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "applicable", r"unless required by applicable law or agreed to in writing"
+     r" software"),
     ("apache-2.0", "licen", r"licensed to the apache software foundation asf"),
     ("gpl-2.0", "gnu", r"gnu general public license as published by the free software foundation"
      r" either version 2"),
@@ -216,10 +229,11 @@ def rules() -> list[dict]:
         if spdx:
             found.append(("identifier", label, "spdx", rf"spdx license identifier {spdx}"))
             found.append(("identifier", label, "licen", rf"license (?:id|expression) {spdx}"))
-        found.append(("grant", label, keyword or "", rf"{_GRANT}(?:{name})"))
+        found.append(("grant", label, keyword, rf"{_GRANT}(?:{name})"))
         if link:
-            found.append(("link", label, "", rf"(?:https? )?(?:www )?{link}"))
-        if keyword:
+            opener = max((k for k in KEYWORDS if k in link and k not in WHOLE), key=len)
+            found.append(("link", label, opener, rf"(?:https? )?(?:www )?{link}"))
+        if keyword not in SHORT:
             found.append(("title", label, keyword, name))
         else:
             found.append(("title", label, "licen", rf"(?:{name})(?= (?:\S+ ){{0,8}}licen[cs]e)"))

@@ -10,7 +10,8 @@ from pollweave.llm import license_rules
 from pollweave.llm.common import free_name, settled
 
 # A-Z count as their lower case, so both are letters of words here.
-WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+LETTER = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+WORD = rf"{LETTER}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARK = "\x01"
 _RULES = "array<struct<id:int,label:string,kind:string,priority:int,score:double,keyword:string,pattern:string>>"
@@ -38,7 +39,7 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Lower-casing more than A-Z opens a text to more rules at most; the rules decide.
     gate = F.array_compact(F.array(*[
-        F.when(F.contains("low", F.lit(k)), F.lit(k)) for k in license_rules.KEYWORDS]))
+        F.when(_opened(k), F.lit(k)) for k in license_rules.KEYWORDS]))
     one = df.select(F.struct(*keep).alias("row"), body.alias("text")).select(
         "row",
         "text",
@@ -57,8 +58,7 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
         F.when(
             F.col("normal").isNotNull(),
             F.flatten(F.transform(
-                F.filter(rules, lambda r: (r["keyword"] == "") | F.array_contains(
-                    F.col("keywords"), r["keyword"])),
+                F.filter(rules, lambda r: F.array_contains(F.col("keywords"), r["keyword"])),
                 _places)),
         ).otherwise(F.array().cast(_FOUND)).alias("found"))
     kept = F.aggregate(
@@ -77,6 +77,16 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
     return settled(three, "row", result, name)
 
 
+def _opened(keyword: str):
+    """Whether the lower-cased text holds the keyword or one of its other fragments."""
+    opened = F.contains("low", F.lit(keyword))
+    if keyword in license_rules.WHOLE:
+        opened &= F.rlike("low", F.lit(rf"(?<!{LETTER}){keyword}(?!{LETTER})"))
+    for fragment in license_rules.ALSO.get(keyword, []):
+        opened |= F.contains("low", F.lit(fragment))
+    return opened
+
+
 def _places(rule):
     """Where one rule matches: each match is marked, then its word number read off."""
     normal = F.col("normal")

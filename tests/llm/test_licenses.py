@@ -1,3 +1,4 @@
+import random
 import re
 
 import brute
@@ -89,3 +90,55 @@ def test_rules_are_sound(rule):
 
 def test_there_are_hundreds_of_rules():
     assert len(license_rules.rules()) > 200
+
+
+def sample(pattern, pick):
+    """A text that the pattern matches; ``pick`` chooses among alternatives."""
+    out = []
+    for kind, value in pattern:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out.append(chr(value))
+        elif kind == "IN":
+            first = value[0]
+            out.append("x" if str(first[0]) == "CATEGORY" else chr(pick.choice(value)[1]))
+        elif kind == "BRANCH":
+            out.append(sample(pick.choice(value[1]), pick))
+        elif kind == "SUBPATTERN":
+            out.append(sample(value[3], pick))
+        elif kind == "MAX_REPEAT":
+            low, high, body = value
+            n = low + (pick.random() < 0.3 and high > low)
+            out += [sample(body, pick) for _ in range(n)]
+        elif kind == "ASSERT":
+            out.append(sample(value[1], pick) if value[0] > 0 else "")
+        else:
+            raise ValueError(kind)
+    return "".join(out)
+
+
+def test_every_rule_opens_its_texts(llm):
+    rows = []
+    for rule in license_rules.rules():
+        pick = random.Random(rule["id"])
+        texts = {sample(re._parser.parse(rule["pattern"]), pick).strip() for _ in range(12)}
+        assert all(re.search(rule["pattern"], f" {t} ") for t in texts)
+        rows += [(rule["id"], t) for t in texts]
+        rows += [(rule["id"], f"({t.upper()})".replace(" ", "-")) for t in texts]
+    df = llm.createDataFrame(rows, "rule int, text string").repartition(8)
+    found = licenses.scan(df).select("rule", "text", "licenses.detections.rule").toDF(
+        "rule", "text", "found")
+    assert [(r.rule, r.text) for r in found.collect() if r.rule not in r.found] == []
+
+
+def test_texts_without_a_license_word(llm):
+    texts = {
+        "Released under the GPL version 3": "gpl-3.0", "Distributed under CC BY 4.0": "cc-by-4.0",
+        "available under MPL 2.0": "mpl-2.0", "https://scripts.sil.org/OFL": "ofl-1.1",
+        "wtfpl.net": "wtfpl", "mariadb.com/bsl11": "busl-1.1",
+        "published under Creative Commons BY-SA 4.0": "cc-by-sa-4.0",
+        "Berkeley Software Distribution": "bsd", "an accurate account by 4.0": None,
+    }
+    df = llm.createDataFrame(list(texts.items()), "text string, label string")
+    for row in licenses.scan(df).collect():
+        assert {d.label for d in row.licenses.kept} == ({row.label} if row.label else set())
