@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pollweave.llm.common import free_name, settled
+from pollweave.llm.common import free_name, settled, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 # One- and two-word grams fall into so many buckets each.
 BUCKETS = 8192
-# The trusted model and the threshold come from at most so many labelled documents.
-TRUSTED_ROWS = 20_000
-# Share of the trusted documents that the threshold may cost.
-LOST = 0.002
+# Texts of fewer words fail.
+LEAST_WORDS = 10
+# Shares of the trusted documents that the threshold may cost; each must bring PRICE times as
+# large a share of the rejected ones.
+LOST = [n / 1000 for n in range(2, 21)]
+PRICE = 10
+# A word bucket tells toxic texts if it is in more of them than in trusted ones by so many
+# standard deviations; its log-likelihood ratio of the two counts so many times.
+SURE = 4
+TOXIC = 4
 _SCALE = 10_000
 
 
@@ -58,52 +65,80 @@ def _hashed(df: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Bucket weights from all documents, and from the trusted ones of ``labels``.
-
-    Trusted are documents of quality 1 that are not toxic; of these at most TRUSTED_ROWS,
-    those of least hash of the key. Counts have 1 added. Only bucket counts and scores'
-    quantile come to the driver: 2 * BUCKETS rows whatever the input. Without trusted
-    documents all weights are 0 and nothing is rejected by score.
+    """Bucket weights from all documents and the labelled ones, and a threshold.
+
+    Trusted are documents that a label gives quality 1 and not toxic and none rejects;
+    rejected are those of quality 0 or toxic. Every row of a labelled key counts. Weights
+    are the log ratio of trusted and raw counts, 1 added; word buckets that surely tell
+    toxic texts have TOXIC times the log ratio of toxic and trusted counts taken off. Of the
+    quantiles LOST of the trusted scores the threshold is the one where the share of
+    rejected documents below it, less PRICE times the quantile, is largest. Only bucket
+    counts and quantiles come to the driver, whatever the input. Without trusted documents
+    all weights are 0 and nothing is rejected by score.
     """
-    trusted = (
-        labels.where("quality = 1 and toxic = 0")
-        .select(F.col("doc_id").alias("trusted"))
-        .where("trusted is not null")
-        .distinct()
-        .orderBy(F.xxhash64("trusted"), "trusted")
-        .limit(TRUSTED_ROWS)
-    )
-    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
-        F.broadcast(trusted), F.col("key") == F.col("trusted"), "left")
-    grams = _hashed(marked, "text", F.col("trusted").isNotNull().alias("own")).select(
-        "own", F.explode(_buckets("hashes", "pairs")).alias("bucket"))
+    said = lambda condition: F.coalesce(F.bool_or(F.expr(condition)), F.lit(False))
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("marked")).agg(
+        said("quality = 1 and toxic = 0").alias("good"),
+        said("quality = 0 or toxic = 1").alias("bad"),
+        said("toxic = 1").alias("toxic"),
+    ).where("good or bad")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    labelled = staged(
+        texts.join(marks, F.col("key") == F.col("marked")).select(
+            "text", "bad", "toxic", (F.col("good") & ~F.col("bad")).alias("own")),
+        "labelled-texts")
+    raw = _hashed(texts, "text").select(
+        F.explode(_buckets("hashes", "pairs")).alias("bucket")).groupBy("bucket").count()
+    # From 2 * BUCKETS on: documents that hold the word bucket.
+    once = F.transform(
+        F.array_distinct(F.transform("hashes", lambda h: F.pmod(h, F.lit(BUCKETS)))),
+        lambda bucket: bucket + 2 * BUCKETS)
+    grams = _hashed(labelled, "text", F.col("own"), F.col("toxic")).select(
+        "own", "toxic", F.explode(F.concat(_buckets("hashes", "pairs"), once)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("raw"), F.count_if("own").alias("target"))
-    weights = _ratios(counts.collect())
-    scored = _hashed(
-        marked.where("trusted is not null"), "text").select(
-            _score("hashes", "pairs", weights).alias("score"))
-    threshold = scored.agg(F.percentile("score", LOST)).first()[0]
-    return Model(weights, float("-inf") if threshold is None else threshold)
-
-
-def _ratios(rows) -> list:
-    from math import log
-
-    raw, target = [1] * (2 * BUCKETS), [1] * (2 * BUCKETS)
-    for row in rows:
-        raw[row.bucket] += row.raw
-        target[row.bucket] += row.target
+        F.count_if("own").alias("own"), F.count_if("toxic").alias("toxic"))
+    docs_of = labelled.agg(F.count_if("own").alias("own"), F.count_if("toxic").alias("toxic"))
+    weights = _ratios(raw.collect(), counts.collect(), docs_of.first())
+    scored = _hashed(labelled, "text", F.col("own"), F.col("bad")).where(
+        F.size("words") >= LEAST_WORDS).select(
+            "own", "bad", _score("hashes", "pairs", weights).alias("score"))
+    score = lambda kind: F.when(F.col(kind), F.col("score"))
+    found = scored.agg(
+        F.percentile(score("own"), F.lit(LOST)).alias("own"),
+        F.percentile(score("bad"), F.lit([n / 1000 for n in range(1001)])).alias("bad"),
+    ).first()
+    if not found.own:
+        return Model(weights, float("-inf"))
+    below = lambda least: bisect_left(found.bad or [], least) / 1001
+    _, threshold = max(
+        zip(LOST, found.own, strict=True), key=lambda x: below(x[1]) - PRICE * x[0])
+    return Model(weights, threshold)
+
+
+def _ratios(raw_rows, labelled_rows, docs_of) -> list:
+    from math import log, sqrt
+
+    raw, own, toxic = ([0] * (3 * BUCKETS) for _ in range(3))
+    for row in raw_rows:
+        raw[row.bucket] = row["count"]
+    for row in labelled_rows:
+        own[row.bucket], toxic[row.bucket] = row.own, row.toxic
     weights = []
     for low in (0, BUCKETS):  # one multinomial of words, one of pairs
-        own = slice(low, low + BUCKETS)
-        shift = log(sum(raw[own])) - log(sum(target[own]))
-        known = sum(target[own]) > BUCKETS
-        weights += [
-            round(_SCALE * (log(t) - log(r) + shift)) if known else 0
-            for t, r in zip(target[own], raw[own], strict=True)
-        ]
-    return weights
+        at = range(low, low + BUCKETS)
+        known = sum(own[low : low + BUCKETS])
+        shift = log(sum(raw[b] + 1 for b in at)) - log(known + BUCKETS)
+        weights += [log(own[b] + 1) - log(raw[b] + 1) + shift if known else 0.0 for b in at]
+    words = sum(own[:BUCKETS])
+    if words and docs_of.own and docs_of.toxic:
+        grams, share = sum(toxic[:BUCKETS]) / words, docs_of.toxic / docs_of.own
+        for b in range(BUCKETS):
+            expected = own[b + 2 * BUCKETS] * share
+            noise = sqrt(expected * (1 + share) + 1)
+            if toxic[b + 2 * BUCKETS] - expected > SURE * noise:
+                ratio = log(toxic[b] + 1) - log(own[b] * grams + 1)
+                weights[b] -= TOXIC * max(ratio, 0.0)
+    return [round(_SCALE * w) for w in weights]
 
 
 def _score(hashes: str, pairs: str, weights: list) -> Column:
@@ -166,7 +201,7 @@ def judge(
         F.lit(5), lambda x, y: x + y)
     table = table.select(
         "*", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")).drop("places")
-    failed = (F.col("n_words") < 10) | (
+    failed = (F.col("n_words") < LEAST_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     verdict = F.struct(
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score",

@@ -81,3 +81,31 @@ def test_score_is_the_mean_log_ratio(llm):
         p % quality.BUCKETS + quality.BUCKETS for p in pairs]
     expected = sum(model.weights[g] for g in grams) / len(grams) / 10_000
     assert math.isclose(quality.judge(one, model).first().quality.score, expected)
+
+
+def test_toxic_words_are_learned_and_held_out_rows_judged(llm):
+    clean = "the and of a in to is on by at it as or be for with from this that was".split()
+    words = lambda n, extra: " ".join(
+        [clean[(n * 7 + k * (1 + n % 5) + k // 9) % 20] for k in range(60)][:50] + extra)
+    vile = ["zorg", "brakk", "mulv"]
+    docs, labels = [], []
+    for n in range(240):
+        bad = n % 4 == 0
+        extra = [vile[n // 4 % 3], f"w{n}", vile[(n // 4 + 1) % 3]] if bad else [f"w{n}"]
+        docs.append((n, words(n, extra)))
+        if n < 160:
+            labels.append((n, 1, int(bad)))
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, llm.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    scores = {r.doc_id: r.quality.score for r in quality.judge(df, model).collect()}
+    kept = {n for n, score in scores.items() if score >= model.threshold and n >= 160}
+    assert not any(n % 4 == 0 for n in kept) and len(kept) >= 54
+
+
+def test_labels_of_all_rows_count(llm):
+    rows = 20_500
+    df = llm.range(rows).selectExpr("id doc_id", "'common words' text")
+    labels = llm.range(rows).selectExpr("id doc_id", "1 quality", "0 toxic")
+    model = quality.fit(df, labels)
+    # trusted and raw counts are the same, so every seen bucket's ratio is that of none
+    assert set(model.weights) == {0}
