@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pollweave.llm import (
+    checks,
     common,
     decontaminate,
     language,
     licenses,
+    merkle,
     packing,
     quality,
     sharding,
@@ -127,6 +129,27 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(
+        common.ready(spark), sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    named = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest([*named, F.col("text")])
+    damaged = merkle.leaf_digest([*named, F.translate("text", "\n", "")])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.manifest(
+        docs, leaf, carry={"claimed": F.when(tampered, damaged).otherwise(leaf)})
+    folded = found.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("proof")))
+    return folded.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
     "op2_signatures": (op2_signatures, None),
@@ -138,4 +161,5 @@ QUERIES = {
     "op8_fm_index": (op8_fm_index, None),
     "op9_least_squares": (op9_least_squares, None),
     "op10_fm_index": (op10_fm_index, None),
+    "op11_time_forward": (op11_time_forward, checks.MERKLE),
 }
