@@ -86,3 +86,58 @@ SELECT doc_id, leaf, subroot, root,
   folded_root, folded_root = root AS verified
 FROM folded
 """
+
+MIX = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS g,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+  FROM documents
+), sources AS (
+  SELECT g, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY g) AS place
+  FROM sized GROUP BY g
+), weighed AS (
+  SELECT *, 1 + (place - 1) % 3 AS weight, source_size / (1 + (place - 1) % 3) AS filled
+  FROM sources
+), levels AS (
+  SELECT *,
+    ((sum(source_size) OVER () - 3 * (sum(source_size) OVER before - source_size))::BIGINT
+      / (sum(weight) OVER () - (sum(weight) OVER before - weight))::BIGINT) AS level
+  FROM weighed WINDOW before AS (ORDER BY filled, g ROWS UNBOUNDED PRECEDING)
+), aims AS (
+  SELECT g, source_size, CASE WHEN level >= 3 * filled THEN (3 * source_size)::DOUBLE
+    ELSE weight * (SELECT max(level) FROM levels WHERE NOT level >= 3 * filled) END AS target
+  FROM levels
+), worths AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target * n_blocks / source_size ELSE 0 END AS worth
+  FROM (SELECT *, CASE WHEN source_size > 0
+    THEN greatest(1, floor(source_size / 32 + 0.5))::BIGINT ELSE 0 END AS n_blocks FROM aims)
+), quotients AS (
+  SELECT g, row_number() OVER (ORDER BY worth / (seat + 0.5) DESC, g, seat) AS place
+  FROM (SELECT g, worth, unnest(range(3 * n_blocks)) AS seat FROM worths)
+), won AS (
+  SELECT g, count(*) AS seats FROM quotients
+  WHERE place <= (SELECT (sum(floor(worth * 1024 + 0.5))::BIGINT + 512) // 1024 FROM worths)
+  GROUP BY g
+), blocks AS (
+  SELECT w.g, b, b * (source_size // n_blocks) + least(b, source_size % n_blocks) AS first_word,
+    (coalesce(won.seats, 0) - (b * step + shift) % n_blocks + n_blocks - 1) // n_blocks AS copies
+  FROM (SELECT *, unnest(range(n_blocks)) AS b,
+      ('0x' || left(md5('mix' || g), 15))::BIGINT % n_blocks AS shift,
+      CASE WHEN n_blocks % 1048573 <> 0 THEN 1048573 ELSE 1048571 END AS step
+    FROM worths WHERE n_blocks > 0) w
+  LEFT JOIN won ON w.g = won.g
+), spans AS (
+  SELECT *, coalesce(lead(first_word) OVER (PARTITION BY g ORDER BY b), 1::BIGINT << 60) AS ends
+  FROM blocks
+), lines AS (
+  SELECT *, row_number() OVER () AS line, sum(size) OVER (PARTITION BY g
+    ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM sized
+), taken AS (
+  SELECT line, sum(copies * (least(ends, start + size) - greatest(first_word, start))) AS words
+  FROM lines JOIN spans ON lines.g = spans.g AND first_word < start + size AND ends > start
+  GROUP BY line
+)
+SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken
+FROM lines JOIN worths ON lines.g = worths.g LEFT JOIN taken ON lines.line = taken.line
+"""

@@ -11,6 +11,7 @@ from pollweave.llm import (
     language,
     licenses,
     merkle,
+    mixing,
     packing,
     quality,
     sharding,
@@ -22,6 +23,7 @@ from pollweave.llm import (
 from pollweave.sources.tables import table
 
 SHARDS = 40
+MIX_WEIGHTS = (1, 2, 3)
 
 
 def op1_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +152,12 @@ def op11_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mix(docs, MIX_WEIGHTS).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
     "op2_signatures": (op2_signatures, None),
@@ -161,5 +169,6 @@ QUERIES = {
     "op8_fm_index": (op8_fm_index, None),
     "op9_least_squares": (op9_least_squares, None),
     "op10_fm_index": (op10_fm_index, None),
+    "op13_sainte_lague": (op13_sainte_lague, checks.MIX),
     "op11_time_forward": (op11_time_forward, checks.MERKLE),
 }
