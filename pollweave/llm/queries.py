@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pollweave.llm import (
     checks,
     common,
+    conversations,
     decontaminate,
     language,
     licenses,
@@ -152,6 +153,40 @@ def op11_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with planted faults: dropped, emptied, cut, repeated or of another role."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    place = F.concat(space("conv_id"), F.lit(":"), space("turn"))
+    fault = F.crc32(place.cast("binary")) % 20
+    text = F.when(fault == 1, "").when(
+        fault == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    copies = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    return turns.select(
+        "conv_id", "turn",
+        F.when(fault == 4, "user").otherwise(space("role")).alias("role"),
+        text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op12_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(
+        common.ready(spark), sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    faulty = damaged(turns)
+    figures, words = conversations.report(faulty)
+    told = conversations.digests(conversations.repair(faulty, words))
+    every = turns.select("conv_id").distinct().withColumn(
+        "g", conversations.named(F.col("conv_id")))
+    rows = every.join(figures.join(told, "g"), "g", "left")
+    long = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select(
+        "conv_id",
+        *map(long, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(common.ready(spark), sf_dir, "documents", "doc_id", "source", "text")
     return mixing.mix(docs, MIX_WEIGHTS).select(
@@ -169,6 +204,7 @@ QUERIES = {
     "op8_fm_index": (op8_fm_index, None),
     "op9_least_squares": (op9_least_squares, None),
     "op10_fm_index": (op10_fm_index, None),
-    "op13_sainte_lague": (op13_sainte_lague, checks.MIX),
     "op11_time_forward": (op11_time_forward, checks.MERKLE),
+    "op12_bidirectional": (op12_bidirectional, None),
+    "op13_sainte_lague": (op13_sainte_lague, checks.MIX),
 }
