@@ -141,3 +141,82 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken
 FROM lines JOIN worths ON lines.g = worths.g LEFT JOIN taken ON lines.line = taken.line
 """
+
+REPAIR = r"""
+WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '')
+      ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, CRC % 20 AS kind FROM conversations)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, role, md5(text), copy) AS place FROM damaged
+), seen AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS time,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM placed
+), marked AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN time > 1 THEN 'd'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault
+  FROM seen
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(*) AS turns
+  FROM marked GROUP BY conv_id
+), edges AS (
+  -- every way over one turn: up to two insertions, then keep, rerole or delete
+  SELECT m.conv_id, m.place, s.state, ways.letter,
+    ways.added * 2 + CASE WHEN ways.letter = 'D' THEN 3
+      ELSE CASE ways.letter WHEN 'R' THEN 2 ELSE 0 END + (m.fault = 't')::INT END AS cost,
+    repeat('I', ways.added) || ways.letter AS audit,
+    CASE ways.letter WHEN 'D' THEN s.at WHEN 'R' THEN CASE s.at WHEN 2 THEN 3 ELSE 2 END
+      ELSE CASE left(m.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS after,
+    [x FOR x IN [CASE WHEN ways.added > 0 THEN CASE s.state WHEN 2 THEN 'assistant:'
+        ELSE 'user:' END END, CASE WHEN ways.added > 1 THEN CASE s.state WHEN 2 THEN 'user:'
+        ELSE 'assistant:' END END,
+      CASE ways.letter WHEN 'K' THEN m.role || ':' || m.text WHEN 'R' THEN
+        CASE s.at WHEN 2 THEN 'assistant:' ELSE 'user:' END || m.text END] IF x IS NOT NULL]
+      AS lines
+  FROM marked m,
+    (SELECT state, added, CASE added WHEN 0 THEN state WHEN 1 THEN
+        CASE state WHEN 2 THEN 3 ELSE 2 END ELSE CASE state WHEN 2 THEN 2 ELSE 3 END END AS at
+      FROM range(4) a(state), range(3) b(added)) s
+    JOIN (SELECT letter, added FROM (VALUES ('K'), ('R'), ('D')) v(letter), range(3) b(added)) ways
+      ON ways.added = s.added
+  WHERE (ways.letter = 'D' OR m.fault IN ('.', 't'))
+    AND (ways.letter <> 'K' OR CASE left(m.role, 1) WHEN 's' THEN s.at = 0
+      WHEN 'u' THEN s.at <> 2 WHEN 'a' THEN s.at = 2 ELSE false END)
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS place, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines
+  FROM figures
+  UNION ALL
+  SELECT conv_id, place, state, best.cost, best.audit, best.lines FROM (
+    SELECT s.conv_id, e.place, e.after AS state, arg_min(
+        {'cost': s.cost + e.cost, 'audit': s.audit || e.audit,
+         'lines': list_concat(s.lines, e.lines)},
+        {'cost': s.cost + e.cost, 'audit': s.audit || e.audit}) AS best
+    FROM steps s JOIN edges e ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+      AND s.state = e.state AND s.place + 1 = e.place
+    GROUP BY s.conv_id, e.place, e.after)
+), ended AS (
+  SELECT s.conv_id, arg_min({'cost': cost + more, 'audit': audit || closing,
+      'lines': list_concat(lines, added)}, {'cost': cost + more, 'audit': audit || closing}) AS best
+  FROM steps s JOIN figures f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.place = f.turns
+  JOIN (VALUES (0, 0, '', []), (1, 4, 'II', ['user:', 'assistant:']), (2, 2, 'I', ['assistant:']),
+    (3, 0, '', [])) c(state, more, closing, added) ON s.state = c.state
+  GROUP BY s.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost,
+  coalesce(e.best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN figures f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+""".replace("CRC", crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))

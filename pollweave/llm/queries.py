@@ -205,6 +205,6 @@ QUERIES = {
     "op9_least_squares": (op9_least_squares, None),
     "op10_fm_index": (op10_fm_index, None),
     "op11_time_forward": (op11_time_forward, checks.MERKLE),
-    "op12_bidirectional": (op12_bidirectional, None),
+    "op12_bidirectional": (op12_bidirectional, checks.REPAIR),
     "op13_sainte_lague": (op13_sainte_lague, checks.MIX),
 }
