@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pollweave.session import checkpointed
+from pollweave.session import written
 
 SEGMENT = "_segment"
 
@@ -97,10 +97,43 @@ def last_known(
     )
 
 
+def numbered(
+    df: DataFrame, keys: list[str], order: list[str], name: str, column: str
+) -> DataFrame:
+    """Add the row's number within the key, from 0, and ``prev_<column>``: the row before.
+
+    Rows that agree in all of ``order`` and ``column`` must be equal.
+    """
+    rows = _segmented(df, keys, order)
+    within = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    tails = rows.groupBy(*keys, SEGMENT).agg(
+        F.max_by(column, F.struct(*order)).alias("_tail"), F.count(F.lit(1)).alias("_rows"))
+    across = Window.partitionBy(*keys).orderBy(SEGMENT)
+    tails = tails.select(
+        *keys, SEGMENT,
+        F.lag("_tail").over(across).alias("_before"),
+        F.coalesce(
+            F.sum("_rows").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_earlier"),
+    )
+    inner = rows.select(
+        "*", F.row_number().over(within).alias("_rn"), F.lag(column).over(within).alias("_prev"))
+    joined = _join_segments(inner, tails, keys)
+    return joined.select(
+        *df.columns,
+        (F.col("_earlier") + F.col("_rn") - 1).alias(name),
+        F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_prev")).alias(
+            f"prev_{column}"),
+    )
+
+
 def _segmented(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The rows with their segment's number, written: both passes must read the same one."""
+    """The rows with their segment's number, written: both passes must read the same one.
+
+    They are written as columns, so that the pass over the segments' ends reads only these.
+    """
     ranged = df.repartitionByRange(*keys, *order).withColumn(SEGMENT, F.spark_partition_id())
-    return checkpointed(ranged)
+    return written(ranged, "segments")
 
 
 def _join_segments(rows: DataFrame, tails: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Settle the sources of all polls into one status, and write it.
+"""Settle the sources of all polls into one status (``publishing`` writes it).
 
 Every step is one join, aggregate or window over all polls at once. State of
 earlier runs enters as the rows of older polls.
@@ -6,19 +6,19 @@ earlier runs enters as the rows of older polls.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pollweave.functions import falsy, fixed, metrics, normalize
-from pollweave.operators import history, ordered, overlay, precedence, shaping
+from pollweave.operators import history, ordered, overlay, precedence
 from pollweave.operators.precedence import SOURCE
 from pollweave.plans.status import AGGREGATE, KEYS, PRIMARY, REST, Source, Status
 from pollweave.sources import state
 from pollweave.sources.documents import POLL
 
 _EFFECTS = "array<bigint>"
-_SERIES_FACTIONS = ["Humans", "Terminids", "Automatons", "Illuminate"]
 
 
 class NoSource(RuntimeError):
@@ -47,26 +47,20 @@ def reconcile(
     if polls.isEmpty():
         raise NoSource("every source failed for every poll")
 
-    entities = _entities(sources, polls, carried)
-    contests = _contests(sources, polls, carried)
-    contests, recon = _with_recon(contests, rest)
-    assignments = _assignments(sources, polls, carried)
-    stations = _carry(
-        polls,
-        _first_source({PRIMARY: primary.stations, AGGREGATE: aggregate.stations}),
-        carried and carried.stations,
-    )
-    blanked = aggregate.bulletins.withColumn("published", F.lit(""))
-    bulletins = _first_source({REST: rest.bulletins, AGGREGATE: blanked, PRIMARY: primary.bulletins})
+    contests = functools.cache(lambda: _with_recon(_contests(sources, polls, carried), rest))
     return Status(
         polls=polls,
-        entities=entities,
-        contests=contests,
-        assignments=assignments,
-        bulletins=bulletins.join(polls.select(POLL), POLL, "left_semi").drop(SOURCE),
-        war=_war(sources, polls),
-        stations=stations,
-        recon=recon,
+        entities=lambda: _entities(sources, polls, carried),
+        contests=lambda: contests()[0],
+        recon=lambda: contests()[1],
+        assignments=lambda: _assignments(sources, polls, carried),
+        bulletins=lambda: _bulletins(sources, polls),
+        war=lambda: _war(sources, polls),
+        stations=lambda: _carry(
+            polls,
+            _first_source({PRIMARY: primary.stations, AGGREGATE: aggregate.stations}),
+            carried and carried.stations,
+        ),
     )
 
 
@@ -132,6 +126,7 @@ def _entities(sources, polls, carried) -> DataFrame:
         .select(
             *KEYS, SOURCE, "name", "sector", "owner", "health", "max_health", "players",
             "attacking", "resistance", "effects",
+            "extra",
         )
     )
 
@@ -207,6 +202,13 @@ def _assignments(sources, polls, carried) -> DataFrame:
     return _carry(polls, dated, carried and carried.assignments)
 
 
+def _bulletins(sources, polls) -> DataFrame:
+    blanked = sources[AGGREGATE].bulletins.withColumn("published", F.lit(""))
+    chosen = _first_source({
+        REST: sources[REST].bulletins, AGGREGATE: blanked, PRIMARY: sources[PRIMARY].bulletins})
+    return chosen.join(polls.select(POLL), POLL, "left_semi").drop(SOURCE)
+
+
 def _war(sources, polls) -> DataFrame:
     totals = sources[AGGREGATE].entities.groupBy(POLL).agg(F.sum("players").alias("summed"))
     seen = sources[AGGREGATE].polls.join(totals, POLL, "left")
@@ -217,7 +219,7 @@ def _war(sources, polls) -> DataFrame:
     )
     return war.select(
         POLL, SOURCE, "time", players.alias("players"), "missions_won", "missions_lost", "started",
-        "ended",
+        "ended", "extra", "statistics_extra",
     )
 
 
@@ -300,189 +302,3 @@ def load_carried(spark: SparkSession, folder: str, version: int) -> Carried:
             for name, ddl in _CARRIED.items()
         }
     )
-
-
-# ---- output ----
-
-_TABLES = ("entities", "contests", "bulletins", "assignments", "stations", "war", "recon")
-
-
-def poll_documents(
-    status: Status, series: DataFrame | None = None, owned: DataFrame | None = None
-) -> DataFrame:
-    """One JSON document per poll, ``(poll_ts, document)``, for bounded polls.
-
-    ``owned`` is the previous output of another writer as ``(poll_ts, news,
-    major_order)``; its columns are kept.
-    """
-    planets = status.entities.select(
-        POLL,
-        F.col("entity_id").alias("index"),
-        "name",
-        "sector",
-        F.col("owner").alias("currentOwner"),
-        "health",
-        F.col("max_health").alias("maxHealth"),
-        "players",
-        "attacking",
-        "resistance",
-        F.col("effects").alias("activeEffects"),
-    )
-    contests = status.contests.select(
-        POLL,
-        "seq",
-        F.col("contest_id").alias("id"),
-        "faction",
-        "type",
-        F.col("event_kind").alias("eventType"),
-        F.col("contest_class").alias("campaignType"),
-        F.col("attackers_progress").alias("attackersProgress"),
-        F.col("defenders_progress").alias("defendersProgress"),
-        F.col("attackers_rate").alias("attackersRate"),
-        F.col("defenders_rate").alias("defendersRate"),
-        F.col("start_time").alias("startTime"),
-        F.col("remaining_time").alias("remainingTime"),
-        F.col("level").alias("invasionLevel"),
-        "count",
-        F.struct(
-            F.col("entity_id").alias("index"), "name", "sector", F.col("owner").alias("currentOwner")
-        ).alias("planet"),
-    )
-    bulletins = status.bulletins.select(
-        POLL, "seq", "id", "published", "type", "message"
-    )
-    recon = status.recon.select(
-        POLL,
-        "entity_id",
-        F.lit(None).cast("double").alias("healthImpact"),
-        F.col("success_per_hour").alias("successPerHour"),
-        F.col("fail_per_hour").alias("failPerHour"),
-        F.col("enemies_per_hour").alias("enemiesPerHour"),
-        F.col("deaths_per_hour").alias("deathsPerHour"),
-        F.col("success_rate").alias("successRate"),
-        F.col("fail_rate").alias("failRate"),
-    )
-    assignment = _single(
-        status.assignments.select(
-            POLL, "id", "briefing", "title", F.parse_json("tasks").alias("tasks"), "progress",
-            "expiration", "deadline", F.col("server_time").alias("serverTime"),
-        ),
-        "assignments",
-    )
-    station = _single(
-        status.stations.select(
-            POLL, F.col("entity_id").alias("planetIndex"),
-            F.col("effects").alias("activeEffectIds"),
-            F.col("election_end").alias("electionEnd"),
-        ),
-        "dss",
-    )
-    war = status.war.select(
-        POLL,
-        F.struct(
-            "time",
-            F.struct(
-                F.col("players").alias("playerCount"),
-                F.col("missions_won").alias("missionsWon"),
-                F.col("missions_lost").alias("missionsLost"),
-            ).alias("statistics"),
-            "started",
-            "ended",
-        ).alias("war"),
-    )
-    recon_map = recon.groupBy(POLL).agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("entity_id").cast("string").alias("key"),
-                        F.struct(*[c for c in recon.columns if c not in KEYS]).alias("value"),
-                    )
-                )
-            )
-        ).alias("recon_stats")
-    )
-    parts = [
-        war,
-        shaping.nested_lists(planets, [POLL], "planets", ["index"]),
-        shaping.nested_lists(contests, [POLL], "campaigns", ["seq"]),
-        shaping.nested_lists(bulletins, [POLL], "dispatches", ["seq"]),
-        assignment,
-        station,
-        recon_map,
-    ]
-    if series is not None:
-        parts.append(
-            series.select(
-                POLL,
-                F.struct(
-                    F.col("total_players").alias("total"),
-                    *[F.col(f"factions.{c}").alias(c.lower()) for c in _SERIES_FACTIONS],
-                    F.col("timestamp").alias("updatedAt"),
-                ).alias("player_distribution"),
-                F.col("impact_multiplier").alias("impactMultiplier"),
-            )
-        )
-    if owned is not None:
-        parts.append(owned.select(POLL, "news", "major_order"))
-    whole = status.polls.select(POLL, _fetched_at().alias("fetchedAt"), SOURCE)
-    for part in parts:
-        whole = whole.join(part, POLL, "left")
-    body = F.to_json(
-        F.struct(*[c for c in whole.columns if c != POLL]), {"ignoreNullFields": "false"}
-    )
-    return whole.select(POLL, body.alias("document"))
-
-
-def _fetched_at() -> Column:
-    hours = fixed.LOCAL_OFFSET_HOURS
-    return normalize.iso_seconds(F.col(POLL) + hours * 3600, f"+{hours:02d}:00")
-
-
-def _single(rows: DataFrame, name: str) -> DataFrame:
-    fields: list[Column | str] = [c for c in rows.columns if c != POLL]
-    return rows.select(POLL, F.struct(*fields).alias(name))
-
-
-def publish(
-    status: Status,
-    folder: str,
-    series: DataFrame | None = None,
-    owned: DataFrame | None = None,
-) -> None:
-    """Write all tables of the status as rows, one folder each, polls replaced one by one.
-
-    ``polls`` has the source and the time of each poll; ``series`` and ``owned`` are
-    written where they are given. The format does not depend on the size of a poll.
-    """
-    tables = {name: getattr(status, name) for name in _TABLES}
-    tables["polls"] = status.polls.select(POLL, SOURCE, _fetched_at().alias("fetched_at"))
-    if series is not None:
-        tables["series"] = series
-    if owned is not None:
-        tables["owned"] = owned
-    for name, rows in tables.items():
-        _by_poll(rows).json(f"{folder}/{name}")
-
-
-def publish_documents(
-    status: Status,
-    folder: str,
-    series: DataFrame | None = None,
-    owned: DataFrame | None = None,
-) -> None:
-    """Write one document per poll as well, for readers that want a poll as one value.
-
-    The caller chooses this where polls are known to be small enough for that.
-    """
-    _by_poll(poll_documents(status, series, owned)).text(f"{folder}/documents")
-
-
-def _by_poll(rows: DataFrame):
-    """A writer that replaces the polls it writes and leaves the others.
-
-    The rows of a poll are brought together first, so that not every task writes a file
-    for every poll; adaptive execution splits a large one.
-    """
-    writer = rows.hint("rebalance", POLL).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    return writer.partitionBy(POLL)

@@ -8,6 +8,7 @@ series. Each is read into the same tables, keyed by ``(poll_ts, source, ...)``,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,6 +43,31 @@ REST_DOCUMENTS = {
     "assignments": docs.ASSIGNMENTS,
     "dispatches": docs.NEWS,
 }
+# The fields that the published rows and documents write themselves. Whatever
+# else the rest source sends with such a row is passed on as it came.
+ENTITY_FIELDS = (
+    "index", "name", "sector", "currentOwner", "health", "maxHealth", "players", "attacking",
+    "resistance", "activeEffects",
+)
+CONTEST_FIELDS = (
+    "id", "faction", "type", "eventType", "campaignType", "attackersProgress",
+    "defendersProgress", "attackersRate", "defendersRate", "startTime", "remainingTime",
+    "invasionLevel", "count", "planet",
+)
+PLACE_FIELDS = ("index", "name", "sector", "currentOwner")
+BULLETIN_FIELDS = ("id", "published", "type", "message")
+WAR_FIELDS = ("time", "statistics", "started", "ended")
+WAR_STATISTICS = ("playerCount", "missionsWon", "missionsLost")
+REST_EXTRAS = {
+    "war": lambda value: F.struct(
+        docs.remainder(value, WAR_FIELDS).alias("own"),
+        docs.remainder(value, WAR_STATISTICS, "$.statistics").alias("statistics"),
+    ),
+    "planets": lambda value: docs.remainders(value, own=("$", ENTITY_FIELDS)),
+    "campaigns": lambda value: docs.remainders(
+        value, own=("$", CONTEST_FIELDS), planet=("$.planet", PLACE_FIELDS)),
+    "dispatches": lambda value: docs.remainders(value, own=("$", BULLETIN_FIELDS)),
+}
 
 
 @dataclass
@@ -79,18 +105,28 @@ class Source:
         )
 
 
-@dataclass
 class Status:
-    """The reconciled tables, one row set per poll."""
+    """The reconciled tables, one row set per poll: ``polls`` and ``TABLES``.
 
-    polls: DataFrame
-    entities: DataFrame
-    contests: DataFrame
-    assignments: DataFrame
-    bulletins: DataFrame
-    war: DataFrame
-    stations: DataFrame
-    recon: DataFrame
+    A table is worked out when it is first asked for, so a reader of one of them does not
+    pay for the others.
+    """
+
+    TABLES = ("entities", "contests", "bulletins", "assignments", "stations", "war", "recon")
+
+    def __init__(self, polls: DataFrame, **tables: Callable[[], DataFrame]) -> None:
+        if set(tables) != set(self.TABLES):
+            raise ValueError("a status has the tables " + ", ".join(self.TABLES))
+        self.polls = polls
+        self._tables = tables
+        self._found: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in Status.TABLES:
+            raise AttributeError(name)
+        if name not in self._found:
+            self._found[name] = self._tables[name]()
+        return self._found[name]
 
 
 # ---- the primary source ----
@@ -162,7 +198,7 @@ def read_primary(
         entities=entities,
         contests=contests,
         assignments=assignments,
-        bulletins=_bulletins(news, F.col("doc"), in_order=True),
+        bulletins=_bulletins(docs.items(news, F.col("doc")), in_order=True),
         war=war,
         stations=_stations(status, F.col("doc.spaceStations")),
     ).complete(work)
@@ -227,7 +263,7 @@ def read_aggregate(
         entities=entities,
         contests=plain.unionByName(events),
         assignments=assignments,
-        bulletins=_bulletins(live, F.col("doc.news")),
+        bulletins=_bulletins(docs.items(live, F.col("doc.news"))),
         war=war,
         stations=_stations(live, F.col("doc.spaceStations")),
     ).complete(work)
@@ -242,10 +278,10 @@ def read_rest(
     """The rest source's polls from ``since`` on; ``work`` is a folder in the shared storage."""
     work = f"{work or run_folder(spark, 'status')}/rest"
     staged = docs.stage(
-        spark, landing, REST_DOCUMENTS, f"{work}/documents", since, REST_NULLABLE)
+        spark, landing, REST_DOCUMENTS, f"{work}/documents", since, REST_NULLABLE, REST_EXTRAS)
     war, planets, campaigns, assignment, dispatches = (staged[name] for name in REST_DOCUMENTS)
 
-    rows = docs.items(planets, F.col("doc")).select(
+    rows = docs.items_with_extra(planets).select(
         POLL,
         F.col("item.index").alias("entity_id"),
         "seq",
@@ -259,13 +295,14 @@ def read_rest(
         F.col("item.regenPerSecond").alias("regen"),
         F.coalesce("item.activeEffects", F.array().cast("array<bigint>")).alias("effects"),
         F.col("item.statistics").alias("totals"),
+        F.col("extra.own").alias("extra"),
     )
     rows = history.last_per_key(
         rows.where(F.col("entity_id").isNotNull()), KEYS, [F.col("seq")]
     ).drop("seq")
     entities = rows.drop("totals")
     statistics = rows.select(*KEYS, "totals").where(F.col("totals").isNotNull())
-    contests = docs.items(campaigns, F.col("doc")).select(
+    contests = docs.items_with_extra(campaigns).select(
         POLL,
         "seq",
         F.col("item.id").alias("contest_id"),
@@ -285,6 +322,8 @@ def read_rest(
         F.col("item.planet.name").alias("name"),
         F.col("item.planet.sector").alias("sector"),
         F.col("item.planet.currentOwner").alias("owner"),
+        F.col("extra.own").alias("extra"),
+        F.col("extra.planet").alias("place_extra"),
     )
     first = assignment.select(POLL, shaping.first_item(F.col("doc")).alias("a")).where(
         F.col("a").isNotNull()
@@ -304,7 +343,7 @@ def read_rest(
         entities=entities,
         contests=contests,
         assignments=assignments,
-        bulletins=_bulletins(dispatches, F.col("doc")),
+        bulletins=_bulletins(docs.items_with_extra(dispatches), F.col("extra.own")),
         war=war.select(
             POLL,
             F.lit(0).cast("bigint").alias("time"),
@@ -313,6 +352,8 @@ def read_rest(
             F.coalesce("doc.statistics.missionsLost", F.lit(0)).alias("missions_lost"),
             F.col("doc.started").alias("started"),
             F.col("doc.ended").alias("ended"),
+            F.col("extra.own").alias("extra"),
+            F.col("extra.statistics").alias("statistics_extra"),
         ),
         statistics=statistics,
     ).complete(work)
@@ -529,15 +570,16 @@ def _dedupe(contests: DataFrame) -> DataFrame:
     return history.first_per_key(known, KEYS, [rank, F.col("seq")])
 
 
-def _bulletins(documents: DataFrame, path, in_order: bool = False) -> DataFrame:
+def _bulletins(items: DataFrame, extra=None, in_order: bool = False) -> DataFrame:
     """The newest bulletins by id, in that order or (``in_order``) in that of the document."""
-    rows = docs.items(documents, path).select(
+    rows = items.select(
         POLL,
         F.col("item.id").alias("id"),
         normalize.iso_variant(F.col("item.published")).alias("published"),
         normalize.variant_text(F.col("item.type")).alias("type"),
         F.col("item.message").alias("message"),
         "seq",
+        *([] if extra is None else [extra.alias("extra")]),
     )
     newest_first = [F.desc(F.coalesce("id", F.lit(0))), F.col("seq")]
     newest = history.newest_per_key(rows, [POLL], newest_first, fixed.BULLETINS_KEPT)

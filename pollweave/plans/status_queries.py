@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pollweave.plans import reconcile as rec
+from pollweave.plans import publishing, reconcile as rec
 from pollweave.plans import status as st
 from pollweave.plans.sql import rounded
 from pollweave.session import run_folder
@@ -20,8 +20,18 @@ CUSTOMERS = 512
 _FIRST = 1_700_000_100
 
 
+_landings: dict[tuple[str, str], str] = {}
+
+
 def _landed(spark, sf) -> str:
-    """Write the documents of both sources; the landing folder."""
+    """The landing folder with the documents of both sources, written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _landings:
+        _landings[key] = _land(spark, sf)
+    return _landings[key]
+
+
+def _land(spark, sf) -> str:
     folder = run_folder(spark, "landed-status")
     k = F.col("k")
     customers = table(
@@ -46,17 +56,27 @@ def _landed(spark, sf) -> str:
         missionsWon=k % 40, missionsLost=k % 7, missionTime=(k % 3) * 1800, terminidKills=k % 90,
         illuminateKills=k % 11, deaths=(k % 2) * (k % 9 + 1), helldiversDeaths=k % 13,
         accuracy=F.lit(87.5))
+    biome = fields(name=F.col("c_mktsegment"), slug=F.lower("c_mktsegment"))
     planet = fields(
+        hash=k * 7_000_000_007, biome=biome, hazards=F.array_repeat(fields(level=k % 9), (k % 3).cast("int")),
+        disabled=F.when(k % 2 == 0, k % 4 == 0), note=F.concat(F.lit('é "'), k, F.lit('"\n')),
         index=k, name=F.col("c_name"), sector=F.col("c_mktsegment"),
         currentOwner=F.concat(F.lit("R"), "c_nationkey"), health=F.col("health"),
         maxHealth=k + 3_000_000, players=k % 60, statistics=statistics)
-    contest = fields(id=k, type=F.when(k % 5 == 0, 1).otherwise(0), planet=fields(index=k))
+    contest = fields(
+        id=k, type=F.when(k % 5 == 0, 1).otherwise(0), planet=fields(index=k, biome=biome),
+        priority=k % 6)
     planets = listed(customers, planet)
     write(planets, "planets", F.to_json("items"))
     write(listed(customers.where(k % 5 < 2), contest), "campaigns", F.to_json("items"))
-    write(planets, "war", F.lit('{"statistics": {"playerCount": 5}}'))
+    polled = F.col("poll").cast("string")
+    write(planets, "war", F.concat(
+        F.lit('{"statistics": {"playerCount": 5, "shots": 1'), polled, F.lit('}, "now": "T'),
+        polled, F.lit('"}')))
     write(planets, "assignments", F.lit("null"))
-    write(planets, "dispatches", F.lit("[]"))
+    write(planets, "dispatches", F.concat(
+        F.lit('[{"id": 1, "message": "m", "author": {"name": "A'), polled,
+        F.lit('"}}, {"id": 2}]')))
 
     some = customers.where(F.col("poll") % 3 < 2)
     state = fields(
@@ -128,7 +148,58 @@ SELECT poll_ts, entity_id, {rounded('won / h', 2)} AS success_per_hour,
 FROM t
 """
 
+def rest_passthrough(spark, sf):
+    """Fields of the rest source that the job doesn't know, out of the published documents."""
+    documents = publishing.poll_documents(_status(spark, sf)).select(
+        POLL, F.parse_json("document").alias("d"))
+
+    def listed(name: str) -> DataFrame:
+        rows = F.variant_get("d", f"$.{name}", "array<variant>")
+        return documents.select(POLL, F.explode(rows).alias("r"))
+
+    def told(rows: DataFrame, kind: str, *paths: str, of: str = "$.index") -> DataFrame:
+        texts = [F.coalesce(F.to_json(F.try_variant_get("r", f"$.{p}", "variant")), F.lit("-"))
+                 for p in paths]
+        return rows.select(
+            POLL, F.lit(kind).alias("kind"), F.try_variant_get("r", of, "bigint").alias("id"),
+            F.concat_ws(" ", *texts).alias("fields"))
+
+    whole = documents.select(POLL, F.variant_get("d", "$.war", "variant").alias("r"))
+    return (
+        told(listed("planets"), "planet", "hash", "biome", "hazards", "disabled", "note",
+             "statistics.accuracy", "maxHealth")
+        .unionByName(told(listed("campaigns"), "contest", "priority", "planet.biome", of="$.id"))
+        .unionByName(told(listed("dispatches"), "bulletin", "author", "message", of="$.id"))
+        .unionByName(told(whole, "war", "now", "statistics.shots", "statistics.playerCount",
+                          of="$.time"))
+    )
+
+
+_BIOME = """'{"name":"' || c_mktsegment || '","slug":"' || lower(c_mktsegment) || '"}'"""
+REST_PASSTHROUGH = f"""
+SELECT poll_ts, 'planet' AS kind, k AS id, CASE WHEN own THEN '- - - - - - ' || CASE
+    WHEN k % 4 <> 0 THEN k + 2000000 ELSE k + 3000000 END
+  ELSE concat_ws(' ', k * 7000000007, {_BIOME}, CASE k % 3 WHEN 0 THEN '[]'
+    WHEN 1 THEN '[{{"level":' || k % 9 || '}}]'
+    ELSE '[{{"level":' || k % 9 || '}},{{"level":' || k % 9 || '}}]' END,
+    CASE WHEN k % 2 = 1 THEN '-' WHEN k % 4 = 0 THEN 'true' ELSE 'false' END,
+    '"é \\"' || k || '\\"\\n"', '87.5', k + 3000000) END AS fields
+FROM ({_POLLS})
+UNION ALL
+SELECT poll_ts, 'contest', k, CASE WHEN own THEN '- -' ELSE k % 6 || ' ' || {_BIOME} END
+FROM ({_POLLS}) WHERE k % 5 < 2
+UNION ALL
+SELECT DISTINCT poll_ts, 'bulletin', 1, '{{"name":"A' || poll || '"}} "m"' FROM ({_POLLS})
+UNION ALL
+SELECT DISTINCT poll_ts, 'bulletin', 2, '- null' FROM ({_POLLS})
+UNION ALL
+SELECT DISTINCT poll_ts, 'war', CASE WHEN own THEN 1000 ELSE 0 END, CASE WHEN own THEN '- - 5'
+  ELSE '"T' || poll || '" 1' || poll || ' 5' END
+FROM ({_POLLS})
+"""
+
 QUERIES = {
+    "rest_passthrough": (rest_passthrough, REST_PASSTHROUGH),
     "status_entities": (status_entities, STATUS_ENTITIES),
     "status_recon": (status_recon, STATUS_RECON),
 }

@@ -8,6 +8,7 @@ Fields whose JSON type varies from poll to poll are read as variants.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -79,13 +80,19 @@ _RAW = f"value string, {POLL} bigint"
 
 
 def read_documents(
-    spark: SparkSession, path: str, kind: str, since: int | None = None, nullable: bool = False
+    spark: SparkSession, path: str, kind: str, since: int | None = None, nullable: bool = False,
+    extra: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """One row ``(poll_ts, doc)`` per valid document under ``path``, of polls from ``since`` on."""
+    """One row ``(poll_ts, doc)`` per valid document under ``path``, of polls from ``since`` on.
+
+    ``extra`` adds a column of that name from the whole document, given as a variant.
+    """
     found = read_with_defects(spark, path, kind, nullable).where(F.col("doc").isNotNull())
     if since is not None:
         found = found.where(F.col(POLL) >= since)  # prunes the folders of older polls
-    return found.select(POLL, "doc")
+    if extra is None:
+        return found.select(POLL, "doc")
+    return found.select(POLL, "doc", extra(F.try_parse_json("value")).alias("extra"))
 
 
 def _typed(value: str, kind: str, nullable: bool = False) -> Column:
@@ -128,19 +135,49 @@ def read_with_defects(
 def stage(
     spark: SparkSession, landing: str, kinds: dict[str, str], folder: str,
     since: int | None = None, nullable: frozenset = frozenset(),
+    extras: dict[str, Callable[[Column], Column]] | None = None,
 ) -> dict[str, DataFrame]:
     """Parse each kind of document once, into nested parquet under ``folder``.
 
     Documents named in ``nullable`` count as delivered, and empty, when they are JSON null.
-    What is read from there later reads only the nested fields it needs.
+    ``extras`` gives a document's fields beyond its type, worked out of the whole document as a
+    variant and kept as the column ``extra`` (see ``remainder``). What is read from there later
+    reads only the nested fields it needs.
     """
+    extras = extras or {}
     parsed = {
-        name: read_documents(spark, f"{landing}/{name}", kind, since, name in nullable)
+        name: read_documents(
+            spark, f"{landing}/{name}", kind, since, name in nullable, extras.get(name))
         for name, kind in kinds.items()
     }
     return rewritten(parsed, folder)
 
 
+def remainder(value: Column, own: Iterable[str], path: str = "$") -> Column:
+    """The object at ``path`` of a variant without the fields ``own``, as JSON text.
+
+    Null where nothing is left, where there is no such object or no object at all.
+    """
+    fields = F.try_variant_get(value, path, "map<string, variant>")
+    others = F.map_filter(fields, lambda name, _: ~name.isin(*own))
+    return F.when(F.size(others) > 0, F.to_json(others))
+
+
+def remainders(value: Column, **own: tuple[str, Iterable[str]]) -> Column:
+    """Per element of a list document a struct of ``remainder`` texts: name to (path, own)."""
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    return F.transform(
+        listed, lambda item: F.struct(*[
+            remainder(item, fields, path).alias(name) for name, (path, fields) in own.items()]))
+
+
+def joined(left: Column, right: Column) -> Column:
+    """Two JSON objects, as text, as one; ``right`` may be null, and neither is empty."""
+    tail = F.concat(F.lit(","), F.substring(right, 2, (1 << 31) - 1))
+    whole = F.concat(F.substring(left, F.lit(1), F.length(left) - 1), tail)
+    return F.coalesce(whole, left)
+
+
 def rewritten(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     """Write tables side by side and read them back: later plans start from the written rows."""
 
@@ -161,6 +198,12 @@ def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return raw.select(_typed("value", kind).alias("doc")).where(F.col("doc").isNotNull())
 
 
+def items_with_extra(documents: DataFrame) -> DataFrame:
+    """One row ``(poll_ts, seq, item, extra)`` per element of a list document."""
+    pairs = documents.select(POLL, F.posexplode(F.arrays_zip("doc", "extra")).alias("seq", "z"))
+    return pairs.select(POLL, "seq", F.col("z.doc").alias("item"), F.col("z.extra").alias("extra"))
+
+
 def items(documents: DataFrame, path: Column, *keep: Column) -> DataFrame:
     """One row ``(poll_ts, seq, item)`` per list element, in document order."""
     return documents.select(POLL, *keep, F.posexplode(path).alias("seq", "item"))

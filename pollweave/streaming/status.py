@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window, functions as F
 
 from pollweave.functions import fixed
-from pollweave.plans import reconcile as rec
+from pollweave.plans import publishing, reconcile as rec
 from pollweave.plans import status as st
 from pollweave.operators import history
 from pollweave.plans.translation import OWNED, owned_columns
@@ -56,9 +56,9 @@ def settle(
     records = history.first_per_key(series, ["timestamp"], [F.col(POLL)]).drop(POLL)
     state.append_history(
         spark, f"{folder}/history", records, ["timestamp"], [F.desc("timestamp")], batch_id)
-    rec.publish(status, f"{folder}/out", series, owned)
+    publishing.publish(status, f"{folder}/out", series, owned)
     if documents:
-        rec.publish_documents(status, f"{folder}/out", series, owned)
+        publishing.publish_documents(status, f"{folder}/out", series, owned)
     rec.save_carried(rec.carry_over(status, carried), f"{folder}/state", batch_id)
     state.save(history.newest(owned, [F.desc(POLL)], 1), f"{folder}/state/owned", batch_id)
     newest = status.polls.agg(F.max(POLL)).first()[0]

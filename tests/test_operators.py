@@ -158,7 +158,7 @@ def test_hot_keys_are_cut_into_segments(spark, tmp_path):
     out = ordered.previous_values(df, ["k"], ["ts"], ["ts"])
     assert out.where(F.col("prev_ts") == F.col("ts") - 1).count() == 3999
     plan = out._jdf.queryExecution().toString()
-    assert "_segment" in plan and "Scan ExistingRDD" in plan
+    assert "_segment" in plan and "FileScan parquet" in plan
 
 
 # ---- shaping ----

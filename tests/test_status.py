@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pollweave.plans import reconcile as rec
+from pollweave.plans import publishing, reconcile as rec
 from pollweave.plans import status as st
 from pollweave.plans.translation import owned_columns
 from pollweave.sources import documents as docs
@@ -338,8 +338,8 @@ def test_documents(spark, landing, tmp_path):
     owned = owned_columns(status.polls, translations)
     folder = str(tmp_path / "out")
     series = st.read_series(spark, landing.folder)
-    rec.publish(status, folder, series, owned)
-    rec.publish_documents(status, folder, series, owned)
+    publishing.publish(status, folder, series, owned)
+    publishing.publish_documents(status, folder, series, owned)
     written = {
         r["poll_ts"]: json.loads(r["value"])
         for r in spark.read.text(f"{folder}/documents").collect()
@@ -363,7 +363,7 @@ def test_documents(spark, landing, tmp_path):
     assert written[P2]["news"] == first["news"] and written[P2]["major_order"]["title"] == "M"
 
     # The rows are complete too, and writing them again replaces them.
-    rec.publish(status, folder, series, owned)
+    publishing.publish(status, folder, series, owned)
     assert spark.read.json(f"{folder}/entities").count() == 15
     polls = by(spark.read.json(f"{folder}/polls"), "poll_ts")
     assert polls[P1]["fetched_at"] == first["fetchedAt"] and polls[P1]["source"] == "primary"
@@ -414,5 +414,103 @@ def test_fractions_in_statistics_lose_nothing(spark, landing):
 def test_primary_bulletins_keep_their_order(spark, landing):
     put_primary(landing, P1, news=[{"id": i, "message": str(i)} for i in (3, 9, 5)])
     status = rec.reconcile(*sources(spark, landing))
-    document = json.loads(rec.poll_documents(status).first()["document"])
+    document = json.loads(publishing.poll_documents(status).first()["document"])
     assert [d["id"] for d in document["dispatches"]] == [3, 9, 5]
+
+
+def test_unknown_fields_of_rest_rows_are_passed_on(spark, landing, tmp_path):
+    put_rest(landing, P1, **{
+        "war": {"statistics": {"playerCount": 4, "shots": 10**12}, "now": "n"},
+        "planets": [
+            {"index": 1, "name": "A", "biome": {"slug": "é\"x"}, "hash": 4129041127,
+             "statistics": {"missionsWon": 2, "revives": 0.5}, "hazards": [], "event": None},
+            {"index": 2, "name": "B"}],
+        "campaigns": [{"id": 9, "priority": 1.5,
+                       "planet": {"index": 1, "name": "A", "position": {"x": 0.25}}}],
+        "dispatches": [{"id": 3, "message": "m", "tags": [1, "two"]}],
+    })
+    status = rec.reconcile(*sources(spark, landing))
+    document = json.loads(publishing.poll_documents(status).first()["document"])
+    one, two = document["planets"]
+    assert one["biome"] == {"slug": "é\"x"} and one["hash"] == 4129041127 and one["hazards"] == []
+    assert one["statistics"] == {"missionsWon": 2, "revives": 0.5} and one["event"] is None
+    assert one["name"] == "A" and "event" in one and "biome" not in two
+    contest = document["campaigns"][0]
+    assert contest["priority"] == 1.5 and contest["planet"]["position"] == {"x": 0.25}
+    assert contest["planet"]["name"] == "A"
+    assert document["dispatches"][0]["tags"] == [1, "two"]
+    assert document["war"]["now"] == "n" and document["war"]["statistics"]["shots"] == 10**12
+    assert document["war"]["statistics"]["playerCount"] == 4
+    folder = str(tmp_path / "rows")
+    publishing.publish(status, folder)
+    rows = by(spark.read.json(f"{folder}/entities"), "entity_id")
+    assert rows[1]["extra"]["hash"] == 4129041127 and rows[2]["extra"] is None
+    # Another source's rows have no such fields.
+    put_primary(landing, P1)
+    status = rec.reconcile(*sources(spark, landing))
+    document = json.loads(publishing.poll_documents(status).first()["document"])
+    assert all("biome" not in p for p in document["planets"])
+    assert document["dispatches"][0]["tags"] == [1, "two"]
+
+
+@pytest.mark.parametrize("part", [1, 2, 7, 4096])
+def test_documents_in_parts_are_the_same(spark, landing, tmp_path, part):
+    three_polls(landing)
+    status = rec.reconcile(*sources(spark, landing))
+    whole = {r["poll_ts"]: r["document"] for r in publishing.poll_documents(status).collect()}
+    assert [len(json.loads(whole[p])["planets"]) for p in (P1, P2, P3)] == [5, 5, 5]
+    folder = str(tmp_path / "out")
+    for _ in range(2):  # written again, they are replaced
+        publishing.publish_documents(status, folder, part=part)
+    texts = {r["poll_ts"]: r["document"] for r in publishing.read_documents(spark, folder).collect()}
+    assert {p: t.replace("\n", "") for p, t in texts.items()} == whole
+    assert {p: json.loads(t) for p, t in texts.items()} == {
+        p: json.loads(t) for p, t in whole.items()}
+
+
+def test_a_large_poll_is_written_by_many_tasks(spark, tmp_path):
+    empty = lambda ddl: lambda: spark.createDataFrame([], ddl)
+    entities = spark.range(60_000).selectExpr(
+        f"{P1}L as poll_ts", "id as entity_id", "'rest' as source", "'n' || id as name",
+        "'' as sector", "'Humans' as owner", "id as health", "id as max_health", "id as players",
+        "false as attacking", "0.5D as resistance", "array(id) as effects",
+        "cast(null as string) as extra")
+    single = "poll_ts bigint, source string"
+    status = st.Status(
+        spark.createDataFrame([(P1, "rest")], single),
+        entities=lambda: entities,
+        contests=empty(f"{single}, seq bigint, contest_id bigint, faction string, type string, "
+                       "event_kind bigint, contest_class string, attackers_progress double, "
+                       "defenders_progress double, attackers_rate double, defenders_rate double, "
+                       "start_time bigint, remaining_time bigint, level int, count bigint, "
+                       "entity_id bigint, name string, sector string, owner string, "
+                       "extra string, place_extra string"),
+        bulletins=empty("poll_ts bigint, seq bigint, id bigint, published string, type string, "
+                        "message string, extra string"),
+        assignments=empty(f"{single}, id bigint, briefing string, title string, tasks string, "
+                          "progress array<bigint>, expiration string, deadline string, "
+                          "server_time string"),
+        stations=empty(f"{single}, entity_id bigint, effects array<bigint>, election_end string"),
+        war=empty(f"{single}, time bigint, players bigint, missions_won bigint, "
+                  "missions_lost bigint, started string, ended string, extra string, "
+                  "statistics_extra string"),
+        recon=empty("poll_ts bigint, entity_id bigint, success_per_hour double, "
+                    "fail_per_hour double, enemies_per_hour double, deaths_per_hour double, "
+                    "success_rate double, fail_rate double"),
+    )
+    parts = publishing.document_parts(status).collect()
+    assert sorted(r["part"] for r in parts) == list(range(15))  # 60 000 rows and 16 others
+    folder = str(tmp_path / "out")
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1MB")  # as if the poll were larger
+        publishing.publish_documents(status, folder)
+    finally:
+        spark.conf.set(name, before)
+    files = spark.read.text(f"{folder}/documents").select("_metadata.file_name").distinct().count()
+    assert files > 1
+    text = publishing.read_documents(spark, folder).first()["document"]
+    document = json.loads(text)
+    assert [p["index"] for p in document["planets"]] == list(range(60_000))
+    assert document["campaigns"] is None and document["war"] is None

@@ -2,7 +2,7 @@
 
 import json
 
-from pollweave.plans import reconcile as rec
+from pollweave.plans import publishing, reconcile as rec
 from pollweave.plans import status as st
 from pollweave.plans.translation import owned_columns
 from pollweave.sources import documents as docs, state
@@ -51,7 +51,7 @@ def test_polls_are_settled_as_they_land(spark, landing, tmp_path):
     translations = docs.read_documents(spark, f"{landing.folder}/translated", docs.TRANSLATIONS)
     owned = owned_columns(status.polls, translations)
     whole = str(tmp_path / "whole")
-    rec.publish_documents(status, whole, st.read_series(spark, landing.folder), owned)
+    publishing.publish_documents(status, whole, st.read_series(spark, landing.folder), owned)
     found = documents(spark, f"{folder}/out")
     assert sorted(found) == [P1, P2, P3]
     assert found[P3]["assignments"]["id"] == 99
