@@ -6,6 +6,8 @@ repeated after a failure reads the same state and replaces its own output.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pollweave.functions import fixed
@@ -66,6 +68,40 @@ def load_latest_rows(
     return history.last_per_key(rows, keys, [F.col(VERSION)]).drop(VERSION)
 
 
+# Versions after which changes are reduced to a snapshot.
+FOLDED = 32
+
+
+def save_change(
+    rows: DataFrame, folder: str, version: int, reduce: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Write one version of changes to ``folder/out``; every FOLDED versions also a snapshot.
+
+    ``reduce`` brings rows of several versions (with their number) to what they amount to.
+    Readers start from the newest snapshot, so they never read more than FOLDED versions.
+    """
+    save(rows, f"{folder}/out", version)
+    if version % FOLDED == FOLDED - 1:
+        whole = load_changed(rows.sparkSession, folder, rows.schema, reduce, version + 1)
+        save(whole, f"{folder}/snapshot", version)
+
+
+def load_changed(
+    spark: SparkSession, folder: str, schema: T.StructType | str,
+    reduce: Callable[[DataFrame], DataFrame], before: int | None = None,
+) -> DataFrame:
+    """What the changes of all versions, or those before one, amount to."""
+    found = [v for v in versions(spark, f"{folder}/snapshot") if before is None or v < before]
+    since = max(found, default=-1)
+    rows = load_all(spark, f"{folder}/out", schema).where(F.col(VERSION) > since)
+    if before is not None:
+        rows = rows.where(F.col(VERSION) < before)
+    if found:
+        known = load(spark, f"{folder}/snapshot", schema, since)
+        rows = rows.unionByName(known.withColumn(VERSION, F.lit(since).cast("bigint")))
+    return reduce(rows)
+
+
 def append_history(
     spark: SparkSession,
     folder: str,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pollweave.functions import fixed, normalize
 from pollweave.operators import history
 from pollweave.sources import state
-
+from pollweave.streaming import keyed
 
 def read_polls(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
@@ -64,30 +64,37 @@ def count_buckets(polls: DataFrame, ts: str, width: str = fixed.REFRESH) -> Data
 
 
 def start_buckets(polls: DataFrame, folder: str, ts: str, refresh: str | None = None):
-    """Keep the counts per interval; each batch writes only the intervals it changed."""
-    return start(count_buckets(polls, ts), folder, "update", _write_batches(folder), refresh)
+    """Count records per interval; each batch appends what it adds to each interval.
+
+    No state is kept: a late record, however old, is one more addition to its interval, and
+    the sum of the additions is the count.
+    """
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        state.save_change(count_buckets(rows, ts), folder, batch_id, _added_up)
+
+    return start(polls, folder, "append", each_batch, refresh)
+
+
+def _added_up(additions: DataFrame) -> DataFrame:
+    return additions.groupBy("bucket").agg(F.sum("records").alias("records"))
 
 
 def read_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    schema = "bucket timestamp, records bigint"
-    return state.load_latest_rows(spark, f"{folder}/out", schema, ["bucket"])
+    return state.load_changed(spark, folder, "bucket timestamp, records bigint", _added_up)
 
 
 def start_dedupe(
     polls: DataFrame, folder: str, keys: list[str], refresh: str | None = None
 ):
-    """Add the records whose key is not stored yet, however old they are.
+    """Add the records whose key did not come before, however long ago.
 
-    Each batch is compared with the keys that earlier batches stored; only these columns
-    of the store are read.
+    The keys are the stream's state, in RocksDB without a watermark: a batch looks its own
+    keys up, and no stored record is read again. Of several records of a key in one batch one
+    counts.
     """
-
-    def each_batch(rows: DataFrame, batch_id: int) -> None:
-        store = state.load_all(rows.sparkSession, f"{folder}/out", rows.schema)
-        earlier = store.where(F.col(state.VERSION) < batch_id)
-        state.save(history.new_rows(earlier, rows, keys), f"{folder}/out", batch_id)
-
-    return start(polls, folder, "append", each_batch, refresh)
+    return start(
+        polls.dropDuplicates(keys), folder, "append", _write_batches(folder), refresh)
 
 
 def read_dedupe(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -105,13 +112,21 @@ def start_last_known(
 ):
     """Keep the last known good value per key; each batch writes the keys it changed."""
     latest = history.latest_and_good(polls, keys, order, value, floor)
-    return start(latest, folder, "update", _write_batches(folder), refresh)
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        state.save_change(rows, folder, batch_id, _newest(keys))
+
+    return start(latest, folder, "update", each_batch, refresh)
+
+
+def _newest(keys: list[str]):
+    return lambda rows: history.last_per_key(rows, keys, [F.col(state.VERSION)]).drop(state.VERSION)
 
 
 def read_last_known(
     spark: SparkSession, folder: str, schema: T.StructType | str, keys: list[str]
 ) -> DataFrame:
-    return state.load_latest_rows(spark, f"{folder}/out", schema, keys)
+    return state.load_changed(spark, folder, schema, _newest(keys))
 
 
 def start_delta_rate(
@@ -125,50 +140,19 @@ def start_delta_rate(
 ):
     """Rate of change between successive polls of a key, also where polls arrive late.
 
-    A batch changes the rates of its own rows and of the stored rows right behind them. So
-    it takes from the store, for its own keys, the rows from its oldest row on and the one
-    before, rates them together and writes what is new or differs; the newest version of a
-    row counts.
+    The key's state finds the row before each row of a batch, and the stored row that a late
+    row comes in front of; these are rated and written. The newest version of a row counts.
     """
-    order = [ts, *tie]
-    columns = [*keys, *order, value]
-    position = F.struct(*order)
-
-    def each_batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.select(*columns).persist()
-        try:
-            stored = _rated(spark, folder, rows.schema, [*keys, *order], batch_id)
-            oldest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-                F.min(position).alias("_oldest"))
-            same = reduce(
-                lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-            near = stored.join(oldest, same).drop(*[f"_{k}" for k in keys])
-            after = near.where(position >= F.col("_oldest")).drop("_oldest")
-            before = history.last_per_key(
-                near.where(position < F.col("_oldest")).drop("_oldest"), keys,
-                [F.col(c) for c in order])
-            both = (
-                rows.withColumns({"_was": F.lit(None).cast("double"), "_kind": F.lit("new")})
-                .unionByName(after.withColumnRenamed("rate", "_was").withColumn("_kind", F.lit("after")))
-                .unionByName(before.withColumnRenamed("rate", "_was").withColumn("_kind", F.lit("before")))
-            )
-            rated = history.delta_rate(both, keys, ts, value, tie)
-            changed = (F.col("_kind") == "new") | (
-                (F.col("_kind") == "after") & ~F.col("rate").eqNullSafe(F.col("_was")))
-            state.save(rated.where(changed).drop("_was", "_kind"), f"{folder}/out", batch_id)
-        finally:
-            rows.unpersist()
-
-    return start(polls, folder, "append", each_batch, refresh)
+    neighbours = keyed.previous_rows(polls, keys, [ts, *tie], value)
+    rated = neighbours.withColumn("rate", history.rate_since(ts, value)).drop(
+        f"prev_{ts}", f"prev_{value}")
+    return start(rated, folder, "append", _write_batches(folder), refresh)
 
 
-def _rated(spark, folder, schema, row_keys, before: int | None = None) -> DataFrame:
+def _rated(spark, folder, schema, row_keys) -> DataFrame:
     """The newest version of every stored row."""
     stored = state.load_all(
         spark, f"{folder}/out", T.StructType([*schema.fields, T.StructField("rate", T.DoubleType())]))
-    if before is not None:
-        stored = stored.where(F.col(state.VERSION) < before)
     return history.last_per_key(stored, row_keys, [F.col(state.VERSION)]).drop(state.VERSION)
 
 

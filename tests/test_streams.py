@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pollweave.operators import history
 from pollweave.sources import state
-from pollweave.streaming import jobs
+from pollweave.streaming import jobs, keyed
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -117,6 +117,73 @@ def test_last_known(spark, polls, tmp_path):
          history.latest_and_good(events, ["user_id"], order, "value", 50))
 
 
+def arrivals(spark, tmp_path, frames):
+    """A stream that takes up one frame a batch, in their order."""
+    landed = str(tmp_path / "landed")
+    os.makedirs(landed)
+    for i, frame in enumerate(frames):
+        out = str(tmp_path / f"part{i}")
+        frame.coalesce(1).write.parquet(out)
+        name = next(n for n in os.listdir(out) if n.endswith(".parquet"))
+        shutil.copy(os.path.join(out, name), f"{landed}/p{i}.parquet")
+        os.utime(f"{landed}/p{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    return jobs.read_polls(spark, landed, frames[0].schema, files_per_trigger=1)
+
+
+def test_delta_rate_in_short_lists_with_shuffled_arrivals(spark, tmp_path, monkeypatch):
+    """Late rows at both ends, ties, repeated rows and null values; lists are cut often."""
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.choice([1, 1, 1, None]), draw.randint(0, 200) * 600, n, draw.choice([None, 1.0, 2.5, 9.0]))
+            for n in range(240)]
+    draw.shuffle(rows)
+    ddl = "k int, s long, id long, value double"
+    events = spark.createDataFrame(rows, ddl).selectExpr(
+        "k", "timestamp_seconds(s) as ts", "id", "value")
+    frames = [
+        spark.createDataFrame(part, ddl).selectExpr("k", "timestamp_seconds(s) as ts", "id", "value")
+        for part in (rows[:5], rows[5:90], rows[90:95], rows[60:170], rows[170:])]
+    monkeypatch.setattr(keyed.previous_rows, "__defaults__", (6,))
+    folder = str(tmp_path / "job")
+    jobs.finish(jobs.start_delta_rate(
+        arrivals(spark, tmp_path, frames), folder, ["k"], "ts", "value", ["id"]))
+    columns = ["k", "ts", "id", "value"]
+    expected = history.delta_rate(events, ["k"], "ts", "value", ["id"]).select(*columns, "rate")
+    same(jobs.read_delta_rate(spark, folder, events, columns).select(*columns, "rate"), expected)
+    # A batch writes its own rows and those right behind them, not the whole key.
+    assert state.load(spark, f"{folder}/out", expected.schema, 2).count() <= 10
+
+
+def test_snapshots_bound_what_readers_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "FOLDED", 3)
+    folder = str(tmp_path / "job")
+    frames = [spark.range(5).selectExpr(
+        "id as k", f"timestamp_seconds(id * 100 + {n}) as ts", f"cast({n} * id as double) as v")
+        for n in range(8)]
+    polls = arrivals(spark, tmp_path, frames)
+    everything = frames[0]
+    for frame in frames[1:]:
+        everything = everything.unionByName(frame)
+    jobs.finish(jobs.start_buckets(polls, f"{folder}/buckets", "ts"))
+    same(jobs.read_buckets(spark, f"{folder}/buckets"), jobs.count_buckets(everything, "ts"))
+    jobs.finish(jobs.start_last_known(polls, f"{folder}/known", ["k"], ["ts"], "v", 4))
+    schema = "k bigint, v double, last_good double"
+    same(jobs.read_last_known(spark, f"{folder}/known", schema, ["k"]),
+         history.latest_and_good(everything, ["k"], ["ts"], "v", 4))
+    for name in ("buckets", "known"):
+        assert state.versions(spark, f"{folder}/{name}/snapshot") == [2, 5]
+        shutil.rmtree(f"{folder}/{name}/out/version=4")  # older versions are not needed any more
+    same(jobs.read_buckets(spark, f"{folder}/buckets"), jobs.count_buckets(everything, "ts"))
+
+
+def test_buckets_keep_no_state(spark, polls, tmp_path):
+    folder = str(tmp_path / "job")
+    query = jobs.start_buckets(stream(spark, polls), folder, "ts")
+    jobs.finish(query)
+    assert all(not p.stateOperators for p in query.recentProgress)
+
+
 def test_dedupe(spark, polls, tmp_path):
     events, _ = polls
     folder = str(tmp_path / "job")
