@@ -451,7 +451,7 @@ FROM orders
 
 
 def entity_board(spark, sf):
-    """The flagship: assemble two sources, overlay two more, measure, keep the top."""
+    """The flagship: assemble two sources, overlay two more, measure; every entity stays."""
     info = table(spark, sf, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal").select(
         F.col("c_custkey").alias("entity_id"),
         F.col("c_name").alias("name"),

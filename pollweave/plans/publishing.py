@@ -252,6 +252,7 @@ def publish(
         tables["series"] = series
     if owned is not None:
         tables["owned"] = owned
+    tables["entities"] = tables["entities"].drop("good_max")  # for the next run only
     for name, rows in tables.items():
         for column in ("extra", "place_extra", "statistics_extra"):
             if column in rows.columns:

@@ -125,8 +125,8 @@ def _entities(sources, polls, carried) -> DataFrame:
         .withColumn("resistance", metrics.regen_percent(F.col("regen"), F.col("max_health")))
         .select(
             *KEYS, SOURCE, "name", "sector", "owner", "health", "max_health", "players",
-            "attacking", "resistance", "effects",
-            "extra",
+            "attacking", "resistance", "effects", "extra",
+            F.col("last_good_max").alias("good_max"),
         )
     )
 
@@ -255,13 +255,12 @@ _CARRIED = {
 
 
 def carry_over(status: Status, earlier: Carried | None = None) -> Carried:
-    """Reduce a status to what later polls need: one row per entity and per record."""
-    maximum = F.col("max_health")
+    """Reduce a status to what later polls need: one row per entity and per record.
+
+    The maximum that is carried is one that a source sent, not a health that stood in for it.
+    """
     entities = status.entities.select(
-        *KEYS,
-        F.when(maximum >= fixed.ABSOLUTE_MAX_FLOOR, maximum).alias("good_max"),
-        falsy.array(F.col("effects")).alias("seen_effects"),
-    )
+        *KEYS, "good_max", falsy.array(F.col("effects")).alias("seen_effects"))
     polls = status.polls.select(POLL)
     assignments = status.assignments
     stations = status.stations

@@ -10,11 +10,12 @@ from pollweave.plans import (
     shape_queries,
     status_queries,
     stream_queries,
+    war_queries,
 )
 
 MODULES = [
     scalar_queries, join_queries, history_queries, map_queries, shape_queries, status_queries,
-    stream_queries,
+    stream_queries, war_queries,
 ]
 
 

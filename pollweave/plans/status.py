@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pollweave.functions import falsy, fixed, metrics, normalize
 from pollweave.operators import history, overlay, precedence, shaping
@@ -99,10 +99,12 @@ class Source:
 
     def at(self, poll: int) -> Source:
         """The tables of one poll, for a run per poll."""
+        return self.filtered(F.col(POLL) == poll)
+
+    def filtered(self, polls: Column) -> Source:
+        """The tables of the polls that a condition on ``poll_ts`` takes."""
         tables = {f.name: getattr(self, f.name) for f in fields(self)}
-        return Source(
-            **{n: t if t is None else t.where(F.col(POLL) == poll) for n, t in tables.items()}
-        )
+        return Source(**{n: t if t is None else t.where(polls) for n, t in tables.items()})
 
 
 class Status:

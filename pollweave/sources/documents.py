@@ -76,6 +76,7 @@ TAXONOMY = """struct<categories: array<struct<name: string, name_en: string,
 EQUIPMENT = """array<struct<id: string, name: string, type: string, stats: array<int>, bonus: int,
   subtag: array<string>>>"""
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 _RAW = f"value string, {POLL} bigint"
 
 
@@ -111,15 +112,19 @@ def _typed(value: str, kind: str, nullable: bool = False) -> Column:
     return doc
 
 
-def stream_arrivals(spark: SparkSession, landing: str) -> DataFrame:
-    """Stream ``(poll_ts)`` of every document that lands, whatever its kind."""
-    files = (
-        spark.readStream.schema("value string")
-        .options(wholetext=True, recursiveFileLookup=True)
-        .text(landing)
+def stream_arrivals(spark: SparkSession, landing: str, files: int = 100_000) -> DataFrame:
+    """Stream ``(poll_ts)`` of every document that lands, whatever its kind.
+
+    The poll is in the path, so no document is opened; a trigger admits ``files`` documents
+    at most, oldest first.
+    """
+    landed = (
+        spark.readStream.format("binaryFile").schema(_FILES)
+        .options(recursiveFileLookup=True, maxFilesPerTrigger=files)
+        .load(landing)
     )
-    poll = F.regexp_extract("_metadata.file_path", f"{POLL}=([0-9]+)", 1)
-    return files.select(poll.try_cast("bigint").alias(POLL))
+    poll = F.regexp_extract("path", f"{POLL}=([0-9]+)", 1)
+    return landed.select(poll.try_cast("bigint").alias(POLL))
 
 
 def read_with_defects(
