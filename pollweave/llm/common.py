@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -54,6 +55,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+# Bits of the filter that goes ahead of a join: 256 kB, whatever the input.
+FILTER_BITS = 1 << 21
+
+
+def likely(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A filter for rows whose key may be among ``keys``: it lets all of these through.
+
+    One bit per hash of a key; the driver holds FILTER_BITS of them. Far beyond that many
+    keys more and more other rows pass, which costs a shuffle and changes no result.
+    """
+    at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FILTER_BITS))
+    words = keys.groupBy(F.shiftright(at, 5).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias(
+            "bits")).collect()
+    table = [0] * (FILTER_BITS // 32)
+    for row in words:
+        table[row.word] = row.bits
+    bits = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+
+    def passes(column: Column) -> Column:
+        own = F.pmod(F.xxhash64(column.cast("string")), F.lit(FILTER_BITS))
+        word = F.get(bits, F.shiftright(own, 5).cast("int"))
+        return F.getbit(word, (own % 32).cast("int")) == 1
+
+    return passes
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or that with underscores, so that no column has the name."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pollweave.llm.common import free_name, settled, staged
+from pollweave.llm.common import free_name, likely, settled, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -82,9 +82,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         said("quality = 0 or toxic = 1").alias("bad"),
         said("toxic = 1").alias("toxic"),
     ).where("good or bad")
+    marks = staged(marks, "marks")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # Labelled texts meet their marks by shuffle at every size; a filter keeps the others back.
     labelled = staged(
-        texts.join(marks, F.col("key") == F.col("marked")).select(
+        texts.where(likely(marks, "marked")(F.col("key"))).join(
+            marks.hint("merge"), F.col("key") == F.col("marked")).select(
             "text", "bad", "toxic", (F.col("good") & ~F.col("bad")).alias("own")),
         "labelled-texts")
     raw = _hashed(texts, "text").select(
