@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pollweave.functions import fixed
 from pollweave.operators import history
 from pollweave.plans.sql import rounded
+from pollweave.session import run_folder
+from pollweave.sources import state
 from pollweave.sources.tables import table
 
 
@@ -124,7 +126,25 @@ SELECT event_id, user_id, event_type, value,
   CASE event_type WHEN 'purchase' THEN 'incoming' ELSE 'store' END AS origin FROM events
 """
 
+def keyed_upsert(spark, sf):
+    """Three runs upsert the newest good value of each user into one cache."""
+    events = _events(spark, sf).where(F.col("value") >= 50)
+    folder, cache = run_folder(spark, "value-cache"), None
+    for run in range(3):
+        fresh = history.last_per_key(
+            events.where(F.col("event_id") % 3 == run).select("user_id", "value", "ts", "event_id"),
+            ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "value")
+        cache = state.update_cache(spark, folder, fresh, ["user_id"], run)
+    return cache
+
+
+KEYED_UPSERT = """
+SELECT user_id, arg_max(value, {'run': event_id % 3, 'ts': ts, 'id': event_id}) AS value
+FROM events WHERE value >= 50 GROUP BY user_id
+"""
+
 QUERIES = {
+    "keyed_upsert": (keyed_upsert, KEYED_UPSERT),
     "priority_dedupe": (priority_dedupe, PRIORITY_DEDUPE),
     "carry_forward": (carry_forward, CARRY_FORWARD),
     "delta_rate": (delta_rate, DELTA_RATE),

@@ -6,12 +6,14 @@ repeated after a failure reads the same state and replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pollweave.functions import fixed
 from pollweave.operators import history
+from pollweave.session import written
 from pollweave.sources import health
 
 VERSION = "version"
@@ -121,12 +123,72 @@ def append_history(
     return load(spark, folder, incoming.schema, version)
 
 
+# Buckets of a keyed table.
+BUCKETS = 64
+BUCKET = "bucket"
+
+
+def _buckets_at(spark: SparkSession, folder: str, before: int | None) -> dict[int, int]:
+    """The version that each bucket was written in last, before ``before``."""
+    found = [v for v in versions(spark, f"{folder}/buckets") if before is None or v < before]
+    if not found:
+        return {}
+    rows = load(spark, f"{folder}/buckets", f"{BUCKET} int, at bigint", max(found)).collect()
+    return {r[BUCKET]: r["at"] for r in rows}
+
+
+def load_keyed(
+    spark: SparkSession, folder: str, schema: T.StructType | str, before: int | None = None,
+    only: Collection[int] | None = None,
+) -> DataFrame:
+    """The rows of a keyed table: of its newest version or the one before ``before``.
+
+    ``only`` names buckets; no file of another one is listed or read.
+    """
+    at = _buckets_at(spark, folder, before)
+    paths = [
+        f"{folder}/rows/{VERSION}={version}/{BUCKET}={bucket}"
+        for bucket, version in sorted(at.items()) if only is None or bucket in only
+    ]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    return functools.reduce(
+        lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+
+
 def update_cache(
     spark: SparkSession, folder: str, fresh: DataFrame, keys: list[str], version: int
 ) -> DataFrame:
-    """Upsert the fresh good values into the keyed cache; write and return the result."""
-    store = load_before(spark, folder, fresh.schema, version)
-    both = store.withColumn("_age", F.lit(0)).unionByName(fresh.withColumn("_age", F.lit(1)))
-    merged = history.last_per_key(both, keys, [F.col("_age")]).drop("_age")
-    save(merged, folder, version)
-    return load(spark, folder, fresh.schema, version)
+    """Upsert rows into a keyed table; write this version and return the whole table.
+
+    A key's bucket is decided by its hash. Only buckets that fresh keys fall into are read,
+    and only those where a row is new or differs are written again; a list of BUCKETS numbers
+    tells where each bucket lies. Of several fresh rows of a key the least counts.
+    """
+    others = [F.col(c) for c in fresh.columns if c not in keys]
+    placed = written(
+        history.first_per_key(fresh, keys, others).withColumn(
+            BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")), "fresh")
+    at = _buckets_at(spark, folder, version)
+    near = load_keyed(spark, folder, fresh.schema, version, _buckets(placed))
+    changed = written(
+        placed.join(near, _same(placed, near, fresh.columns), "left_anti"), "changed")
+    hit = _buckets(changed)
+    if hit:
+        old = load_keyed(spark, folder, fresh.schema, version, hit)
+        kept = old.join(changed, _same(old, changed, keys), "left_anti").withColumn(
+            BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        merged = kept.unionByName(changed).repartition(BUCKET)
+        merged.write.mode("overwrite").partitionBy(BUCKET).parquet(
+            f"{folder}/rows/{VERSION}={version}")
+    lies = {**at, **{bucket: version for bucket in hit}}
+    save(spark.createDataFrame(sorted(lies.items()), f"{BUCKET} int, at bigint"),
+         f"{folder}/buckets", version)
+    return load_keyed(spark, folder, fresh.schema, version + 1)
+
+
+def _buckets(rows: DataFrame) -> set[int]:
+    """The buckets that rows fall into: BUCKETS at most."""
+    return {r[BUCKET] for r in rows.select(BUCKET).distinct().collect()}

@@ -1,5 +1,7 @@
 """Versioned state tables."""
 
+import os
+
 from pollweave.operators import history
 from pollweave.sources import state
 
@@ -17,6 +19,26 @@ def test_cache_upsert(spark, tmp_path):
         assert sorted(map(tuple, second.collect())) == [(1, 1000), (2, 3000), (3, 5000)]
 
 
+def test_a_version_writes_only_buckets_that_changed(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    many = spark.range(3000).selectExpr("cast(id as int) as id", "cast(id + 1000 as int) as top")
+    whole = state.update_cache(spark, folder, many, ["id"], 1)
+    assert whole.count() == 3000 and len(os.listdir(f"{folder}/rows/version=1")) > state.BUCKETS
+    few = many.where("id < 40").selectExpr("id", "if(id < 10, -1, top) as top")
+    again = state.update_cache(spark, folder, few, ["id"], 2)
+    written = [n for n in os.listdir(f"{folder}/rows/version=2") if n.startswith("bucket=")]
+    assert 1 <= len(written) <= 10  # ten keys changed, thirty came with what they had
+    assert again.where("top = -1").count() == 10 and again.count() == 3000
+    nothing = state.update_cache(spark, folder, few, ["id"], 3)
+    assert nothing.count() == 3000 and not os.path.exists(f"{folder}/rows/version=3")
+    # An older version can still be read, and a repeated run sees what it saw before.
+    assert state.load_keyed(spark, folder, many.schema, 2).where("top = -1").count() == 0
+    odd = cache(spark, (None, 5), (None, 3), (1, None))
+    last = state.update_cache(spark, folder, odd, ["id"], 4)
+    assert [tuple(r) for r in last.where("id is null or id = 1").orderBy("id").collect()] == [
+        (None, 3), (1, None)]
+
+
 def test_versions(spark, tmp_path):
     folder, schema = str(tmp_path / "t"), "id int, top int"
     assert state.load(spark, folder, schema, 1).count() == 0
