@@ -16,7 +16,12 @@ def _sized(docs: DataFrame, columns: list) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counts and the likelihood ratio."""
+    """Documents that pass the counts and the likelihood ratio.
+
+    Each row is judged by itself, repeated rows alike, whatever its other columns hold. Null
+    and empty texts have no words and go; an empty table stays empty. All columns stay as
+    they are.
+    """
     common.ready(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     judged = quality.judge(docs, model)
@@ -25,29 +30,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least id."""
+    """Of each class of near duplicates the document of the least id.
+
+    Rows without words (null, empty, blank) all stay. A null id stays only where its class
+    has no other; of rows of one id and text the least stays; an empty table stays empty.
+    """
     common.ready(spark)
     return similar.distinct(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that a smaller id holds; emptied documents go."""
+    """Texts without passages that a smaller id holds; emptied documents go.
+
+    Null and empty texts and texts without such passages stay as they are, as do rows of a
+    null id. Rows of one id don't shorten each other and are shortened alike; an empty table
+    stays empty. Columns of any name may stand beside; ``n_chars`` is counted anew.
+    """
     common.ready(spark)
+    key, digest, kept, emptied = (
+        common.free_name(docs, n) for n in ("key", "digest", "kept", "emptied"))
     found = substrings.repeats(docs, with_text=True).where("n_removed > 0").select(
-        F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), "kept_text",
-        (F.col("n_removed") == F.col("n_words")).alias("__emptied"),
-    ).dropDuplicates(["__key", "__hash"])
-    found = found.withColumnRenamed("kept_text", "__text")
+        F.col("key").alias(key), F.col("text_hash").alias(digest), F.col("kept_text").alias(kept),
+        (F.col("n_removed") == F.col("n_words")).alias(emptied),
+    ).dropDuplicates([key, digest])
     own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     joined = docs.join(
-        found, (own == F.col("__hash")) & (F.col("doc_id") == F.col("__key")), "left")
-    cleaned = joined.where(~F.coalesce("__emptied", F.lit(False))).withColumn(
-        "text", F.coalesce("__text", "text"))
+        found.hint("merge"), (own == F.col(digest)) & (F.col("doc_id") == F.col(key)), "left")
+    cleaned = joined.where(~F.coalesce(emptied, F.lit(False))).withColumn(
+        "text", F.coalesce(kept, "text"))
     return _sized(cleaned, docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of benchmark items; documents of nothing else go."""
+    """Texts without the windows of benchmark items; documents of nothing else go.
+
+    Null and empty texts and texts without a window stay as they are; repeated rows are
+    treated alike; an empty table or benchmark changes nothing. ``n_chars`` is counted anew.
+    """
     common.ready(spark)
     found = decontaminate.find(
         docs, table(spark, sf_dir, "benchmark", "item_id", "text"), remove=True)
@@ -59,7 +78,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents and their places in sequences."""
+    """The token pieces of all documents and their places in sequences.
+
+    A null text is empty and has the one id that ends a document. Repeated rows and null ids
+    have pieces of their own; an empty table has none. Other columns are not read.
+    """
     common.ready(spark)
     return packing.pack(packing.pieces(docs)).withColumnRenamed("key", "doc_id")
 

@@ -309,8 +309,8 @@ def distinct(
 ) -> DataFrame:
     """The rows of ``docs`` that stay if one of each class does: that of the least key.
 
-    Classes are those of ``classes``; a null key stays only where a class has no other.
-    Rows without words all stay. All columns are returned as they are.
+    Classes are those of ``classes``; a null key stays only where a class has no other, and
+    of rows of one key and text the least as JSON. Rows without words all stay. All columns are returned as they are.
     """
     _, classed = _solved(_source(docs, key, text), similarity, shingle, recall)
     chosen = classed.groupBy("component").agg(
@@ -323,13 +323,14 @@ def distinct(
         F.struct("*").alias("row"), F.col(key).alias("own"), F.xxhash64(body).alias("hash"),
         F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     kept = rows.where("worded").join(
-        chosen, (F.col("hash") == F.col("__hash")) & F.col("own").eqNullSafe(F.col("__key")),
+        chosen.hint("merge"), (F.col("hash") == F.col("__hash")) & F.col("own").eqNullSafe(F.col("__key")),
         "left_semi")
     repeated = (
         docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("hash"))
         .groupBy("key", "hash").count().where("count > 1"))
-    if not repeated.isEmpty():  # rows of one key and text: the first of them
-        kept = kept.groupBy("own", "hash").agg(F.first("row").alias("row"))
+    if not repeated.isEmpty():  # rows of one key and text: the least of them as JSON
+        kept = kept.groupBy("own", "hash").agg(
+            F.min_by("row", F.to_json("row", {"ignoreNullFields": "false"})).alias("row"))
     return kept.select("row.*").unionByName(rows.where(~F.col("worded")).select("row.*"))
 
 
@@ -345,8 +346,8 @@ def _forest(source, nodes, candidates, hasher, similarity) -> DataFrame:
     texts = source.select(
         F.col("key").alias("text_key"), "text", F.xxhash64("text").alias("own_hash")
     ).where("text is not null")
-    with_text = placed.join(
-        texts,
+    with_text = texts.join(
+        placed.hint("merge"),
         (F.col("text_hash") == F.col("own_hash")) & F.col("key").eqNullSafe(F.col("text_key")),
     ).dropDuplicates(["node"])
     pairs = with_text.select(

@@ -277,7 +277,8 @@ def repeats(
         F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"),
         F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"))
     candidates = staged(
-        source.where("text is not null").join(wanted, ["text_hash", "key"]).dropDuplicates(
+        source.where("text is not null").join(
+            wanted.hint("merge"), ["text_hash", "key"]).dropDuplicates(
             ["text_hash"]),
         "candidates")
     spans = _shard_spans(_segments(candidates, window, hot=False), window)
