@@ -220,3 +220,71 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN figures f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
 LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
 """.replace("CRC", crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all(coalesce({_FOLDED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+CONTAMINATION = f"""
+WITH items AS (
+  SELECT item, words, least(10, len(words)) AS n
+  FROM (SELECT coalesce(item_id::VARCHAR, '') AS item, {_PLAIN} AS words FROM benchmark)
+  WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item, n, words[i + 1:i + n] AS gram
+  FROM (SELECT *, unnest(range(len(words) - n + 1)) AS i FROM items)
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_PLAIN} AS words FROM documents
+), grams AS (
+  SELECT row, i, n, words[i + 1:i + n] AS gram
+  FROM (SELECT row, n, words, unnest(range(greatest(0, len(words) - n + 1))) AS i
+    FROM docs, (SELECT DISTINCT n FROM windows))
+), hits AS (
+  SELECT row, i, g.n, item FROM grams g JOIN windows w ON g.n = w.n AND g.gram = w.gram
+), covered AS (
+  SELECT row, count(DISTINCT word) AS n_hit
+  FROM (SELECT row, i + unnest(range(n)) AS word FROM (SELECT DISTINCT row, i, n FROM hits))
+  GROUP BY row
+), named AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered ON docs.row = covered.row LEFT JOIN named ON docs.row = named.row
+"""
+
+REPEATS = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_SPACED} AS words FROM documents
+), windows AS (
+  SELECT row, doc_id, i, md5(array_to_string(words[i + 1:i + 50], ' ')) AS gram
+  FROM (SELECT *, unnest(range(greatest(0, len(words) - 49))) AS i FROM docs
+    WHERE doc_id IS NOT NULL)
+), repeated AS (
+  SELECT row, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS least FROM windows)
+  WHERE doc_id > least
+), removed AS (
+  SELECT DISTINCT row, i + unnest(range(50)) AS place FROM repeated
+), kept AS (
+  SELECT w.row, count(r.place) AS n_removed,
+    string_agg(word, ' ' ORDER BY w.place) FILTER (r.place IS NULL) AS text
+  FROM (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS place FROM docs) w
+  LEFT JOIN removed r ON w.row = r.row AND w.place = r.place
+  GROUP BY w.row
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON docs.row = kept.row
+"""
+
+WARC = """
+SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (('0x' || substr(digest, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5) & 31)::INT + 1, 1)),
+    '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages)
+"""

@@ -197,13 +197,13 @@ QUERIES = {
     "op1_rendezvous": (op1_rendezvous, None),
     "op2_signatures": (op2_signatures, None),
     "op3_likelihood_ratio": (op3_likelihood_ratio, None),
-    "op4_warc": (op4_warc, None),
+    "op4_warc": (op4_warc, checks.WARC),
     "op5_rank_order": (op5_rank_order, None),
     "op6_minhash_join": (op6_minhash_join, None),
     "op7_perfect_hash": (op7_perfect_hash, None),
-    "op8_fm_index": (op8_fm_index, None),
+    "op8_fm_index": (op8_fm_index, checks.REPEATS),
     "op9_least_squares": (op9_least_squares, None),
-    "op10_fm_index": (op10_fm_index, None),
+    "op10_fm_index": (op10_fm_index, checks.CONTAMINATION),
     "op11_time_forward": (op11_time_forward, checks.MERKLE),
     "op12_bidirectional": (op12_bidirectional, checks.REPAIR),
     "op13_sainte_lague": (op13_sainte_lague, checks.MIX),
