@@ -288,3 +288,41 @@ SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(ra
 FROM (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest,
     max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages)
 """
+
+DUPLICATES = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, {_SPACED} AS words FROM documents
+), nodes AS (
+  SELECT md5(array_to_string(words, ' ')) AS node, any_value(words) AS words,
+    min(doc_id) AS least, count(*) AS copies
+  FROM docs WHERE len(words) > 0 GROUP BY 1
+), shingles AS (
+  SELECT DISTINCT node, md5(array_to_string(words[i + 1:i + 5], ' ')) AS shingle
+  FROM (SELECT node, words, unnest(range(greatest(0, len(words) - 4))) AS i FROM nodes)
+), sizes AS (
+  SELECT node, count(*) AS size FROM shingles GROUP BY node
+), shared AS (
+  SELECT a.node AS u, b.node AS v, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node <> b.node
+  GROUP BY a.node, b.node
+), links AS (
+  SELECT u, v FROM shared JOIN sizes s ON u = s.node JOIN sizes t ON v = t.node
+  WHERE 5 * n >= 4 * (s.size + t.size - n)
+), reached AS (
+  SELECT node, node AS other FROM nodes
+  UNION
+  SELECT r.node, l.v FROM reached r JOIN links l ON r.other = l.u
+), classes AS (
+  SELECT r.node, min(n.least) AS class_id
+  FROM reached r JOIN nodes n ON r.other = n.node GROUP BY r.node
+), linked AS (
+  SELECT u, sum(copies) AS linked FROM links JOIN nodes ON v = node GROUP BY u
+)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id,
+  coalesce(linked + copies - 1, copies - 1, 0)::BIGINT AS n_links,
+  coalesce(copies, 1)::BIGINT AS n_copies
+FROM (SELECT doc_id, CASE WHEN len(words) > 0 THEN md5(array_to_string(words, ' ')) END AS node
+  FROM docs) d
+LEFT JOIN nodes n ON d.node = n.node LEFT JOIN classes c ON d.node = c.node
+LEFT JOIN linked l ON d.node = l.u
+"""

@@ -199,7 +199,7 @@ QUERIES = {
     "op3_likelihood_ratio": (op3_likelihood_ratio, None),
     "op4_warc": (op4_warc, checks.WARC),
     "op5_rank_order": (op5_rank_order, None),
-    "op6_minhash_join": (op6_minhash_join, None),
+    "op6_minhash_join": (op6_minhash_join, checks.DUPLICATES),
     "op7_perfect_hash": (op7_perfect_hash, None),
     "op8_fm_index": (op8_fm_index, checks.REPEATS),
     "op9_least_squares": (op9_least_squares, None),
