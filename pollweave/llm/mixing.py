@@ -189,10 +189,10 @@ def mix(
     sources = staged(sized.groupBy("g").agg(F.sum("size").alias("source_size")), "mix-totals")
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "g")), 1, 15), 16, 10).cast("long")
     plan = quotas(targets(sources, weights, repeats), block, shards, repeats).select(
-        F.col("g").alias("of"), "source_size", "target", "n_blocks", "seats",
+        "g", "source_size", "target", "n_blocks", "seats",
         F.when(F.col("n_blocks") > 0, shift % F.col("n_blocks")).otherwise(shift).alias("shift"))
-    lines = running(ranged(sized, ["g", "key", "size"], "mix-lines"), ["g"], F.col("size"), "start")
-    rows = lines.join(plan, F.col("g") == F.col("of"))
+    lines = ranged(sized, ["g", "key", "size"], "mix-lines")
+    rows = running(lines, ["g"], F.col("size"), "start", staged(plan, "mix-plan"))
     words = F.aggregate(
         _blocks(), F.lit(0).cast("long"), lambda sum, b: sum + _copies(b) * _words(b))
     return rows.select(

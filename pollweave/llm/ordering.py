@@ -33,11 +33,15 @@ def range_of(place: str) -> Column:
     return F.shiftright(place, 33)
 
 
-def running(rows: DataFrame, group: list[str], value: Column, name: str) -> DataFrame:
+def running(
+    rows: DataFrame, group: list[str], value: Column, name: str, facts: DataFrame | None = None
+) -> DataFrame:
     """``rows`` (of ``ranged``) with the sum of ``value`` over the group's earlier rows.
 
     A group of any size is summed range by range; one number for each group and range meets
-    the numbers of its other ranges.
+    the numbers of its other ranges. ``facts`` has one row per group, with the columns
+    ``group``; its other columns are added too, and travel with that number: rows meet both
+    by group and range, so no group goes to one task.
     """
     cut = rows.withColumn("__range", range_of("place")).withColumn("__value", value)
     earlier = Window.partitionBy(*group).orderBy("__range").rowsBetween(
@@ -48,14 +52,32 @@ def running(rows: DataFrame, group: list[str], value: Column, name: str) -> Data
         F.col("__range").alias("__of_range"),
         F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__first"),
     )
+    told = []
+    if facts is not None:
+        told = [c for c in facts.columns if c not in group]
+        firsts = firsts.join(facts, _same(group, "__of_", ""), "left").drop(*group)
     within = Window.partitionBy(*group, "__range").orderBy("place").rowsBetween(
         Window.unboundedPreceding, -1)
     own = cut.withColumn("__own", F.coalesce(F.sum("__value").over(within), F.lit(0)))
-    same = F.col("__range") == F.col("__of_range")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    same = (F.col("__range") == F.col("__of_range")) & _same(group, "", "__of_")
     return own.join(firsts, same).select(
-        *rows.columns, (F.col("__first") + F.col("__own")).cast("long").alias(name))
+        *rows.columns, (F.col("__first") + F.col("__own")).cast("long").alias(name), *told)
+
+
+def _same(group: list[str], left: str, right: str) -> Column:
+    found = F.lit(True)
+    for g in group:
+        found = found & F.col(f"{left}{g}").eqNullSafe(F.col(f"{right}{g}"))
+    return found
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Gapless numbers from 0 within each group of a written table, in order.
+
+    Ranges follow the rows, so a group of any size, and equal rows, are spread over tasks.
+    """
+    places = ranged(df, [*group, *order], name)
+    return running(places, group, F.lit(1), name).drop("place")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
