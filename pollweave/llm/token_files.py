@@ -156,7 +156,8 @@ class Writer:
         footer = np.array([self.width, self.ids, *map(len, parts)], "<u8")
         self.out.write(footer.tobytes() + MAGIC)
         self.out.close()
-        return {"file": self.name, "docs": len(hashes), "ids": self.ids}
+        return {"file": self.name, "docs": len(hashes), "ids": self.ids,
+                "first_key": keys[0].as_py(), "last_key": keys[-1].as_py()}
 
 
 class Reader:
@@ -219,8 +220,9 @@ def write(
 
     Keys are range-partitioned and sorted; each task encodes its texts, adds ``end`` to
     each and writes files of at most FILE_IDS ids. Only files in the manifest (file, part,
-    number, docs, ids, base) count: what a lost attempt wrote has a name of its own and
-    is in no manifest. ``base`` is the number of ids in all files before. Null keys come
+    number, docs, ids, first_key, last_key, base) count: what a lost attempt wrote has a name
+    of its own and is in no manifest. The keys lead to a key's files (``holding``); ``base``
+    is the number of ids in all files before. Null keys come
     first, rows of one key in order of their text; a null text is empty; an empty table
     gives an empty manifest. ``width`` is 2 bytes for vocabularies below 65536, else 4.
     """
@@ -253,33 +255,60 @@ def write(
             yield closed()
 
     written = staged(
-        arrow_map(dealt, function, "file string, part int, number int, docs bigint, ids bigint"),
+        arrow_map(
+            dealt, function,
+            "file string, part int, number int, docs bigint, ids bigint, first_key string, "
+            "last_key string"),
         "token-manifest")
+    kind = docs.schema[key].dataType
+    written = written.withColumns(
+        {c: F.col(c).cast(kind) for c in ("first_key", "last_key")})
     # One row per file: the only unpartitioned window, over a list that fits any task.
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return folder, written.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
+def holding(manifest: DataFrame, key) -> DataFrame:
+    """The manifest's files that may hold ``key``: one, or those that its rows run across."""
+    if key is None:
+        return manifest.where("first_key is null")
+    return manifest.where(
+        (F.col("first_key").isNull() | (F.col("first_key") <= key)) & (F.col("last_key") >= key))
+
+
+def _numbers(file: Reader) -> np.ndarray:
+    """Every key's document, as the hash index places it: repeated keys in their order."""
+    hashes = key_hashes(file.keys)
+    run = np.ones(len(hashes), bool)
+    run[1:] = hashes[1:] != hashes[:-1]
+    begin = np.maximum.accumulate(np.where(run, np.arange(len(hashes)), 0))
+    first, docs = file.find(file.keys)
+    again = np.arange(len(hashes)) - begin
+    if (again >= docs).any():
+        raise ValueError("the index misses keys")
+    return first + again
+
+
 def read(spark_manifest: DataFrame, folder: str) -> DataFrame:
-    """key (as string), start, n_tokens, ids_crc32 of every document, through the index."""
+    """key (as string), start, n_tokens, ids_crc32 of every document, through the index.
+
+    A key's place in its file is what the perfect hash gives; offset, length and ids are
+    read there.
+    """
 
     def function(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 file = Reader(folder, row["file"])
-                keys = file.keys
-                # every key through the hash index; repeated keys in their order
-                first, docs = file.find(keys)
-                place = np.arange(len(keys))
-                if (docs < 1).any() or (place < first).any() or (place >= first + docs).any():
-                    raise ValueError(f"{row['file']}: the index misses keys")
-                for low in range(0, len(keys), 4096):
-                    own = slice(low, low + 4096)
+                numbers = _numbers(file)
+                for low in range(0, len(numbers), 4096):
+                    own = numbers[low : low + 4096]
                     offset, length = file.offset[own], file.length[own]
-                    ids = file.span(offset[0], length.sum())
-                    at = offset - offset[0]
+                    begin = offset.min()
+                    ids = file.span(begin, (offset + length).max() - begin)
+                    at = offset - begin
                     yield {
-                        "key": keys[own],
+                        "key": file.keys[low : low + 4096],
                         "start": row["base"] + offset,
                         "n_tokens": length,
                         "ids_crc32": [

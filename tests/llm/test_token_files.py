@@ -52,6 +52,22 @@ def test_edges_rolling_and_keyed_access(llm, monkeypatch):
     assert sum(len(f.get(1)) for f in files) == 3
     assert sum(len(f.get(None)) for f in files) == 1
     assert sum(len(f.get(12345)) for f in files) == 0
+    # The manifest leads from a key to its files: no other is opened.
+    for key, rows_of in ((99, 1), (1, 3), (None, 1), (12345, 0), (5, 0)):
+        own = [r.file for r in token_files.holding(manifest, key).collect()]
+        assert len(own) <= 1 or key == 1
+        assert sum(len(token_files.Reader(folder, n).get(key)) for n in own) == rows_of
+
+
+def test_rows_come_from_the_index(llm, monkeypatch):
+    df = llm.createDataFrame([(n, f"doc {n} {n * 7}") for n in range(50)], "doc_id long, text string")
+    folder, manifest = token_files.write(df)
+    name = manifest.first().file
+    file = token_files.Reader(folder, name)
+    order = token_files._numbers(file)
+    assert order.tolist() == list(range(len(order)))
+    file.first = file.first[::-1].copy()  # an index that leads elsewhere gives other rows
+    assert token_files._numbers(file).tolist() != order.tolist()
 
 
 def test_files_without_a_manifest_entry_do_not_count(llm):
