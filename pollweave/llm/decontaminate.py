@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pollweave.llm import kernels
-from pollweave.llm.common import arrow_map, free_name
+from pollweave.llm.common import arrow_map, free_name, staged
 from pollweave.llm.fm import FMIndex
 
 WINDOW = 10
@@ -242,7 +242,7 @@ def _pass(
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The items in blocks of about BLOCK_BYTES of text, each read by itself."""
+    """Whether it is the last one, and the items of every block of about BLOCK_BYTES of text."""
     rows = benchmark.select(
         F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -250,7 +250,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
     for number in range(count):
         own = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == number)
         found = own.collect()
-        yield [r["item"] for r in found], [r["text"] for r in found]
+        yield number == count - 1, [r["item"] for r in found], [r["text"] for r in found]
 
 
 def find(
@@ -270,7 +270,8 @@ def find(
     Every task closes its rows to shards, keeps the stretches of words that a window can
     cover, builds an FM-index over them, searches all windows backwards, locates the
     occurrences from sampled suffixes and merges their spans. Nothing is shuffled. The
-    benchmark is read in blocks of bounded size, one pass over the documents for each.
+    benchmark is read in blocks of bounded size, one pass over the documents for each: a
+    pass is written before the next block is read, so the driver holds one block.
 
     Returns the columns ``keep`` (default: all) with ``n_words``, ``starts``, ``ends``
     (word numbers of the merged spans, ends exclusive) and ``items`` (distinct ids as
@@ -283,10 +284,10 @@ def find(
     taken = docs.select(*keep)
     names = {n: free_name(taken, n) for n in ("n_words", "starts", "ends", "items")}
     source = docs.select(*dict.fromkeys([*keep, text]))
-    blocks = list(_blocks(benchmark, item, item_text))
-    for number, (items, passages) in enumerate(blocks):
-        last = number == len(blocks) - 1
+    for number, (last, items, passages) in enumerate(_blocks(benchmark, item, item_text)):
         kept = list(keep) if last else source.columns[: len(dict.fromkeys([*keep, text]))]
         source = _pass(source, Phrases(items, passages, window), kept, text, names, number > 0,
                        remove and last)
+        if not last:
+            source = staged(source, "benchmark-block")
     return source
