@@ -42,12 +42,54 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, row[keep]
 
 
+def _slices(text: str):
+    """The codes of one text, as ``_codes`` has them, in slices of _CHUNK characters."""
+    lowered = text.lower()
+    for low in range(0, len(lowered), _CHUNK):
+        high = min(low + _CHUNK, len(lowered))
+        left = lowered[low - 1] if low else "\n"
+        right = lowered[high] if high < len(lowered) else "\n"
+        around = left + lowered[low:high] + right
+        codes = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[:-1] |= letter[1:]
+        keep[0] &= low == 0  # the neighbours belong to other slices
+        keep[-1] &= high == len(lowered)
+        yield np.where(letter, codes, _EDGE)[keep].astype(np.int64)
+
+
+def _long_profile(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, count) of one text, counted slice by slice; the last two codes are carried over."""
+    gram, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    carried = np.zeros(0, np.int64)
+    for own in _slices(text):
+        codes = np.concatenate([carried, own])
+        edge, done = codes == _EDGE, len(carried)
+        found = [codes[done:][~edge[done:]]]
+        pairs = (codes[:-1] << _BITS) | codes[1:]
+        inner = ~(edge[:-1] & edge[1:])
+        found.append(pairs[max(done - 1, 0):][inner[max(done - 1, 0):]])
+        if len(codes) > 2:
+            triples = (pairs[:-1] << _BITS) | codes[2:]
+            found.append(triples[max(done - 2, 0):][~edge[1:-1][max(done - 2, 0):]])
+        every, number = np.unique(np.concatenate(found), return_counts=True)
+        gram, at = np.unique(np.concatenate([gram, every]), return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate([count, number])).astype(np.int64)
+        carried = codes[-2:]
+    return gram, count
+
+
 def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram, count) of all grams of each text, by row and gram.
 
     A gram of one to three characters is one number; shorter grams sort before longer
     ones. Words are runs of letters; "_" stands for a word's edge in grams of two or three.
     """
+    if len(texts) == 1 and len(texts[0]) > _CHUNK:
+        gram, count = _long_profile(texts[0])
+        return np.zeros(len(gram), np.int64), gram, count
     codes, row = _codes(texts)
     alphabet, dense = np.unique(codes, return_inverse=True)
     size = len(alphabet)
@@ -107,8 +149,12 @@ def _by_count(row, count) -> np.ndarray:
 
 
 def _chunks(texts: list):
+    """Ranges of texts of about _CHUNK characters; a longer text is alone."""
     low, size = 0, 0
     for n, text in enumerate(texts):
+        if len(text) > _CHUNK and low < n:
+            yield low, n
+            low, size = n, 0
         size += len(text)
         if size >= _CHUNK:
             yield low, n + 1
@@ -164,10 +210,12 @@ def fit(
 
     Of each language at most ``most`` rows are learned from: keys are thinned by hash to
     about twice as many, so that no language goes whole to one task, and those of least
-    hash are taken. Rows without text, language or key teach nothing. Only profiles, at
-    most PROFILE rows per language, come to the driver.
+    hash are taken. Rows without a letter, language or key teach nothing and take no place.
+    Only profiles, at most PROFILE rows per language, come to the driver.
     """
-    known = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang")).where(
+    teachable = F.col(text).cast("string").rlike(r"\p{L}")
+    known = docs.where(teachable).select(
+        F.col(key).alias("key"), F.col(lang).cast("string").alias("lang")).where(
         "key is not null and lang is not null").where(remainder(F.col("key")) != 1)
     share = known.groupBy("lang").agg((2.0 * most / F.count(F.lit(1))).alias("share"))
     draw = F.xxhash64("key", F.lit("learned"))

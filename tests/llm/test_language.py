@@ -36,6 +36,40 @@ def test_profiles_equal_plain_counts():
         assert own == {packed(g): c for g, c in grams(text).items()}
 
 
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    texts = ["The cat, the hat! ß x" * 9, "no.end" * 7, "a b  c\n\nd", "漢字" * 11, ". . 1", "ΣΑΣ ας",
+             "word", "-" * 30 + "z", "x" * 40]
+    whole = [language.profiles([t]) for t in texts]
+    for size in (1, 2, 3, 5, 1000):
+        monkeypatch.setattr(language, "_CHUNK", size)
+        for text, (_, gram, count) in zip(texts, whole, strict=True):
+            _, own, number = language.profiles([text])
+            assert dict(zip(own.tolist(), number.tolist(), strict=True)) == dict(
+                zip(gram.tolist(), count.tolist(), strict=True)), (size, text)
+        assert [low for low, _ in language._chunks(texts)][0] == 0
+        assert sum(high - low for low, high in language._chunks(texts)) == len(texts)
+
+
+def test_a_text_of_30_mb_needs_little_more_than_itself():
+    import tracemalloc
+
+    text = "über the wall and on to the sea. " * 950_000
+    tracemalloc.start()
+    language.profiles([text])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
+def test_only_teachable_rows_take_places(llm):
+    rows = [(n, None if n % 2 else "12 !", "en") for n in range(3000)]
+    rows += [(n, "the dog and the cat", "en") for n in range(3000, 3030)]
+    rows += [(n, "le chien et le chat", "fr") for n in range(4000, 4030)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, most=20)
+    assert model.languages == ["en", "fr"]
+
+
 def test_query_is_right_on_held_out_documents(llm):
     docs = brute.read("documents", "/root/testdata/sf0.01")
     found = queries.op5_rank_order(llm, "/root/testdata/sf0.01").toPandas().merge(docs, on="doc_id")
