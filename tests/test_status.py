@@ -501,10 +501,10 @@ def test_a_large_poll_is_written_by_many_tasks(spark, tmp_path):
     parts = publishing.document_parts(status).collect()
     assert sorted(r["part"] for r in parts) == list(range(15))  # 60 000 rows and 16 others
     folder = str(tmp_path / "out")
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get(name)
     try:
-        spark.conf.set(name, "1MB")  # as if the poll were larger
+        spark.conf.set(name, "false")  # as if the poll were larger
         publishing.publish_documents(status, folder)
     finally:
         spark.conf.set(name, before)
