@@ -1,4 +1,4 @@
-"""Shared steps: session settings, staged tables, gapless numbers, Arrow streams."""
+"""Shared steps: session settings, staged tables, filters ahead of joins, Arrow streams."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pollweave.session import prepare, run_folder
 
@@ -123,36 +123,3 @@ def pa_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(T.StructType.fromDDL(schema))
-
-
-def numbered(
-    df: DataFrame, group: list[str], order: list[str], name: str, parts: int = 64
-) -> DataFrame:
-    """Gapless numbers from 0 within each group, which is cut into ``parts`` by hash.
-
-    ``df`` must be read from a written table, so that its rows stay where they are. Equal
-    rows are dealt over the parts too: no key and no group goes to one task.
-    """
-    row, part, first = "__row", "__part", "__first"
-    salted = df.withColumn(row, F.monotonically_increasing_id())
-    cut = salted.withColumn(
-        part, F.pmod(F.xxhash64(*order, F.col(row) % parts), F.lit(parts)).cast("int")
-    )
-    counts = cut.groupBy(*group, part).agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy(*group).orderBy(part).rowsBetween(
-        Window.unboundedPreceding, -1)
-    firsts = counts.select(
-        *group, part, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias(first))
-    within = Window.partitionBy(*group, part).orderBy(*order, row)
-    own = cut.withColumn(name, F.row_number().over(within).cast("long") - 1)
-    same = [own[c].eqNullSafe(firsts[c]) for c in [*group, part]]
-    joined = own.join(firsts, _all(same), "inner")
-    return joined.select(
-        *[own[c] for c in df.columns], (own[name] + firsts[first]).alias(name))
-
-
-def _all(conditions: list[Column]) -> Column:
-    found = conditions[0]
-    for condition in conditions[1:]:
-        found = found & condition
-    return found

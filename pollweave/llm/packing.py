@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pollweave.llm import kernels
-from pollweave.llm.common import arrow_map, numbered, staged
+from pollweave.llm.common import arrow_map, staged
 from pollweave.llm.encoding import encoder
+from pollweave.llm.ordering import numbered
 
 WINDOW = 1024
 END = 0

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pollweave.llm.common import numbered, staged
+from pollweave.llm.common import staged
+from pollweave.llm.ordering import numbered
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:

@@ -1,8 +1,10 @@
+import math
 import zlib
 from collections import Counter
 
 import brute
 import pytest
+import xxhash
 from pollweave.llm import queries, sharding
 
 
@@ -20,6 +22,30 @@ def test_query_follows_the_law(llm):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def winner(key, weights):
+    """The shard of the largest ln(u) / weight, the lower one of equals."""
+    best = None
+    for n, weight in enumerate(weights):
+        if weight > 0:
+            seed = xxhash.xxh64_intdigest(("\0" if key is None else str(key)).encode(), 42)
+            draw = xxhash.xxh64_intdigest(f"shard {n}".encode(), seed) >> 11
+            score = math.log((draw + 0.5) / 2.0**53) / weight
+            if best is None or score > best[0]:
+                best = score, n
+    return best[1]
+
+
+def test_shards_equal_brute_force(llm):
+    rows = queries.op1_rendezvous(llm, brute.SMALL).collect()
+    for r in rows:
+        assert r.shard == winner(r.doc_id, [1.0] * 40)
+        assert r.grown_shard == winner(r.doc_id, [1.0] * 41)
+    weights = [1.0, 0.0, 2.5, 0.25]
+    df = llm.createDataFrame([(k, "x") for k in (None, *range(300))], "doc_id long, text string")
+    for r in sharding.assign(df, weights).collect():
+        assert r.shard == winner(r.key, weights)
+
+
 def shards(llm, count, weights):
     df = llm.range(count).selectExpr("id as doc_id", "cast(null as string) as text")
     return {r.key: r for r in sharding.assign(df, weights).collect()}
