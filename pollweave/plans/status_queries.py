@@ -13,6 +13,7 @@ from pollweave.plans import publishing, reconcile as rec
 from pollweave.plans import status as st
 from pollweave.plans.sql import rounded
 from pollweave.session import run_folder
+from pollweave.sources import documents as docs
 from pollweave.sources.documents import POLL
 from pollweave.sources.tables import table
 
@@ -46,8 +47,9 @@ def _land(spark, sf) -> str:
         return rows.groupBy("poll").agg(F.collect_list(item).alias("items"))
 
     def write(rows: DataFrame, name: str, value: Column) -> None:
-        rows.select(value.alias("value"), (F.col("poll") * 300 + _FIRST).alias(POLL)).write.mode(
-            "append").partitionBy(POLL).text(f"{folder}/{name}")
+        docs.archive(
+            rows.select(value.alias("value"), (F.col("poll") * 300 + _FIRST).alias(POLL)),
+            f"{folder}/{name}")
 
     def fields(**values: Column) -> Column:
         return F.struct(*[v.alias(n) for n, v in values.items()])

@@ -1,7 +1,8 @@
 """Typed scans of the JSON documents in the landing zone.
 
 A poll leaves each document it fetched under ``<landing>/<document>/poll_ts=<epoch
-seconds>/``. Every reader returns rows with ``poll_ts``; a document that is not
+seconds>/``. A landing of many polls may keep a kind of document as a table instead
+(``archive``), or both. Every reader returns rows with ``poll_ts``; a document that is not
 valid JSON of its type gives no row, a document that never arrived an empty table.
 Fields whose JSON type varies from poll to poll are read as variants.
 """
@@ -78,6 +79,31 @@ EQUIPMENT = """array<struct<id: string, name: string, type: string, stats: array
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 _RAW = f"value string, {POLL} bigint"
+# Ending of the table beside a kind's folders.
+_ARCHIVE = ".archive"
+
+
+def archive(documents: DataFrame, path: str) -> None:
+    """Add documents ``(poll_ts, value)`` to the table of the kind whose folders lie at ``path``.
+
+    A folder per document costs its commit, its listing and its opening; the table has as many
+    files as tasks wrote it, however many polls they hold.
+    """
+    documents.select("value", F.col(POLL).cast("bigint").alias(POLL)).write.mode(
+        "append").parquet(f"{path}{_ARCHIVE}")
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """All documents of a kind, ``(value, poll_ts)``: those in folders and those in its table."""
+    folders, landed = health.optional(
+        spark, _RAW, lambda: spark.read.schema(_RAW).text(path, wholetext=True)
+    )
+    table, archived = health.optional(
+        spark, _RAW, lambda: spark.read.schema(_RAW).parquet(f"{path}{_ARCHIVE}")
+    )
+    if landed and archived:
+        return folders.unionByName(table)
+    return table if archived else folders
 
 
 def read_documents(
@@ -131,10 +157,7 @@ def read_with_defects(
     spark: SparkSession, path: str, kind: str, nullable: bool = False
 ) -> DataFrame:
     """One row ``(poll_ts, value, doc)`` per document; ``doc`` is null where it is defective."""
-    raw, _ = health.optional(
-        spark, _RAW, lambda: spark.read.schema(_RAW).text(path, wholetext=True)
-    )
-    return raw.select(POLL, "value", _typed("value", kind, nullable).alias("doc"))
+    return _raw(spark, path).select(POLL, "value", _typed("value", kind, nullable).alias("doc"))
 
 
 def stage(
