@@ -94,8 +94,9 @@ def _land(spark, sf) -> str:
         F.array())
 
     def write(polls: DataFrame, name: str, value: Column) -> None:
-        polls.select(value.alias("value"), (p * _HOUR + _FIRST).alias(POLL)).write.mode(
-            "append").partitionBy(POLL).text(f"{folder}/{name}")
+        docs.archive(
+            polls.select(value.alias("value"), (p * _HOUR + _FIRST).alias(POLL)),
+            f"{folder}/{name}")
 
     clock = 1000 + _HOUR * p
     own = rows.where("m < 2")
