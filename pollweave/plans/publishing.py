@@ -18,6 +18,7 @@ from pollweave.functions import fixed, normalize
 from pollweave.operators import ordered
 from pollweave.operators.precedence import SOURCE
 from pollweave.plans.status import Status
+from pollweave.session import written
 from pollweave.sources.documents import POLL, joined
 
 # Fragments of a part.
@@ -138,6 +139,8 @@ def fragments(
 ) -> DataFrame:
     """The pieces of all documents: poll_ts, place, kind, first, text.
 
+    The rows of the lists are written, so that their tables are worked out once for the pieces,
+    their counts and the sample of a range partitioning.
     A document's pieces in the order of (place, kind, first, text) are its text, but for what
     joins the rows of a list.
     """
@@ -159,28 +162,32 @@ def fragments(
     polls = status.polls.select(POLL, F.substring(head, F.lit(1), F.length(head) - 1).alias("head"))
     for rows in records.values():
         polls = polls.join(rows, POLL, "left")
-    for name, (rows, _) in lists.items():
-        polls = polls.join(rows.groupBy(POLL).agg(F.count(F.lit(1)).alias(name)), POLL, "left")
 
     order = [n for n in ORDER if n in lists or n in records]
+    places = {name: place for place, name in enumerate(order, 1)}
+    items = written(reduce(DataFrame.unionByName, [
+        rows.select(
+            POLL, F.lit(places[name]).alias("place"), F.lit(_ITEM).alias("kind"), "first", "text")
+        for name, (rows, _) in lists.items()
+    ]), "items")
+    counts = items.groupBy(POLL).agg(
+        *[F.count_if(F.col("place") == places[name]).alias(name) for name in lists])
+    polls = polls.join(counts, POLL, "left")
     pieces = [_piece(0, _OPEN, F.col("head")), _piece(len(order) + 1, _OPEN, F.lit("}"))]
-    items = []
-    for place, name in enumerate(order, 1):
+    for name, place in places.items():
         begin = F.lit(f',"{name}":')
         if name in records:
             value = F.coalesce(F.col(name), F.lit("null"))
             pieces.append(_piece(place, _OPEN, F.concat(begin, value)))
             continue
-        rows, ends = lists[name]
+        ends = lists[name][1]
         filled = F.coalesce(F.col(name), F.lit(0)) > 0
         pieces += [
             _piece(place, _OPEN, F.concat(begin, F.when(filled, ends[0]).otherwise("null"))),
             _piece(place, _CLOSE, F.when(filled, ends[1]).otherwise("")),
         ]
-        items.append(rows.select(
-            POLL, F.lit(place).alias("place"), F.lit(_ITEM).alias("kind"), "first", "text"))
     single = polls.select(POLL, F.explode(F.array(*pieces)).alias("piece")).select(POLL, "piece.*")
-    return reduce(DataFrame.unionByName, items, single)
+    return single.unionByName(items)
 
 
 # The fields of a document in their order.

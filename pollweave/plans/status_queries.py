@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pollweave.plans import publishing, reconcile as rec
 from pollweave.plans import status as st
 from pollweave.plans.sql import rounded
-from pollweave.session import run_folder
+from pollweave.session import run_folder, written
 from pollweave.sources import documents as docs
 from pollweave.sources.documents import POLL
 from pollweave.sources.tables import table
@@ -152,8 +152,8 @@ FROM t
 
 def rest_passthrough(spark, sf):
     """Fields of the rest source that the job doesn't know, out of the published documents."""
-    documents = publishing.poll_documents(_status(spark, sf)).select(
-        POLL, F.parse_json("document").alias("d"))
+    documents = written(publishing.poll_documents(_status(spark, sf)).select(
+        POLL, F.parse_json("document").alias("d")), "documents")  # read by each kind of row
 
     def listed(name: str) -> DataFrame:
         rows = F.variant_get("d", f"$.{name}", "array<variant>")

@@ -1,11 +1,12 @@
 """The status job on hand-made polls with hand-worked results."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from pollweave.plans import publishing, reconcile as rec
+from pollweave.plans import publishing, reconcile as rec, status_queries, war_queries
 from pollweave.plans import status as st
 from pollweave.plans.translation import owned_columns
 from pollweave.sources import documents as docs
@@ -514,3 +515,53 @@ def test_a_large_poll_is_written_by_many_tasks(spark, tmp_path):
     document = json.loads(text)
     assert [p["index"] for p in document["planets"]] == list(range(60_000))
     assert document["campaigns"] is None and document["war"] is None
+
+
+def test_documents_in_a_table_read_as_those_in_folders(spark, landing, tmp_path):
+    landing.put("news", P1, [{"id": 1}])
+    landing.put("news", P2, '{"broken": ')
+    landing.put("news", P3, "null")
+    table = str(tmp_path / "table")
+    folder = f"{landing.folder}/news"
+    whole = spark.read.schema("value string, poll_ts bigint").text(folder, wholetext=True)
+    docs.archive(whole.where(f"poll_ts < {P3}"), table)
+    docs.archive(whole.where(f"poll_ts >= {P3}"), table)
+    found = [docs.read_with_defects(spark, path, docs.NEWS, nullable=True).select(
+        "poll_ts", "value", F.to_json("doc")) for path in (folder, table)]
+    assert sorted(found[0].collect()) == sorted(found[1].collect())
+    assert found[1].count() == 3
+
+
+def test_a_table_and_folders_are_read_together(spark, landing):
+    landing.put("news", P1, [{"id": 1}])
+    rows = spark.createDataFrame([('[{"id": 2}]', P2), ("nothing", P3)], "value string, poll_ts bigint")
+    docs.archive(rows, f"{landing.folder}/news")
+    found = docs.read_documents(spark, f"{landing.folder}/news", docs.NEWS)
+    assert sorted(found.select("poll_ts", "doc.id").collect()) == [(P1, [1]), (P2, [2])]
+    assert [r.poll_ts for r in docs.read_documents(
+        spark, f"{landing.folder}/news", docs.NEWS, since=P2).collect()] == [P2]
+
+
+@pytest.mark.parametrize("plan, name, key, size", [
+    (war_queries, "part", "p_partkey", war_queries.ENTITIES),
+    (status_queries, "customer", "c_custkey", status_queries.CUSTOMERS)])
+def test_files_of_a_landing_do_not_grow_with_its_polls(spark, tmp_path, plan, name, key, size):
+    polls = 60
+    rows = spark.range(0, polls * size, 10).withColumnRenamed("id", key)
+    if name == "customer":
+        rows = rows.selectExpr(
+            key, "'c' c_name", "1 c_nationkey", "1.5D c_acctbal", "'m' c_mktsegment")
+    rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    folder = plan._land(spark, str(tmp_path))
+    for kind in os.listdir(folder):
+        files = [f for _, _, found in os.walk(f"{folder}/{kind}") for f in found
+                 if f.startswith("part-")]
+        assert 0 < len(files) < polls / 3, kind
+
+
+def test_lists_of_documents_are_worked_out_once(spark, landing):
+    put_rest(landing, P1)
+    status = rec.reconcile(*sources(spark, landing))
+    # What is numbered is written rows: no table is left to be worked out again.
+    plan = publishing.fragments(status)._jdf.queryExecution().optimizedPlan().toString()
+    assert "entity_id" not in plan and "totals" not in plan
