@@ -564,4 +564,4 @@ def test_lists_of_documents_are_worked_out_once(spark, landing):
     status = rec.reconcile(*sources(spark, landing))
     # What is numbered is written rows: no table is left to be worked out again.
     plan = publishing.fragments(status)._jdf.queryExecution().optimizedPlan().toString()
-    assert "entity_id" not in plan and "totals" not in plan
+    assert "maxHealth" not in plan and "campaignType" not in plan
