@@ -222,6 +222,10 @@ _GRANT = (
 )
 
 
+# A match begins behind a space and ends before one.
+BEFORE, AFTER = "(?<= )", "(?= )"
+
+
 def rules() -> list[dict]:
     """All rules in order: id, label, kind, priority, score, keyword and pattern."""
     found = [("base", label, "licen", phrase) for label, phrase in BASE.items()]
@@ -244,7 +248,7 @@ def rules() -> list[dict]:
         {
             "id": number, "label": label, "kind": kind, "priority": KINDS[kind][0],
             "score": KINDS[kind][1], "keyword": keyword,
-            "pattern": rf"(?<= )(?:{pattern})(?= )",
+            "pattern": rf"{BEFORE}(?:{pattern}){AFTER}",
         }
         for number, (kind, label, keyword, pattern) in enumerate(found)
     ]

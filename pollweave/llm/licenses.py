@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from pollweave.llm import license_rules
 from pollweave.llm.common import free_name, settled
 
-# A-Z count as their lower case, so both are letters of words here.
-LETTER = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+# A-Z count as their lower case, so both are letters of words here. All other ASCII characters
+# are listed one by one: Java looks such a class up in one table.
+LETTER = "[^" + "".join(rf"\x{i:02X}" for i in range(128) if not chr(i).isalnum()) + "]"
 WORD = rf"{LETTER}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARK = "\x01"
-_RULES = "array<struct<id:int,label:string,kind:string,priority:int,score:double,keyword:string,pattern:string>>"
+_RULES = "array<struct<id:int,label:string,kind:string,priority:int,score:double,pattern:string,family:int>>"
 _FOUND = "array<struct<start:int,ends:int,priority:int,rule:int,label:string,kind:string,score:double>>"
 _LEVELS = sorted({priority for priority, _ in license_rules.KINDS.values()})
+# Rules of one keyword and kind that are looked for together before each by itself.
+FAMILY = 12
 
 
 def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFrame:
@@ -35,7 +38,8 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
     """
     keep = df.columns if keep is None else keep
     name = free_name(df.select(*keep), "licenses")
-    rules = F.from_json(F.lit(json.dumps(license_rules.rules())), _RULES)
+    families = _families()
+    rules = F.from_json(F.lit(json.dumps(_rules(families))), _RULES)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     # Lower-casing more than A-Z opens a text to more rules at most; the rules decide.
     gate = F.array_compact(F.array(*[
@@ -53,14 +57,20 @@ def scan(df: DataFrame, keep: list | None = None, text: str = "text") -> DataFra
     two = one.select(
         "row", "n_words", "keywords",
         F.when(F.size("keywords") > 0, normal).alias("normal"))
-    three = two.select(
-        "row", "n_words",
+    near = two.select(
+        "row", "n_words", "normal",
         F.when(
             F.col("normal").isNotNull(),
-            F.flatten(F.transform(
-                F.filter(rules, lambda r: F.array_contains(F.col("keywords"), r["keyword"])),
-                _places)),
-        ).otherwise(F.array().cast(_FOUND)).alias("found"))
+            F.array_compact(F.array(*[
+                F.when(_holds(family), F.lit(n)) for n, family in enumerate(families)])),
+        ).otherwise(F.array().cast("array<int>")).alias("families"))
+    matching = F.filter(
+        F.filter(rules, lambda r: F.array_contains(F.col("families"), r["family"])),
+        lambda r: F.rlike("normal", r["pattern"]))
+    three = near.select(
+        "row", "n_words",
+        F.when(F.size("families") > 0, F.flatten(F.transform(matching, _places)))
+        .otherwise(F.array().cast(_FOUND)).alias("found"))
     kept = F.aggregate(
         F.array_sort(F.transform(
             "found",
@@ -87,6 +97,33 @@ def _opened(keyword: str):
     return opened
 
 
+def _families() -> list[list[dict]]:
+    """The rules dealt to families: some of one keyword and kind."""
+    alike: dict[tuple, list[dict]] = {}
+    for rule in license_rules.rules():
+        alike.setdefault((rule["keyword"], rule["kind"]), []).append(rule)
+    return [found[i : i + FAMILY] for found in alike.values() for i in range(0, len(found), FAMILY)]
+
+
+def _rules(families: list[list[dict]]) -> list[dict]:
+    """All rules in their order, with the number of their family."""
+    return sorted(
+        ({**rule, "family": n} for n, family in enumerate(families) for rule in family),
+        key=lambda rule: rule["id"])
+
+
+def _holds(family: list[dict]):
+    """Whether one of the rules matches: the text has their keyword and one of the patterns.
+
+    One pattern of the plan, compiled once; a rule's own is compiled again for every text.
+    That of a family takes the space in front as part of the match, which finds places faster.
+    """
+    before = license_rules.BEFORE
+    either = "|".join(rule["pattern"].removeprefix(before) for rule in family)
+    return F.array_contains("keywords", family[0]["keyword"]) & F.rlike(
+        "normal", F.lit(rf" (?:{either})"))
+
+
 def _places(rule):
     """Where one rule matches: each match is marked, then its word number read off."""
     normal = F.col("normal")

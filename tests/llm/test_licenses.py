@@ -142,3 +142,23 @@ def test_texts_without_a_license_word(llm):
     df = llm.createDataFrame(list(texts.items()), "text string, label string")
     for row in licenses.scan(df).collect():
         assert {d.label for d in row.licenses.kept} == ({row.label} if row.label else set())
+
+
+def test_families_hold_what_their_rules_match(llm):
+    """A text runs a rule by itself only where a rule of its family matches."""
+    families = licenses._families()
+    dealt = [rule["id"] for family in families for rule in family]
+    assert sorted(dealt) == list(range(len(license_rules.rules()))) and len(families) < 80
+    assert all(len({(r["keyword"], r["kind"]) for r in family}) == 1 for family in families)
+    rows = ["a licensed driver of public warranty gnu bsd apache copyright rail spdx"]
+    for rule in license_rules.rules()[::7]:
+        pick = random.Random(rule["id"])
+        rows.append(sample(re._parser.parse(rule["pattern"]), pick).strip())
+        rows.append(f"mit{rows[-1]}s license")
+    df = llm.createDataFrame([(f" {t} ", license_rules.KEYWORDS) for t in rows],
+                             "normal string, keywords array<string>").coalesce(1)
+    found = df.select("normal", *[licenses._holds(f).alias(str(n)) for n, f in enumerate(families)])
+    for row in found.collect():
+        expected = [any(re.search(r["pattern"], row.normal) for r in f) for f in families]
+        assert list(row)[1:] == expected
+    assert not any(list(found.first())[1:])
