@@ -190,3 +190,22 @@ def test_dedupe(spark, polls, tmp_path):
     twice = jobs.union_polls(stream(spark, polls), stream(spark, polls))
     jobs.finish(jobs.start_dedupe(twice, folder, ["event_id"]))
     same(jobs.read_dedupe(spark, folder, events.schema), events)
+
+
+def test_short_keys_share_lists(spark, tmp_path, monkeypatch):
+    """Neighbours in a list may be rows of other keys; the state has lists, not keys."""
+    monkeypatch.setattr(keyed, "BUCKETS", 4)
+    rows = [(f"k{n % 150}" if n % 150 else None, n * 7919 % 1000, n, n % 7 / 2) for n in range(600)]
+    ddl = "k string, s long, id long, value double"
+    events = spark.createDataFrame(rows, ddl).selectExpr(
+        "k", "timestamp_seconds(s) as ts", "id", "value")
+    frames = [events.where(f"id % 3 = {n}") for n in range(3)]
+    folder = str(tmp_path / "job")
+    query = jobs.start_delta_rate(
+        arrivals(spark, tmp_path, frames), folder, ["k"], "ts", "value", ["id"])
+    jobs.finish(query)
+    columns = ["k", "ts", "id", "value"]
+    expected = history.delta_rate(events, ["k"], "ts", "value", ["id"]).select(*columns, "rate")
+    same(jobs.read_delta_rate(spark, folder, events, columns).select(*columns, "rate"), expected)
+    stored = query.recentProgress[-1].stateOperators[0].numRowsTotal
+    assert 0 < stored < 50  # 150 keys
